@@ -57,12 +57,13 @@ def contaminate(values: Column, seed: Column, config: PeakConfig) -> Column:
 
 def contaminated_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
     """``replicas`` contaminated copies of every window, with the clean target kept beside."""
-    seed = key_seed(F.lit(str(config.seed)), F.col("replica"), *[F.col(k) for k in keys], F.col("window_id"))
-    return (
-        windows.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(config.replicas))))
-        .withColumn("noise_seed", seed)
-        .withColumn("contaminated", contaminate(F.col("values"), F.col("noise_seed"), config))
-    )
+    def copy(replica: int) -> Column:
+        seed = key_seed(F.lit(str(config.seed)), F.lit(replica), *[F.col(k) for k in keys], F.col("window_id"))
+        return F.struct(F.lit(replica).alias("replica"), seed.alias("noise_seed"),
+                        contaminate(F.col("values"), seed, config).alias("contaminated"))
+
+    copies = F.array(*[copy(r) for r in range(1, config.replicas + 1)])
+    return windows.select("*", F.inline(copies))
 
 
 def with_channels(windows: DataFrame, config: PeakConfig, values: str = "values") -> DataFrame:

@@ -41,11 +41,11 @@ def reconstructed_windows(spark, sf):
 
 
 @query("structural_peak_fixed_weights", sql(("zpoints",), """
-    SELECT region, entity, year, round(quantile_cont(v, 0.999), 4) AS peak
+    SELECT region, entity, year, round(quantile_cont(v, 0.999), 6) AS peak
     FROM (SELECT region, entity, year, unnest([x, x, x, x]) AS v FROM (SELECT *, code * scale + median AS x FROM blocks))
     GROUP BY region, entity, year""", blocks=_BLOCKS))
 def structural_peak_fixed_weights(spark, sf):
-    return rounded(annual_peaks(readings(spark, sf), FIXED, MEASURE, tie=TIE), 4, "peak")
+    return rounded(annual_peaks(readings(spark, sf), FIXED, MEASURE, tie=TIE), 6, "peak")
 
 
 def _labelled_windows(spark, sf):

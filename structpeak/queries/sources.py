@@ -95,13 +95,13 @@ def entities_without_late_orders(spark, sf):
 
 @query("network_length", """
     SELECT c_nationkey AS circuit, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-           round(sum(o_totalprice) / 1000, 4) AS km
+           round(sum(o_totalprice) / 1000, 6) AS km
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3 ORDER BY 2, 3, 1""")
 def network_length(spark, sf):
     parts = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").alias("circuit"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
         F.col("o_totalprice").alias("length"))
-    return network_by_month(parts).withColumn("km", F.round("km", 4))
+    return network_by_month(parts).withColumn("km", F.round("km", 6))
 
 
 # ------------------------------------------------------------------ merges
@@ -196,7 +196,9 @@ def temporal_split(spark, sf):
 @query("region_transfer", sql(("pairs",), """
     SELECT round(slope, 6) AS slope, round(intercept, 4) AS intercept, t.region, count(*) AS n,
            round(avg(abs(slope * peak_h0 + intercept - label)), 4) AS mae
-    FROM (SELECT regr_slope(label, peak_h0) AS slope, regr_intercept(label, peak_h0) AS intercept FROM pairs WHERE region = 'ASIA'),
+    FROM (SELECT CASE WHEN ok THEN s ELSE 1.0 END AS slope, CASE WHEN ok THEN b ELSE 0.0 END AS intercept FROM (
+            SELECT regr_slope(label, peak_h0) AS s, regr_intercept(label, peak_h0) AS b, count(*) >= 2 AND regr_sxx(label, peak_h0) > 0 AS ok
+            FROM pairs WHERE region = 'ASIA')),
          pairs t WHERE t.region <> 'ASIA' GROUP BY ALL"""))
 def region_transfer(spark, sf):
     """Calibrated on one region, tested on the others."""
