@@ -2,8 +2,8 @@
 
 from structpeak.functions.arrays import (
     assemble_channels,
+    bound,
     central_difference,
-    feature_vector,
     pad_to,
     rolling_spread,
 )
@@ -19,8 +19,8 @@ from structpeak.functions.scalars import (
 
 __all__ = [
     "assemble_channels",
+    "bound",
     "central_difference",
-    "feature_vector",
     "finite",
     "guarded_ratio",
     "key_seed",

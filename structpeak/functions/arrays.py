@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,35 +14,46 @@ def pad_to(values: Column, length: int) -> Column:
     return F.when(missing > 0, F.concat(values, F.array_repeat(F.element_at(values, -1), missing))).otherwise(values)
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with ``value`` evaluated once, however often the result reads it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def central_difference(values: Column) -> Column:
     """Slope per step: centred inside, one-sided at both ends."""
-    last = F.size(values) - 1
 
-    def slope(v: Column, i: Column) -> Column:
-        return (
-            F.when(i == 0, F.get(values, F.lit(1)) - v)
-            .when(i == last, v - F.get(values, i - 1))
-            .otherwise((F.get(values, i + 1) - F.get(values, i - 1)) / 2)
-        )
+    def slopes(w: Column) -> Column:
+        last = F.size(w) - 1
+
+        def slope(v: Column, i: Column) -> Column:
+            return (
+                F.when(i == 0, F.get(w, F.lit(1)) - v)
+                .when(i == last, v - F.get(w, i - 1))
+                .otherwise((F.get(w, i + 1) - F.get(w, i - 1)) / 2)
+            )
+
+        return F.transform(w, slope)
 
-    return F.transform(values, slope)
+    return bound(values, slopes)
 
 
 def rolling_spread(values: Column, width: int) -> Column:
     """Population standard deviation over ``width`` neighbours, ends replicated."""
     half = width // 2
-    padded = F.concat(
-        F.array_repeat(F.element_at(values, 1), half), values, F.array_repeat(F.element_at(values, -1), half)
-    )
 
-    def at(i: Column) -> Column:
-        terms = [F.get(padded, i + j) for j in range(width)]
-        mean = sum(terms[1:], terms[0]) / width
-        squares = [t * t for t in terms]
-        mean_square = sum(squares[1:], squares[0]) / width
-        return F.sqrt(F.greatest(mean_square - mean * mean, F.lit(0.0)))
+    def padded(w: Column) -> Column:
+        return F.concat(F.array_repeat(F.element_at(w, 1), half), w, F.array_repeat(F.element_at(w, -1), half))
+
+    def spreads(w: Column, p: Column) -> Column:
+        def at(i: Column) -> Column:
+            terms = [F.get(p, i + j) for j in range(width)]
+            squares = [t * t for t in terms]
+            mean, mean_square = sum(terms[1:], terms[0]) / width, sum(squares[1:], squares[0]) / width
+            return F.sqrt(F.greatest(mean_square - mean * mean, F.lit(0.0)))
 
-    return F.transform(values, lambda _, i: at(i))
+        return F.transform(w, lambda _, i: at(i))
+
+    return bound(values, lambda w: bound(padded(w), lambda p: spreads(w, p)))
 
 
 def assemble_channels(values: Column, level: Column, level_delta: Column, width: int) -> Column:
@@ -55,7 +66,3 @@ def assemble_channels(values: Column, level: Column, level_delta: Column, width:
         level_delta.alias("level_delta"),
     )
 
-
-def feature_vector(channels: Column, names: Sequence[str]) -> Column:
-    """Chosen channels laid end to end in one array."""
-    return F.flatten(F.array(*[channels.getField(n) for n in names]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY, PeakConfig
-from structpeak.functions.arrays import assemble_channels
+from structpeak.functions.arrays import assemble_channels, bound
 from structpeak.functions.draws import gaussian, key_seed, uniform
 
 # Streams of a window's seed, one per draw.
@@ -51,8 +51,7 @@ def contaminate(values: Column, seed: Column, config: PeakConfig) -> Column:
         spike = F.coalesce(F.try_element_at(hits, F.lit(-1))["size"], F.lit(0.0))
         return v + held + spike + config.noise * gaussian(seed, F.lit(NOISE) + 2 * i)
 
-    # the drawn facts are bound once per window, then read for every point
-    return F.get(F.transform(F.array(facts), lambda f: F.transform(values, lambda v, i: point(v, i, f))), F.lit(0))
+    return bound(facts, lambda f: F.transform(values, lambda v, i: point(v, i, f)))
 
 
 def contaminated_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
@@ -67,7 +66,10 @@ def contaminated_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[s
 
 
 def with_channels(windows: DataFrame, config: PeakConfig, values: str = "values") -> DataFrame:
-    """Add the five-channel struct built from ``values`` and the aligned registry arrays."""
+    """Add the five-channel struct built from ``values`` and the aligned registry arrays.
+
+    The model builds the same channels batch-wise on the workers instead.
+    """
     zeros = F.transform(F.col(values), lambda v: F.lit(0.0))
     level = F.col("level") if "level" in windows.columns else zeros
     delta = F.col("level_delta") if "level_delta" in windows.columns else zeros

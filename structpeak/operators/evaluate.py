@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.functions.scalars import relative_error
+from structpeak.operators.hotkeys import TASK_ROWS, small_enough
 from structpeak.operators.labels import line_columns
+from structpeak.operators.ordering import exact_quantiles
 from structpeak.operators.sampling import fold_assignment
 
 FEWEST_PAIRS = 10
@@ -35,16 +37,39 @@ def out_of_fold(pairs: DataFrame, x: str, y: str, k: int, seed: int, entity: str
     ).drop("_fold")
 
 
-def error_metrics(predictions: DataFrame, predicted: str, actual: str, by: Sequence[str] = ()) -> DataFrame:
-    """MAE, median relative error, hit rates and n, overall and per group in one pass.
+def _too_many(df: DataFrame, spread: bool | None) -> bool:
+    return not small_enough(df, TASK_ROWS) if spread is None else spread
 
-    The overall row has NULL group columns and ``overall = true``. The median is read from a
-    sketch-free percentile; predictions number one per labelled series.
+
+def _grouped(df: DataFrame, by: Sequence[str], aggs: list, medians: dict[str, str], spread: bool) -> DataFrame:
+    """Aggregates and exact medians per group; medians of large sets come from ordered buckets."""
+    if not spread:
+        return df.groupBy(*by).agg(*aggs, *[F.percentile(c, 0.5).alias(n) for n, c in medians.items()])
+    out = df.groupBy(*by).agg(*aggs)
+    for n, c in medians.items():
+        found = exact_quantiles(df, by, c, {n: 0.5}, spread=True)
+        if not by:
+            out = out.withColumn(n, found.select(n).scalar())
+            continue
+        side = found.select(*[F.col(k).alias(f"_m_{k}") for k in by], n)
+        match = F.lit(True)
+        for k in by:
+            match = match & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+        out = out.join(side, match, "left").drop(*[f"_m_{k}" for k in by])
+    return out
+
+
+def error_metrics(
+    predictions: DataFrame, predicted: str, actual: str, by: Sequence[str] = (), spread: bool | None = None
+) -> DataFrame:
+    """MAE, median relative error, hit rates and n, overall and per group.
+
+    The overall row has NULL group columns and ``overall = true``. While one task can hold
+    all predictions both levels come from one pass of grouping sets; ``spread=None`` counts.
     """
     rel = F.col("_rel")
     aggs = [
         F.avg(F.abs("_err")).alias("mae"),
-        F.percentile(rel, 0.5).alias("median_ape"),
         F.avg((rel <= 0.05).cast("double")).alias("hit_05"),
         F.avg((rel <= 0.10).cast("double")).alias("hit_10"),
         F.count("*").alias("n"),
@@ -52,6 +77,13 @@ def error_metrics(predictions: DataFrame, predicted: str, actual: str, by: Seque
     base = predictions.withColumn("_err", F.col(predicted) - F.col(actual)).withColumn(
         "_rel", relative_error(F.col(predicted), F.col(actual))
     )
+    if _too_many(predictions, spread):
+        overall = _grouped(base, [], aggs, {"median_ape": "_rel"}, True).withColumn("overall", F.lit(True))
+        if not by:
+            return overall
+        grouped = _grouped(base, list(by), aggs, {"median_ape": "_rel"}, True).withColumn("overall", F.lit(False))
+        return grouped.unionByName(overall, allowMissingColumns=True)
+    aggs.append(F.percentile(rel, 0.5).alias("median_ape"))
     if not by:
         return base.agg(*aggs).withColumn("overall", F.lit(True))
     columns = [F.col(b) for b in by]
@@ -66,20 +98,21 @@ def gated_metrics(pairs: DataFrame, metrics: DataFrame, fewest: int = FEWEST_PAI
     return enough.withColumn("status", status).join(shown, F.col("enough") == F.col("_on"), "left").drop("_on", "enough")
 
 
-def wide_metrics(predictions: DataFrame, predicted: str, actual: str, by: Sequence[str] = (), tau: float = 0.9) -> DataFrame:
+def wide_metrics(
+    predictions: DataFrame, predicted: str, actual: str, by: Sequence[str] = (), tau: float = 0.9, spread: bool | None = None
+) -> DataFrame:
     """RMSE, MAPE, mean and median signed error, share under and pinball loss."""
-    err = F.col(predicted) - F.col(actual)
-    short = F.col(actual) - F.col(predicted)
-    pinball = F.greatest(F.lit(tau) * short, F.lit(tau - 1) * short)
-    return predictions.groupBy(*by).agg(
+    base = predictions.withColumn("_err", F.col(predicted) - F.col(actual))
+    err = F.col("_err")
+    aggs = [
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(relative_error(F.col(predicted), F.col(actual))).alias("mape"),
         F.avg(err).alias("bias"),
-        F.percentile(err, 0.5).alias("median_error"),
         F.avg((err < 0).cast("double")).alias("under_share"),
-        F.avg(pinball).alias("pinball"),
+        F.avg(F.greatest(F.lit(-tau) * err, F.lit(1 - tau) * err)).alias("pinball"),
         F.count("*").alias("n"),
-    )
+    ]
+    return _grouped(base, list(by), aggs, {"median_error": "_err"}, _too_many(predictions, spread))
 
 
 def tolerance_curve(predictions: DataFrame, predicted: str, actual: str, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

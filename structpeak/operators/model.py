@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY, PeakConfig
-from structpeak.functions.arrays import feature_vector
-from structpeak.operators.contamination import contaminated_copies, with_channels
+from structpeak.operators.contamination import contaminated_copies
 
 SMALLEST_RESIDUAL = 1e-3
 
@@ -57,17 +56,66 @@ def block_mean_denoiser(config: PeakConfig, blocks: int, version: str = "block-m
     return Denoiser(config, encode, decode, version, np.zeros(blocks), np.ones(blocks))
 
 
+def stacked(batch: pd.Series) -> np.ndarray:
+    return np.stack(batch.to_numpy())
+
+
+def feature_matrix(
+    values: np.ndarray, level: np.ndarray | None, delta: np.ndarray | None, names: Sequence[str], width: int
+) -> np.ndarray:
+    """Chosen channels of a batch of windows, laid side by side (rows are windows)."""
+    blank = np.zeros_like(values)
+    parts = []
+    for name in names:
+        if name == "value":
+            parts.append(values)
+        elif name == "derivative":
+            parts.append(np.gradient(values, axis=1))
+        elif name == "spread":
+            half = width // 2
+            near = np.lib.stride_tricks.sliding_window_view(np.pad(values, ((0, 0), (half, half)), mode="edge"), width, axis=1)
+            variance = (near * near).mean(axis=2) - near.mean(axis=2) ** 2
+            parts.append(np.sqrt(np.maximum(variance, 0.0))[:, : values.shape[1]])
+        elif name in ("level", "level_delta"):
+            found = level if name == "level" else delta
+            parts.append(blank if found is None else found)
+        else:
+            raise ValueError(f"unknown channel {name!r}")
+    return np.hstack(parts)
+
+
+def uses_registry(config: PeakConfig) -> bool:
+    return bool({"level", "level_delta"} & set(config.channels))
+
+
 def encoder(model: Denoiser):
-    """Column function: feature arrays to code arrays."""
+    """Column function: value arrays (and registry arrays, where used) to code arrays."""
     weights, bias = model.encode[:-1], model.encode[-1]
+    names, width = model.config.channels, model.config.spread_width
 
-    @F.pandas_udf("array<double>")
-    def codes(features: pd.Series) -> pd.Series:
-        if features.empty:
+    def coded(values: pd.Series, level: pd.Series | None, delta: pd.Series | None) -> pd.Series:
+        if values.empty:
             return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(features.to_numpy()) @ weights + bias))
+        registry = [None if c is None else stacked(c) for c in (level, delta)]
+        return pd.Series(list(feature_matrix(stacked(values), *registry, names, width) @ weights + bias))
 
-    return codes
+    @F.pandas_udf("array<double>")
+    def of_values(values: pd.Series) -> pd.Series:
+        return coded(values, None, None)
+
+    @F.pandas_udf("array<double>")
+    def of_all(values: pd.Series, level: pd.Series, delta: pd.Series) -> pd.Series:
+        return coded(values, level, delta)
+
+    return of_all if uses_registry(model.config) else of_values
+
+
+def model_inputs(windows: DataFrame, config: PeakConfig, values: str = "values") -> list[Column]:
+    """Array columns the encoder needs; registry arrays that were never aligned read as zero."""
+    if not uses_registry(config):
+        return [F.col(values)]
+    blank = F.array_repeat(F.lit(0.0), config.length)
+    return [F.col(values), *[F.col(c) if c in windows.columns else blank for c in ("level", "level_delta")]]
 
 
 def decoder(model: Denoiser):
@@ -103,9 +151,7 @@ def limit_codes(codes: Column, model: Denoiser, kappa: Column | float) -> Column
 
 def window_codes(windows: DataFrame, model: Denoiser, values: str = "values") -> DataFrame:
     """Add the bottleneck ``codes`` of every window."""
-    channels = with_channels(windows, model.config, values)
-    features = feature_vector(F.col("channels"), model.config.channels)
-    return channels.withColumn("codes", encoder(model)(features)).drop("channels")
+    return windows.withColumn("codes", encoder(model)(*model_inputs(windows, model.config, values)))
 
 
 def reconstruct(windows: DataFrame, model: Denoiser, values: str = "values", out: str = "structural") -> DataFrame:
@@ -115,7 +161,7 @@ def reconstruct(windows: DataFrame, model: Denoiser, values: str = "values", out
     return coded.withColumn(out, decoder(model)(limited)).drop("codes")
 
 
-def _cross_products(coefficients: np.ndarray | None, length: int):
+def _cross_products(coefficients: np.ndarray | None, config: PeakConfig):
     """Partition function: weighted cross products of features and targets, row by row."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +169,10 @@ def _cross_products(coefficients: np.ndarray | None, length: int):
         for batch in batches:
             if batch.empty:
                 continue
-            x = np.stack(batch["features"].to_numpy())
+            registry = [stacked(batch[c]) if c in batch else None for c in ("level", "level_delta")]
+            x = feature_matrix(stacked(batch["input"]), *registry, config.channels, config.spread_width)
             x = np.hstack([x, np.ones((len(x), 1))])
-            y = np.stack(batch["target"].to_numpy())
+            y = stacked(batch["target"])
             if coefficients is None:
                 w = np.ones(len(x))
             else:
@@ -139,10 +186,10 @@ def _cross_products(coefficients: np.ndarray | None, length: int):
     return sums
 
 
-def _summed(examples: DataFrame, coefficients: np.ndarray | None, length: int) -> np.ndarray:
+def _summed(examples: DataFrame, coefficients: np.ndarray | None, config: PeakConfig) -> np.ndarray:
     """Cross products over all partitions: partial sums per task, then per matrix row."""
-    parts = examples.select("features", "target").mapInPandas(
-        _cross_products(coefficients, length), "row int, sums array<double>"
+    parts = examples.drop("window_id", "replica").mapInPandas(
+        _cross_products(coefficients, config), "row int, sums array<double>"
     )
     summed = parts.groupBy("row").agg(Summarizer.sum(array_to_vector("sums")).alias("v"))
     rows = summed.select("row", vector_to_array("v").alias("sums")).collect()  # one row per feature
@@ -170,12 +217,10 @@ def _cut_rank(coefficients: np.ndarray, sums: np.ndarray, rank: int) -> tuple[np
 
 
 def training_examples(windows: DataFrame, config: PeakConfig, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
-    """Features of contaminated copies beside the clean window they should give."""
-    copies = with_channels(contaminated_copies(windows, config, keys), config, "contaminated")
-    return copies.select(
-        *keys, "window_id", "replica",
-        feature_vector(F.col("channels"), config.channels).alias("features"), F.col("values").alias("target"),
-    )
+    """Contaminated copies (``input``) beside the clean window they should give (``target``)."""
+    copies = contaminated_copies(windows, config, keys)
+    registry = ["level", "level_delta"] if uses_registry(config) and "level" in windows.columns else []
+    return copies.select("window_id", "replica", F.col("contaminated").alias("input"), F.col("values").alias("target"), *registry)
 
 
 def fit_denoiser(
@@ -197,11 +242,11 @@ def fit_denoiser(
     try:
         coefficients = None
         for _ in range(1 + config.reweight_rounds):
-            sums = _summed(examples, coefficients, config.length)
+            sums = _summed(examples, coefficients, config)
             coefficients = _solve(sums, config.length, config.ridge)
         encode, decode = _cut_rank(coefficients, sums, config.latent)
         bare = Denoiser(config, encode, decode, version)
-        codes = examples.select(F.posexplode(encoder(bare)("features")).alias("component", "code"))
+        codes = window_codes(examples, bare, "input").select(F.posexplode("codes").alias("component", "code"))
         center, width = code_statistics(codes)
     finally:
         examples.unpersist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from structpeak.config import RESULT_KEY
 from structpeak.operators.evaluate import error_metrics, gated_metrics, out_of_fold
+from structpeak.operators.hotkeys import TASK_ROWS, small_enough
 from structpeak.operators.labels import calibrated, calibration_line, latest_per_key, production_override, with_labels
 
 FOLDS = 5
@@ -26,7 +27,8 @@ def evaluate_calibration(base: DataFrame, folds: int = FOLDS, seed: int = SEED)
     """Grouped out-of-fold metrics, overall and by region, gated on ten pairs."""
     pairs = usable_pairs(base)
     predictions = out_of_fold(pairs, "peak_h0", "label", folds, seed)
-    return gated_metrics(pairs, error_metrics(predictions, "predicted", "label", ["region"]))
+    spread = not small_enough(pairs, TASK_ROWS)
+    return gated_metrics(pairs, error_metrics(predictions, "predicted", "label", ["region"], spread))
 
 
 def calibrated_h1(base: DataFrame) -> DataFrame:

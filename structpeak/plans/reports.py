@@ -89,12 +89,26 @@ def run_durations(timeline: DataFrame, workspace: Column) -> DataFrame:
 
 
 def with_compute_change(runs: DataFrame) -> DataFrame:
-    """Previous predominant class of the job and whether it changed; a first run did not."""
-    by_run = Window.partitionBy("job_id").orderBy("usage_date", "job_run_id")
-    previous = F.lag("predominant_compute").over(by_run)
-    return runs.withColumn("previous_predominant_compute", previous).withColumn(
-        "compute_type_changed",
-        F.coalesce(F.col("predominant_compute") != F.col("previous_predominant_compute"), F.lit(False)),
+    """Previous predominant class of the job and whether it changed; a first run did not.
+
+    Runs are compared inside a job's day and the last run of the earlier day is carried in,
+    so a job with very many runs is spread over its days.
+    """
+    in_day = Window.partitionBy("job_id", "usage_date").orderBy("job_run_id")
+    last = runs.groupBy(F.col("job_id").alias("_job"), F.col("usage_date").alias("_day")).agg(
+        F.max_by("predominant_compute", "job_run_id").alias("_last")
+    )
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy("_job").orderBy("_day"))).drop("_last")
+    match = F.col("job_id").eqNullSafe(F.col("_job")) & F.col("usage_date").eqNullSafe(F.col("_day"))
+    previous = F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_previous"))
+    return (
+        runs.withColumn("_place", F.row_number().over(in_day))
+        .withColumn("_previous", F.lag("predominant_compute").over(in_day))
+        .join(carried, match, "left")
+        .withColumn("previous_predominant_compute", previous)
+        .withColumn("compute_type_changed", F.coalesce(
+            F.col("predominant_compute") != F.col("previous_predominant_compute"), F.lit(False)))
+        .drop("_place", "_previous", "_carried", "_job", "_day")
     )
 
 

@@ -15,7 +15,7 @@ from structpeak.operators.registry import align_windows, registry_stats
 from structpeak.operators.sampling import rows_of_sample, sample_entities, sample_windows
 from structpeak.operators.series import series_windows
 
-KAPPA_GRID = (float("inf"), 3.0, 2.0, 1.5, 1.0, 0.75, 0.5)
+KAPPA_GRID = (float("inf"), 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.25)
 
 
 def config_with_stats(config: PeakConfig, months: DataFrame | None) -> PeakConfig:

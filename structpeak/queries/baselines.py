@@ -88,11 +88,11 @@ def _features(spark, sf):
 
 @query("level_segments", sql(("readings", "months"), """
     SELECT region, entity, year, CAST(segment AS BIGINT) AS segment, round(segment_level, 6) AS segment_level, segment_max, first_day, last_day,
-           n_days, span_days, season, returns, round(network_change, 4) AS network_change FROM features""", **_SEGMENT_CTES))
+           n_days, span_days, season, returns, round(network_change, 6) AS network_change FROM features""", **_SEGMENT_CTES))
 def level_segments_query(spark, sf):
     df = _features(spark, sf).select(*KEY, F.col("segment").cast("bigint").alias("segment"), "segment_level", "segment_max", "first_day",
                                      "last_day", "n_days", "span_days", "season", "returns", "network_change")
-    return rounded(rounded(df, 6, "segment_level"), 4, "network_change")
+    return rounded(df, 6, "segment_level", "network_change")
 
 
 @query("segment_votes", sql(("readings", "months"), """

@@ -31,10 +31,10 @@ def error_by_region_year(spark, sf):
 
 
 @query("error_by_size", sql(("pairs",), f"""
-    SELECT CASE WHEN peak_h0 < 85000 THEN 'small' WHEN peak_h0 < 95000 THEN 'medium' ELSE 'large' END AS size_class, {_WIDE}
+    SELECT CASE WHEN peak_h0 < 103000 THEN 'small' WHEN peak_h0 < 104500 THEN 'medium' ELSE 'large' END AS size_class, {_WIDE}
     FROM oof GROUP BY 1""", **_OOF))
 def error_by_size(spark, sf):
-    sized = _oof(spark, sf).withColumn("size_class", size_class(F.col("peak_h0"), {"small": 85000.0, "medium": 95000.0}, "large"))
+    sized = _oof(spark, sf).withColumn("size_class", size_class(F.col("peak_h0"), {"small": 103000.0, "medium": 104500.0}, "large"))
     return _rounded_wide(wide_metrics(sized, "predicted", "label", ["size_class"]))
 
 
