@@ -21,11 +21,8 @@ def _sign(u: Column) -> Column:
     return F.when(u < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
 
 
-def contaminate(values: Column, seed: Column, config: PeakConfig) -> Column:
-    """Contaminated copy of one window; every draw comes from ``seed``.
-
-    Two spikes drawn at the same place overwrite each other, they do not add.
-    """
+def _drawn_events(seed: Column, config: PeakConfig) -> Column:
+    """Plateau bounds and size, and up to three spikes, of one window."""
     n = config.length
     start = F.floor(uniform(seed, PLATEAU_START) * n)
     stop = F.least(F.lit(n), start + n // 8 + F.floor(uniform(seed, PLATEAU_LENGTH) * (n - n // 8)))
@@ -42,16 +39,24 @@ def contaminate(values: Column, seed: Column, config: PeakConfig) -> Column:
         )
         for j in range(3)
     ])
-    facts = F.struct(start.alias("start"), stop.alias("stop"), plateau.alias("plateau"),
-                     F.slice(spikes, F.lit(1), count.cast("int")).alias("spikes"))
+    return F.struct(start.alias("start"), stop.alias("stop"), plateau.alias("plateau"),
+                    F.slice(spikes, F.lit(1), count.cast("int")).alias("spikes"))
+
+
+def contaminate(values: Column, seed: Column, config: PeakConfig) -> Column:
+    """Contaminated copy of one window; every draw comes from ``seed``.
+
+    Two spikes drawn at the same place overwrite each other, they do not add. Seed and
+    events are evaluated once per window, then read for every point.
+    """
 
-    def point(v: Column, i: Column, f: Column) -> Column:
+    def point(v: Column, i: Column, s: Column, f: Column) -> Column:
         held = F.when((i >= f["start"]) & (i < f["stop"]), f["plateau"]).otherwise(F.lit(0.0))
-        hits = F.filter(f["spikes"], lambda s: s["place"] == i)
+        hits = F.filter(f["spikes"], lambda k: k["place"] == i)
         spike = F.coalesce(F.try_element_at(hits, F.lit(-1))["size"], F.lit(0.0))
-        return v + held + spike + config.noise * gaussian(seed, F.lit(NOISE) + 2 * i)
+        return v + held + spike + config.noise * gaussian(s, F.lit(NOISE) + 2 * i)
 
-    return bound(facts, lambda f: F.transform(values, lambda v, i: point(v, i, f)))
+    return bound(seed, lambda s: bound(_drawn_events(s, config), lambda f: F.transform(values, lambda v, i: point(v, i, s, f))))
 
 
 def contaminated_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[str] = SERIES_KEY) -> DataFrame:

@@ -96,29 +96,33 @@ def align_registry(readings: DataFrame, months: DataFrame, stats: DataFrame | di
 def align_windows(windows: DataFrame, months: DataFrame, stats: DataFrame | dict, times: str = "times") -> DataFrame:
     """The same alignment for whole windows: one join row per window instead of per reading.
 
-    The months of an entity travel as one map (twelve entries a year) and each window looks
-    its time stamps up in it.
+    The months of an entity travel as one array without gaps (twelve entries a year), so a
+    time stamp finds its month by position.
     """
     mean, std, delta_std = _stat_columns(stats)
+    number = F.col("year") * 12 + F.col("month")
     entry = F.struct(
-        (F.col("year") * 12 + F.col("month")).alias("key"),
-        F.struct(normal_level(F.col("level"), mean, std).alias("level"),
-                 normal_delta(F.col("level_delta"), delta_std).alias("delta")).alias("value"),
+        normal_level(F.col("level"), mean, std).alias("level"), normal_delta(F.col("level_delta"), delta_std).alias("delta")
     )
-    side = months.groupBy(F.col("region").alias("_region"), F.col("entity").alias("_entity")).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("_months")
+    known = months.groupBy(F.col("region").alias("_region"), F.col("entity").alias("_entity")).agg(
+        F.min(number).alias("_first"), F.max(number).alias("_last"),
+        F.map_from_entries(F.collect_list(F.struct(number.alias("key"), entry.alias("value")))).alias("_known"),
     )
+    dense = F.transform(F.sequence("_first", "_last"), lambda m: F.try_element_at("_known", m))
+    side = known.select("_region", "_entity", "_first", dense.alias("_months"))
     match = (F.col("region") == F.col("_region")) & (F.col("entity") == F.col("_entity"))
 
-    def found(t: Column, part: str) -> Column:
-        known = F.try_element_at(F.col("_months"), F.year(t) * 12 + F.month(t))
-        return F.coalesce(known[part], F.lit(0.0))
+    def found(t: Column) -> Column:
+        at = F.year(t) * 12 + F.month(t) - F.col("_first")
+        hit = F.when(at >= 0, F.get("_months", at))
+        return F.struct(F.coalesce(hit["level"], F.lit(0.0)).alias("level"), F.coalesce(hit["delta"], F.lit(0.0)).alias("delta"))
 
     return (
         windows.join(side, match, "left")
-        .withColumn("level", F.transform(times, lambda t: found(t, "level")))
-        .withColumn("level_delta", F.transform(times, lambda t: found(t, "delta")))
-        .drop("_region", "_entity", "_months")
+        .withColumn("_found", F.transform(times, found))
+        .withColumn("level", F.col("_found.level"))
+        .withColumn("level_delta", F.col("_found.delta"))
+        .drop("_region", "_entity", "_first", "_months", "_found")
     )
 
 
