@@ -101,7 +101,8 @@ def daily_medians(readings: DataFrame, keys: Sequence[str] = SERIES_KEY) -> Data
     """Median and maximum of every day of a series: at most 366 rows per series-year."""
     by_day = readings.withColumn("day", F.to_date("ts"))
     day_key = [*keys, "day"]
-    medians = by_group_size(by_day, day_key, lambda part, spread: exact_quantiles(part, day_key, "value", {"day_median": 0.5}, spread))
+    # a day can only be too large for one task when its series is
+    medians = by_group_size(by_day, keys, lambda part, spread: exact_quantiles(part, day_key, "value", {"day_median": 0.5}, spread))
     tops = by_day.groupBy(*day_key).agg(F.max("value").alias("day_max"))
     return tops.join(medians, day_key).where(F.col("day_median").isNotNull())
 

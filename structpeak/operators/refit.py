@@ -5,26 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY
 from structpeak.operators.model import Denoiser, decoder, limit_codes, window_codes
 
+BAND = 500  # e^500 times any count of rows stays a finite double
+
 
 def soft_peak(df: DataFrame, keys: Sequence[str], value: str, tau: float, out: str = "soft_peak") -> DataFrame:
     """Softmax-weighted mean ``sum(e^(x/tau) x) / sum(e^(x/tau))`` per group.
 
-    Both steps are partial sums, so a long group is never gathered.
+    Values fall into bands of ``BAND * tau`` and weigh relative to the foot of their band, so
+    no weight overflows and one pass of partial sums is enough: only a few band rows per
+    group are shuffled, never the values.
     """
     keys = list(keys)
-    tops = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    side = tops.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_top")
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    weight = F.exp((F.col(value) - F.col("_top")) / F.lit(tau))
-    return df.join(side, match).groupBy(*keys).agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias(out))
+    step = BAND * tau
+    band = F.floor(F.col(value) / F.lit(step))
+    weight = F.exp((F.col(value) - F.col("_band") * F.lit(step)) / F.lit(tau))
+    bands = df.where(F.col(value).isNotNull()).withColumn("_band", band).groupBy(*keys, "_band").agg(
+        F.sum(weight).alias("_total"), F.sum(weight * F.col(value)).alias("_moment")
+    )
+    top = F.max("_band").over(Window.partitionBy(*keys))
+    lowered = bands.withColumn("_factor", F.exp((F.col("_band") - top) * F.lit(float(BAND))))
+    return lowered.groupBy(*keys).agg(
+        (F.sum(F.col("_factor") * F.col("_moment")) / F.sum(F.col("_factor") * F.col("_total"))).alias(out)
+    )
 
 
 def _window_peak(x: Column, tau: float) -> Column:

@@ -69,3 +69,36 @@ def test_weights_do_not_depend_on_partitions(spark):
     windows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(144)), lambda i: F.sin(i / 20)).alias("values"))
     a, b = (reconstruct(windows, m).head()["structural"] for m in (one, other))
     assert np.allclose(a, b, atol=1e-6)
+
+
+def test_fit_equals_direct_least_squares(spark):
+    """Distributed sums against one dense solve of the same examples."""
+    from structpeak.operators.model import feature_matrix, training_examples
+    from structpeak.plans.training import training_windows
+
+    config = CONFIG.with_(channels=("value", "derivative", "spread"), reweight_rounds=0, latent=144, windows_per_series=40)
+    base = synthetic.series(spark, ["a"])
+    model = train(base, config)
+    rows = training_examples(training_windows(base, config), config).collect()
+    x = feature_matrix(np.array([r["input"] for r in rows]), None, None, config.channels, config.spread_width)
+    x = np.hstack([x, np.ones((len(x), 1))])
+    y = np.array([r["target"] for r in rows])
+    penalty = np.eye(x.shape[1]) * config.ridge * len(x)
+    penalty[-1, -1] = 0
+    want = np.linalg.solve(x.T @ x + penalty, x.T @ y)
+    assert np.allclose(model.encode @ model.decode, want, atol=1e-6)
+
+
+def test_regression_on_codes(spark):
+    from structpeak.operators.pooled import regress_on_codes
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    y = x @ [1.0, -2.0, 3.0] + 4
+    key = [("r", f"e{i}", 1) for i in range(60)]
+    schema = "region string, entity string, year int"
+    pooled = spark.createDataFrame([(*k, [float(a), float(b)]) for k, (a, b, _) in zip(key, x)], schema + ", summary array<double>")
+    base = spark.createDataFrame([(*k, float(c)) for k, (_, _, c) in zip(key, x)], schema + ", start double")
+    labels = spark.createDataFrame([(*k, float(v)) for k, v in list(zip(key, y))[:40]], schema + ", label double")
+    got = {r["entity"]: r["predicted"] for r in regress_on_codes(pooled, base, labels, "start", "label", ridge=0.0).collect()}
+    assert np.allclose([got[k[1]] for k in key], y, atol=1e-6)
