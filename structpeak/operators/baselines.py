@@ -57,7 +57,7 @@ def _array_median(a: Column) -> Column:
 
 def hampel_filter(
     readings: DataFrame, half: int = 3, limit: float = 3.0, keys: Sequence[str] = SERIES_KEY, tie: Sequence[str] = (),
-    spread: bool = False, chunk: int = CHUNK,
+    spread: bool | str = False, chunk: int = CHUNK,
 ) -> DataFrame:
     """Replace readings far from the median of their ``2 * half + 1`` neighbours by that median.
 
@@ -80,7 +80,7 @@ def hampel_maximum(readings: DataFrame, half: int = 3, limit: float = 3.0, keys:
 
 
 def sustained_level(
-    readings: DataFrame, rows: int, keys: Sequence[str] = SERIES_KEY, tie: Sequence[str] = (), spread: bool = False, chunk: int = CHUNK
+    readings: DataFrame, rows: int, keys: Sequence[str] = SERIES_KEY, tie: Sequence[str] = (), spread: bool | str = False, chunk: int = CHUNK
 ) -> DataFrame:
     """Add ``held``: the lowest filled value of the last ``rows`` readings, NULL until complete."""
 

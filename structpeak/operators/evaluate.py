@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.functions.scalars import relative_error
-from structpeak.operators.hotkeys import TASK_ROWS, small_enough
+from structpeak.operators.hotkeys import MANY, TASK_ROWS, small_enough
 from structpeak.operators.labels import line_columns
 from structpeak.operators.ordering import exact_quantiles
 from structpeak.operators.sampling import fold_assignment
@@ -47,7 +47,7 @@ def _grouped(df: DataFrame, by: Sequence[str], aggs: list, medians: dict[str, st
         return df.groupBy(*by).agg(*aggs, *[F.percentile(c, 0.5).alias(n) for n, c in medians.items()])
     out = df.groupBy(*by).agg(*aggs)
     for n, c in medians.items():
-        found = exact_quantiles(df, by, c, {n: 0.5}, spread=True)
+        found = exact_quantiles(df, by, c, {n: 0.5}, spread=MANY)
         if not by:
             out = out.withColumn(n, found.select(n).scalar())
             continue

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 TASK_ROWS = 1_000_000
 # Most hot keys carried as a broadcast list; with more, everything takes the spread form.
 LISTED_KEYS = 10_000
+# How a part is to be worked on beyond one task per group; both are true.
+FEW = "few"  # at most LISTED_KEYS groups
+MANY = "many"
 # Rows a side may have to be broadcast on purpose.
 BROADCAST_ROWS = 100_000
 
@@ -26,29 +29,29 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]):
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS):
-    """``(ordinary, hot)`` parts of ``df``; a part that is empty by measurement is None."""
+    """``(ordinary, hot, spread)`` parts of ``df``; a part that is empty by measurement is None."""
     keys = list(keys)
-    narrow = df.select(*keys)
-    hot = narrow.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > task_rows).select(*keys)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = sizes.where(F.col("_rows") > task_rows).select(*keys)
     listed = hot.limit(LISTED_KEYS + 1).collect()
     if not listed:
-        return df, None
+        return df, None, False
     if len(listed) > LISTED_KEYS:
-        return None, df
+        return None, df, MANY
     hot_list = F.broadcast(df.sparkSession.createDataFrame(listed, hot.schema))
     match = same_key(df, hot_list, keys)
-    return df.join(hot_list, match, "left_anti"), df.join(hot_list, match, "left_semi")
+    return df.join(hot_list, match, "left_anti"), df.join(hot_list, match, "left_semi"), FEW
 
 
 def by_group_size(
     df: DataFrame,
     keys: Sequence[str],
-    build: Callable[[DataFrame, bool], DataFrame],
+    build: Callable[[DataFrame, bool | str], DataFrame],
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Run ``build(part, spread)`` on each part and append the results."""
-    ordinary, hot = split_hot(df, keys, task_rows)
-    parts = [build(p, spread) for p, spread in ((ordinary, False), (hot, True)) if p is not None]
+    ordinary, hot, spread = split_hot(df, keys, task_rows)
+    parts = [build(p, s) for p, s in ((ordinary, False), (hot, spread)) if p is not None]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from structpeak.operators.hotkeys import same_key
+from structpeak.operators.hotkeys import FEW
 
 CUTS = 64
 DIGEST_PREFIX = 3  # hex digits: 4096 buckets
@@ -55,66 +55,72 @@ def near_equal_part(position: Column, total: Column, parts: int) -> Column:
 
 
 def cumulative_histogram(
-    df: DataFrame, keys: Sequence[str], value: str, levels: int = 1, cuts: int = CUTS, weight: Column | None = None
+    df: DataFrame, keys: Sequence[str], value: str, levels: int = 1, cuts: int = CUTS, few_groups: bool = False
 ) -> DataFrame:
     """Distinct values per group with ``rows`` (ties), ``below`` (rows strictly smaller), ``total``.
 
     Equal values collapse before anything is ordered. The rest is cut at sketch quantiles;
     each level divides a bucket by ``cuts`` again. The cuts only decide who sorts what, so
-    the counts are exact whatever the sketch's error is.
+    the counts are exact whatever the sketch's error is. ``few_groups`` says the groups were
+    counted and are few, so their first cuts may be broadcast.
     """
-    keys = list(keys)
-    rows = F.count("*") if weight is None else F.sum(weight)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("rows"))
+    hist = _ordered_histogram(df, keys, value, levels, cuts, few_groups).where(F.col(value).isNotNull())
+    return hist.select(*[F.col("_g")[k].alias(k) for k in keys], value, "rows", "below", "total")
+
+
+def _ordered_histogram(df: DataFrame, keys: Sequence[str], value: str, levels: int, cuts: int, few_groups: bool) -> DataFrame:
+    """The histogram by ``_g``; a group's missing values give one row that counts nothing."""
+    hist = _grouped(df, keys).groupBy("_g", value).agg(F.count(value).alias("rows"))
     shares = [i / cuts for i in range(1, cuts)]
     path: list[str] = []
     for level in range(levels):
-        by = keys + path
-        name = f"_b{level}"
-        edges = hist.groupBy(*by).agg(F.percentile_approx(value, shares, 10_000).alias("_edges"))
-        if by:
-            joined = hist.join(edges.select(*[F.col(k).alias(f"_e_{k}") for k in by], "_edges"),
-                               _prefixed_match(hist, by), "left")
-            tagged = joined.withColumn(name, _bucket_of(value))
-            hist = tagged.drop("_edges", *[f"_e_{k}" for k in by])
-        else:
-            hist = hist.withColumn("_edges", edges.select("_edges").scalar()).withColumn(name, _bucket_of(value))
-            hist = hist.drop("_edges")
-        path.append(name)
-
-    sizes = hist.groupBy(*keys, *path).agg(F.sum("rows").alias("_rows"))
-    along = Window.partitionBy(*keys).orderBy(*path)
+        # asking for the counts here too lets both readers of the histogram share its exchange
+        edges = hist.groupBy("_g", *path).agg(
+            F.percentile_approx(value, shares, 10_000).alias("_edges"), F.sum("rows").alias("_held")
+        ).where(F.col("_held") >= 0).drop("_held")
+        if level == 0 and (few_groups or not keys):
+            edges = F.broadcast(edges)
+        hist = hist.join(edges, ["_g", *path]).withColumn(f"_b{level}", _bucket(value, cuts)).drop("_edges")
+        path.append(f"_b{level}")
+
+    sizes = hist.groupBy("_g", *path).agg(F.sum("rows").alias("_rows"))
+    along = Window.partitionBy("_g").orderBy(*path)
     sizes = sizes.select(
-        *[F.col(k).alias(f"_e_{k}") for k in keys + path],
+        "_g", *path,
         F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
-    inside = Window.partitionBy(*keys, *path).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_g", *path).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         hist.withColumn("_inside", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
-        .join(sizes, _prefixed_match(hist, keys + path), "left")
-        .select(*keys, value, "rows", (F.col("_inside") + F.col("_offset")).alias("below"), "total")
+        .join(sizes, ["_g", *path])
+        .select("_g", value, "rows", (F.col("_inside") + F.col("_offset")).alias("below"), "total")
     )
 
 
-def _bucket_of(value: str) -> Column:
-    return F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
+def _bucket(value: str, cuts: int) -> Column:
+    """Number of ``_edges`` below the value, by halving steps over the ordered edges."""
+    steps = [1 << b for b in range((cuts - 1).bit_length() - 1, -1, -1)]
 
+    def closer(found: Column, step: Column) -> Column:
+        below = F.get("_edges", found + step - 1) < F.col(value)
+        return F.when(below, found + step).otherwise(found)
 
-def _prefixed_match(left: DataFrame, names: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & left[n].eqNullSafe(F.col(f"_e_{n}"))
-    return out
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), closer)
+
+
+def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Group key as one struct: never NULL itself, and NULL parts are equal inside it."""
+    return df.withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], spread: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], spread: bool | str = False
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per name.
 
     ``spread=False`` uses the built-in aggregate (one buffer per group, so only for groups
-    of a checked size); ``spread=True`` reads the order statistics off the histogram.
+    of a checked size); otherwise the order statistics are read off the histogram.
     """
     keys = list(keys)
     if not spread:
@@ -122,7 +128,7 @@ def exact_quantiles(
         return df.groupBy(*keys).agg(values.alias("_q")).select(
             *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
         )
-    hist = cumulative_histogram(df, keys, value, levels=2)
+    hist = _ordered_histogram(df, keys, value, 2, CUTS, spread == FEW)
     aggs = []
     for n, q in quantiles.items():
         place = F.lit(float(q)) * (F.col("total") - 1)
@@ -130,14 +136,7 @@ def exact_quantiles(
             hit = (F.col("below") <= at) & (at < F.col("below") + F.col("rows"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{tag}_{n}"))
         aggs.append(F.max(place - F.floor(place)).alias(f"_f_{n}"))
-    out = hist.groupBy(*keys).agg(*aggs)
-    found = out.select(
-        *keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in quantiles]
-    )
-    if not keys:
-        return found
-    # groups whose values are all missing keep a row of NULLs, as the aggregate would give
-    groups = df.select(*keys).distinct()
-    return groups.join(found, same_key(groups, found, keys), "left").select(
-        *[groups[k] for k in keys], *quantiles
+    found = hist.groupBy("_g").agg(*aggs).select(
+        "_g", *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in quantiles]
     )
+    return found.select(*[F.col("_g")[k].alias(k) for k in keys], *quantiles)

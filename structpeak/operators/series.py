@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY
 from structpeak.functions.arrays import pad_to
-from structpeak.operators.hotkeys import same_key
+from structpeak.operators.hotkeys import FEW, same_key
 from structpeak.operators.ordering import exact_quantiles
 
 FLAT = 1e-9  # a scale at or below this counts as zero
@@ -26,7 +26,7 @@ def _order(ts: str, tie: Sequence[str]) -> list[Column]:
 
 
 def position_index(
-    df: DataFrame, keys: Sequence[str] = SERIES_KEY, ts: str = "ts", tie: Sequence[str] = (), spread: bool = False
+    df: DataFrame, keys: Sequence[str] = SERIES_KEY, ts: str = "ts", tie: Sequence[str] = (), spread: bool | str = False
 ) -> DataFrame:
     """Add ``pos``, the 1-based row position of each reading in its series."""
     keys = list(keys)
@@ -34,12 +34,11 @@ def position_index(
         by_time = Window.partitionBy(*keys).orderBy(*_order(ts, tie))
         return df.withColumn("pos", F.row_number().over(by_time).cast("bigint"))
     local = _slotted(df, keys, ts, tie)
-    sizes = local.groupBy(*keys, "_slot").agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    return _attach(local, offsets, [*keys, "_slot"], ["_offset"]).withColumn(
-        "pos", F.col("_local") + F.col("_offset")
-    ).drop("_local", "_slot", "_offset")
+    sizes = local.groupBy("_key", "_slot").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_key", "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = local.join(offsets, ["_key", "_slot"]).withColumn("pos", F.col("_local") + F.col("_offset"))
+    return numbered.drop("_local", "_slot", "_offset", "_key")
 
 
 def fill_gaps(
@@ -48,7 +47,7 @@ def fill_gaps(
     value: str = "value",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    spread: bool = False,
+    spread: bool | str = False,
     out: str = "filled",
 ) -> DataFrame:
     """Add ``pos`` and the gap-free value.
@@ -85,52 +84,58 @@ def _interpolated(value: str) -> Column:
 
 
 def _slotted(df: DataFrame, keys: list[str], ts: str, tie: Sequence[str]) -> DataFrame:
-    inside = Window.partitionBy(*keys, "_slot").orderBy(*_order(ts, tie))
-    return df.withColumn("_slot", F.date_trunc(SLOT, ts)).withColumn("_local", F.row_number().over(inside).cast("bigint"))
+    """Number rows inside (series, time slot).
 
-
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Left join on null-safe key equality, keeping the left names."""
-    side = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *columns)
-    match = F.lit(True)
-    for k in keys:
-        match = match & left[k].eqNullSafe(side[f"_r_{k}"])
-    return left.join(side, match, "left").drop(*[f"_r_{k}" for k in keys])
+    Key and slot are never NULL (a struct, and a first slot for missing times), so the same
+    exchange serves this window and the joins on both.
+    """
+    inside = Window.partitionBy("_key", "_slot").orderBy(*_order(ts, tie))
+    slot = F.coalesce(F.date_trunc(SLOT, ts).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    return (
+        df.withColumn("_key", F.struct(*keys)).withColumn("_slot", slot)
+        .withColumn("_local", F.row_number().over(inside).cast("bigint"))
+    )
 
 
 def _fill_gaps_spread(df, keys, value, ts, tie, out) -> DataFrame:
     local = _slotted(df, keys, ts, tie)
     good = F.when(F.col(value).isNotNull(), F.struct(F.col("_local").alias("p"), F.col(value).alias("v")))
-    slots = local.groupBy(*keys, "_slot").agg(
+    slots = local.groupBy("_key", "_slot").agg(
         F.count("*").alias("_rows"), F.min(good).alias("_first"), F.max(good).alias("_last")
     )
-    by_slot = Window.partitionBy(*keys).orderBy("_slot")
+    by_slot = Window.partitionBy("_key").orderBy("_slot")
     slots = slots.withColumn(
         "_offset", F.coalesce(F.sum("_rows").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     for edge in ("_first", "_last"):
         moved = F.struct((F.col(edge)["p"] + F.col("_offset")).alias("p"), F.col(edge)["v"].alias("v"))
         slots = slots.withColumn(edge, F.when(F.col(edge).isNotNull(), moved))
-    following = ", ".join(f"`{k}`" for k in keys)
-    slots = slots.withColumn(
-        "_before", F.last("_last", True).over(by_slot.rowsBetween(Window.unboundedPreceding, -1))
-    ).withColumn("_after", F.expr(f"lead(_first, 1) IGNORE NULLS OVER (PARTITION BY {following} ORDER BY _slot)"))
-    joined = _attach(local, slots, [*keys, "_slot"], ["_offset", "_before", "_after"])
-    inside = Window.partitionBy(*keys, "_slot").orderBy("_local")
-    partition = ", ".join(f"`{k}`" for k in [*keys, "_slot"])
+    slots = slots.select(
+        "_key", "_slot", "_offset",
+        F.last("_last", True).over(by_slot.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.expr("lead(_first, 1) IGNORE NULLS OVER (PARTITION BY _key ORDER BY _slot)").alias("_after"),
+    )
+    inside = Window.partitionBy("_key", "_slot").orderBy("_local")
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(value).alias("v")))
     return (
-        joined.withColumn("pos", F.col("_local") + F.col("_offset"))
+        local.join(slots, ["_key", "_slot"])
+        .withColumn("pos", F.col("_local") + F.col("_offset"))
         .withColumn("_good", known)
         .withColumn("_prev", F.last("_good", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_next", F.expr(f"lead(_good, 1) IGNORE NULLS OVER (PARTITION BY {partition} ORDER BY _local)"))
+        .withColumn("_next", F.expr("lead(_good, 1) IGNORE NULLS OVER (PARTITION BY _key, _slot ORDER BY _local)"))
         .withColumn("_prev", F.coalesce("_prev", "_before"))
         .withColumn("_next", F.coalesce("_next", "_after"))
         .withColumn(out, _interpolated(value))
-        .drop("_good", "_prev", "_next", "_before", "_after", "_offset", "_local", "_slot")
+        .drop("_good", "_prev", "_next", "_before", "_after", "_offset", "_local", "_slot", "_key")
     )
 
 
+def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], few: bool = False) -> DataFrame:
+    """Left join of per-group columns; a NULL key part is a group of its own."""
+    side = right.select(F.struct(*keys).alias("_key"), *columns)
+    return left.withColumn("_key", F.struct(*keys)).join(F.broadcast(side) if few else side, "_key", "left").drop("_key")
+
+
 def scale_of(q_low: Column, q_high: Column, deviation: Column) -> Column:
     """Interquantile range, else standard deviation, else one."""
     width = q_high - q_low
@@ -143,7 +148,7 @@ def robust_scaler(
     value: str = "value",
     q_low: float = 0.25,
     q_high: float = 0.75,
-    spread: bool = False,
+    spread: bool | str = False,
 ) -> DataFrame:
     """Median and interquantile scale of each group's present values; (0, 1) when there are none."""
     keys = list(keys)
@@ -155,7 +160,7 @@ def robust_scaler(
         stats = stats.select(*keys, "_sd", "n_good", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     else:
         sd = df.groupBy(*keys).agg(deviation, F.count(value).alias("n_good"))
-        stats = _attach(sd, exact_quantiles(df, keys, value, names, spread=True), keys, list(names))
+        stats = _attach(sd, exact_quantiles(df, keys, value, names, spread), keys, list(names))
     return stats.select(
         *keys,
         "n_good",
@@ -170,12 +175,12 @@ def with_scaler(
     value: str = "value",
     q_low: float = 0.25,
     q_high: float = 0.75,
-    spread: bool = False,
+    spread: bool | str = False,
 ) -> DataFrame:
     """Add ``median`` and ``scale`` of the own group to every row."""
     keys = list(keys)
     if spread:
-        return _attach(df, robust_scaler(df, keys, value, q_low, q_high, True), keys, ["median", "scale"])
+        return _attach(df, robust_scaler(df, keys, value, q_low, q_high, spread), keys, ["median", "scale"], spread == FEW)
     group = Window.partitionBy(*keys)
     return (
         df.withColumn("_q", F.percentile(value, F.array(F.lit(q_low), F.lit(0.5), F.lit(q_high))).over(group))
@@ -237,7 +242,7 @@ def series_windows(
     keys: Sequence[str] = SERIES_KEY,
     tie: Sequence[str] = (),
     pad_short: bool = True,
-    spread: bool = False,
+    spread: bool | str = False,
 ) -> DataFrame:
     """Readings to windows in scaled units: filled, cut, and scaled by the own series.
 
@@ -260,7 +265,7 @@ def full_groups(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
 
 
 def annual_quantile(
-    windows: DataFrame, array: str, quantile: float, keys: Sequence[str] = SERIES_KEY, spread: bool = False, out: str = "peak"
+    windows: DataFrame, array: str, quantile: float, keys: Sequence[str] = SERIES_KEY, spread: bool | str = False, out: str = "peak"
 ) -> DataFrame:
     """High quantile over all points of all windows of a series; NULL when no point is finite."""
     points = windows.select(*keys, F.explode(array).alias("_x"))

@@ -27,7 +27,7 @@ def config_with_stats(config: PeakConfig, months: DataFrame | None) -> PeakConfi
 
 
 def _windows(readings: DataFrame, config: PeakConfig, months: DataFrame | None, tie: Sequence[str], pad_short: bool) -> DataFrame:
-    def build(part: DataFrame, spread: bool) -> DataFrame:
+    def build(part: DataFrame, spread: bool | str) -> DataFrame:
         return series_windows(part, config.length, tie=tie, pad_short=pad_short, spread=spread)
 
     windows = by_group_size(readings, SERIES_KEY, build)

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from structpeak.functions.draws import order_digest
+from structpeak.operators.hotkeys import FEW, MANY
 from structpeak.operators.ordering import cumulative_histogram, digest_rank, exact_quantiles, near_equal_part
 
 
@@ -36,7 +37,7 @@ def test_cumulative_histogram(skewed, levels, cuts):
         assert mine == [(v, c, b, len(vs)) for v, c, b in zip(values, counts, np.cumsum(counts) - counts)]
 
 
-@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("spread", [False, FEW, MANY])
 def test_exact_quantiles(skewed, spread):
     groups, df = skewed
     qs = {"lo": 0.0, "a": 0.25, "m": 0.5, "h": 0.999, "hi": 1.0}

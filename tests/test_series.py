@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from structpeak.operators import series as S
 from structpeak.operators.baselines import hampel_filter, sustained_level
-from structpeak.operators.hotkeys import by_group_size, split_hot
+from structpeak.operators.hotkeys import FEW, MANY, by_group_size, split_hot
 from structpeak.plans.scoring import raw_window_peaks
 
 KEY = ["region", "entity", "year"]
@@ -36,7 +36,7 @@ def numpy_fill(values):
     return np.interp(np.arange(len(x)), np.flatnonzero(good), x[good]) if good.any() else np.zeros(len(x))
 
 
-@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("spread", [False, FEW, MANY])
 def test_gap_fill(mixed, spread):
     groups, df = mixed
     got = S.fill_gaps(df, KEY, tie=["i"], spread=spread).orderBy("entity", "pos").collect()
@@ -55,7 +55,7 @@ def numpy_scale(values):
     return float(np.median(x)), hi - lo if hi - lo > 1e-9 else (float(np.std(x)) or 1.0)
 
 
-@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("spread", [False, FEW, MANY])
 def test_robust_scaler(mixed, spread):
     groups, df = mixed
     got = {r["entity"]: (r["median"], r["scale"]) for r in S.robust_scaler(df, KEY, spread=spread).collect()}
@@ -81,7 +81,7 @@ def numpy_windows(values, length, stride):
     return [list(s[i * stride : i * stride + length]) for i in range(1 + (len(s) - length) // stride)]
 
 
-@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("spread", [False, FEW, MANY])
 @pytest.mark.parametrize("length,stride", [(144, 144), (24, 24), (24, 10), (24, 30), (24, 1)])
 def test_windows(mixed, spread, length, stride):
     groups, df = mixed
@@ -109,7 +109,8 @@ def test_window_of_300_points(spark):
 def test_hot_series_takes_the_spread_form(mixed):
     """Routing by size gives the same peaks as one form for all, and as numpy."""
     groups, df = mixed
-    ordinary, hot = split_hot(df, KEY, 250)
+    ordinary, hot, spread = split_hot(df, KEY, 250)
+    assert spread == FEW
     assert {r[0] for r in hot.select("entity").distinct().collect()} == {"full", "holes", "late"}
     assert ordinary.count() + hot.count() == df.count()
     split = raw_window_peaks(df, 24, 0.99, ["i"], task_rows=250).collect()
@@ -141,7 +142,7 @@ def test_full_groups(mixed):
     assert kept == {"full", "holes", "flat", "late"}
 
 
-@pytest.mark.parametrize("spread,chunk", [(False, 1), (True, 37), (True, 2)])
+@pytest.mark.parametrize("spread,chunk", [(False, 1), (FEW, 37), (MANY, 2)])
 def test_hampel_and_sustained_by_chunks(mixed, spread, chunk):
     groups, df = mixed
     cleaned = hampel_filter(df, 3, 3.0, KEY, ["i"], spread, chunk).orderBy("entity", "pos").collect()
