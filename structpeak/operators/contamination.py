@@ -67,7 +67,7 @@ def contaminated_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[s
                         contaminate(F.col("values"), seed, config).alias("contaminated"))
 
     copies = F.array(*[copy(r) for r in range(1, config.replicas + 1)])
-    return windows.select("*", F.inline(copies))
+    return windows.select("*", F.inline_outer(copies))
 
 
 def with_channels(windows: DataFrame, config: PeakConfig, values: str = "values") -> DataFrame:

@@ -244,7 +244,7 @@ def fit_denoiser(
             coefficients = _solve(sums, config.length, config.ridge)
         encode, decode = _cut_rank(coefficients, sums, config.latent)
         bare = Denoiser(config, encode, decode, version)
-        codes = window_codes(examples, bare, "input").select(F.posexplode("codes").alias("component", "code"))
+        codes = window_codes(examples, bare, "input").select(F.posexplode_outer("codes").alias("component", "code"))
         center, width = code_statistics(codes)
     finally:
         examples.unpersist()

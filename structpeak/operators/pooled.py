@@ -20,7 +20,7 @@ POOL_QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
 def pooled_codes(windows: DataFrame, model: Denoiser, keys: Sequence[str] = SERIES_KEY, spread: bool | str = False) -> DataFrame:
     """One row per series: mean and quantiles of every code, in component order."""
     keys = list(keys)
-    codes = window_codes(windows, model).select(*keys, F.posexplode("codes").alias("component", "code"))
+    codes = window_codes(windows, model).select(*keys, F.posexplode_outer("codes").alias("component", "code"))
     by = [*keys, "component"]
     means = codes.groupBy(*by).agg(F.avg("code").alias("mean"))
     parts = means.join(exact_quantiles(codes, by, "code", POOL_QUANTILES, spread), by)

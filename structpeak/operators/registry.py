@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +123,3 @@ def align_windows(windows: DataFrame, months: DataFrame, stats: DataFrame | dict
         .drop("_region", "_entity", "_first", "_months", "_found")
     )
 
-
-def network_length(parts: DataFrame, keys: Sequence[str], length: str, out: str = "km") -> DataFrame:
-    """Summed length in thousands per circuit and month, in calendar order."""
-    return parts.groupBy(*keys).agg((F.sum(length) / 1000).alias(out))

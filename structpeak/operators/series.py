@@ -268,6 +268,7 @@ def annual_quantile(
     windows: DataFrame, array: str, quantile: float, keys: Sequence[str] = SERIES_KEY, spread: bool | str = False, out: str = "peak"
 ) -> DataFrame:
     """High quantile over all points of all windows of a series; NULL when no point is finite."""
-    points = windows.select(*keys, F.explode(array).alias("_x"))
+    # the outer form: a plain explode makes the optimiser evaluate the array twice, to test its size
+    points = windows.select(*keys, F.explode_outer(array).alias("_x"))
     present = F.when(~F.isnan("_x") & (F.abs("_x") < F.lit(float("inf"))), F.col("_x"))
     return exact_quantiles(points.withColumn("_x", present), keys, "_x", {out: quantile}, spread)

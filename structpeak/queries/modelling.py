@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from structpeak.operators.hotkeys import by_group_size
-from structpeak.operators.model import block_mean_denoiser, fit_denoiser, limit_codes, reconstruct, window_codes, decoder
+from structpeak.operators.model import block_mean_denoiser, fit_denoiser, limit_codes, reconstruct, window_codes
 from structpeak.operators.contamination import contaminated_copies
 from structpeak.operators.pooled import pooled_codes, regress_on_codes
 from structpeak.operators.refit import kappa_losses, labelled_examples
@@ -19,7 +19,7 @@ from structpeak.operators.series import series_windows
 from structpeak.plans.scoring import annual_peaks
 from structpeak.plans.training import refit_on_labels, train, training_windows
 from structpeak.queries.base import CONFIG, KEY, LENGTH, MEASURE, TIE, labels, months, query, readings, results, rounded, sql
-from structpeak.queries.series import _DIRTY, _registry_windows, _windows
+from structpeak.queries.series import _DIRTY, _windows
 
 PLAIN = replace(CONFIG, channels=("value",))
 FIXED = block_mean_denoiser(PLAIN, 6)
@@ -36,7 +36,7 @@ _BLOCKS = """SELECT region, entity, year, window_id, i // 4 AS block, avg(z) AS
 def reconstructed_windows(spark, sf):
     """Batched matrix product on the workers, here with block-mean weights."""
     df = reconstruct(_windows(spark, sf), FIXED)
-    out = df.select(*KEY, "window_id", F.posexplode(F.arrays_zip(F.col("values").alias("z"), "structural")).alias("i", "p"))
+    out = df.select(*KEY, "window_id", F.posexplode_outer(F.arrays_zip(F.col("values").alias("z"), "structural")).alias("i", "p"))
     return rounded(out.select(*KEY, "window_id", "i", "p.z", "p.structural"), 6, "z", "structural")
 
 
@@ -97,7 +97,7 @@ def limited_reconstruction(spark, sf):
     """Codes before and after the limit."""
     coded = window_codes(_windows(spark, sf), FIXED).withColumn("limited", limit_codes(F.col("codes"), FIXED, 0.75))
     packed = F.arrays_zip(F.col("codes").alias("code"), "limited")
-    out = coded.select(*KEY, "window_id", F.posexplode(packed).alias("block", "p")).select(*KEY, "window_id", "block", "p.*")
+    out = coded.select(*KEY, "window_id", F.posexplode_outer(packed).alias("block", "p")).select(*KEY, "window_id", "block", "p.*")
     return rounded(out, 6, "code", "limited")
 
 
@@ -151,7 +151,7 @@ def pooled_code_summaries(spark, sf):
         readings(spark, sf), KEY,
         lambda p, spread: pooled_codes(series_windows(p, LENGTH, tie=TIE, spread=spread), FIXED, KEY, spread))
     steps = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda c: F.slice("summary", c * 4 + 1, F.lit(4)))
-    out = pooled.select(*KEY, F.posexplode(steps).alias("component", "s")).select(
+    out = pooled.select(*KEY, F.posexplode_outer(steps).alias("component", "s")).select(
         *KEY, "component", *[F.col("s")[i].alias(n) for i, n in enumerate(("mean", "q10", "q50", "q90"))])
     return rounded(out, 6, "mean", "q10", "q50", "q90")
 

@@ -10,7 +10,7 @@ from structpeak.operators.ordering import exact_quantiles
 from structpeak.operators.registry import align_registry, align_windows, registry_months, registry_stats
 from structpeak.operators.sampling import rows_of_sample, sample_entities, sample_windows
 from structpeak.operators.series import (
-    annual_quantile, fill_gaps, fixed_windows, full_groups, position_index, robust_scaler, series_windows, unscaled, with_scaler,
+    fill_gaps, fixed_windows, full_groups, position_index, robust_scaler, series_windows, unscaled, with_scaler,
 )
 from structpeak.plans.scoring import raw_window_peaks
 from structpeak.queries.base import (
@@ -107,7 +107,7 @@ def annual_quantile_query(spark, sf):
 
 
 def _points(df, array="filled"):
-    return df.select(*KEY, "window_id", F.posexplode(array).alias("i", "v"))
+    return df.select(*KEY, "window_id", F.posexplode_outer(array).alias("i", "v"))
 
 
 def _filled_windows(spark, sf, length, stride=None):
@@ -145,7 +145,7 @@ def overlapping_windows(spark, sf):
 def padded_windows(spark, sf):
     """Series shorter than one window of 144: extended with the last value."""
     df = _filled_windows(spark, sf, 144)
-    return rounded(df.select(*KEY, "size", "window_id", F.posexplode("filled").alias("i", "v")), 6, "v")
+    return rounded(df.select(*KEY, "size", "window_id", F.posexplode_outer("filled").alias("i", "v")), 6, "v")
 
 
 @query("full_groups", sql(("readings",), """
@@ -189,7 +189,7 @@ def registry_alignment(spark, sf):
 def window_alignment(spark, sf):
     """Scaled windows of every series with the registry looked up per point."""
     packed = F.arrays_zip(F.col("values").alias("z"), "level", "level_delta")
-    out = _registry_windows(spark, sf).select(*KEY, "window_id", F.posexplode(packed).alias("i", "p"))
+    out = _registry_windows(spark, sf).select(*KEY, "window_id", F.posexplode_outer(packed).alias("i", "p"))
     return rounded(out.select(*KEY, "window_id", "i", "p.z", "p.level", "p.level_delta"), 6, "z", "level", "level_delta")
 
 
@@ -226,7 +226,7 @@ def window_channels(spark, sf):
     df = with_channels(_windows(spark, sf), CONFIG)
     packed = F.arrays_zip(F.col("channels.value").alias("z"), F.col("channels.derivative").alias("derivative"),
                           F.col("channels.spread").alias("spread"))
-    out = df.select(*KEY, "window_id", F.posexplode(packed).alias("i", "p")).select(*KEY, "window_id", "i", "p.*")
+    out = df.select(*KEY, "window_id", F.posexplode_outer(packed).alias("i", "p")).select(*KEY, "window_id", "i", "p.*")
     return rounded(out, 5, "z", "derivative", "spread")
 
 
@@ -274,7 +274,7 @@ _DIRTY_LISTS = """SELECT region, entity, year, window_id, replica, list(x ORDER
 def contaminated_windows(spark, sf):
     df = contaminated_copies(_windows(spark, sf), CONFIG, KEY)
     packed = F.arrays_zip(F.col("values").alias("z"), F.col("contaminated").alias("x"))
-    out = df.select(*KEY, "window_id", "replica", F.posexplode(packed).alias("i", "p"))
+    out = df.select(*KEY, "window_id", "replica", F.posexplode_outer(packed).alias("i", "p"))
     return rounded(out.select(*KEY, "window_id", "replica", "i", "p.z", "p.x"), 5, "z", "x")
 
 
@@ -289,7 +289,7 @@ def contaminated_channels(spark, sf):
     df = with_channels(contaminated_copies(_windows(spark, sf), CONFIG, KEY), CONFIG, "contaminated")
     packed = F.arrays_zip(F.col("channels.value").alias("x"), F.col("channels.derivative").alias("derivative"),
                           F.col("channels.spread").alias("spread"), F.col("values").alias("target"))
-    out = df.select(*KEY, "window_id", "replica", F.posexplode(packed).alias("i", "p")).select(*KEY, "window_id", "replica", "i", "p.*")
+    out = df.select(*KEY, "window_id", "replica", F.posexplode_outer(packed).alias("i", "p")).select(*KEY, "window_id", "replica", "i", "p.*")
     return rounded(rounded(out, 5, "x", "derivative", "target"), 4, "spread")
 
 

@@ -8,7 +8,7 @@ from structpeak.config import RESULT_KEY
 from structpeak.operators.merge import upsert
 from structpeak.operators.sampling import rows_outside
 from structpeak.plans.reports import network_by_month
-from structpeak.queries.base import MEASURE, query, readings, results, sql, suppliers, table
+from structpeak.queries.base import query, readings, results, sql, suppliers, table
 from structpeak.sources.tables import as_readings, catalog_table, read_region, union_regions
 
 

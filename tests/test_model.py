@@ -102,3 +102,16 @@ def test_regression_on_codes(spark):
     labels = spark.createDataFrame([(*k, float(v)) for k, v in list(zip(key, y))[:40]], schema + ", label double")
     got = {r["entity"]: r["predicted"] for r in regress_on_codes(pooled, base, labels, "start", "label", ridge=0.0).collect()}
     assert np.allclose([got[k[1]] for k in key], y, atol=1e-6)
+
+
+def test_scoring_exchanges(spark, tmp_path):
+    """One exchange for the series, one for the quantile's partial buffers; Python runs once."""
+    from structpeak.operators.series import annual_quantile
+    from structpeak.plans.scoring import structural_windows
+
+    synthetic.series(spark, ["a", "b"]).drop("truth").write.parquet(str(tmp_path / "r"))
+    windows = structural_windows(spark.read.parquet(str(tmp_path / "r")), block_mean_denoiser(CONFIG, 12))
+    peaks = annual_quantile(windows, "structural", 0.999)
+    peaks.collect()
+    plan = peaks._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 1

@@ -146,3 +146,11 @@ def test_contamination_keeps_shape_and_is_seeded(spark):
     assert abs(np.std([r["contaminated"] for r in quiet]) - 0.05) < 0.002
     again = contaminated_copies(windows.repartition(9), config).orderBy("window_id", "replica").collect()
     assert sorted(again) == sorted(got)
+
+
+def test_durable_keeps_rows(spark):
+    from structpeak.session import durable
+
+    df = spark.range(100).withColumn("x", F.col("id") * 2)
+    kept = durable(df)
+    assert rows(kept) == rows(df) and "Range" not in kept._jdf.queryExecution().executedPlan().toString()
