@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from structpeak.operators.baselines import (
-    daily_medians, hampel_maximum, level_segments, normal_segment_maximum, raw_maximum, raw_quantiles, segment_features,
+    daily_medians, hampel_filter, hampel_maximum, level_segments, normal_segment_maximum, raw_maximum, raw_quantiles, segment_features,
     sustained_maximum, vote_segments,
 )
+from structpeak.operators.hotkeys import FEW, MANY
+from structpeak.operators.ordering import exact_quantiles
 from structpeak.operators.refit import soft_peak
 from structpeak.plans.scoring import raw_window_peaks
 from structpeak.queries.base import KEY, LENGTH, TIE, months, query, readings, rounded, sql
 
 
+_HAMPEL = """
+    SELECT region, entity, year, round(max(CASE WHEN abs(value - mid) > 3.0 * 1.4826 * list_median(list_transform(near, lambda x: abs(x - mid)))
+                                     THEN mid ELSE value END), 6) AS hampel_max
+    FROM (SELECT *, list_median(near) AS mid FROM
+           (SELECT *, list_filter(list(value) OVER (PARTITION BY region, entity, year ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING),
+                                  lambda x: x IS NOT NULL) AS near FROM indexed))
+    GROUP BY region, entity, year"""
+
+
 @query("raw_maximum", sql(("readings",), "SELECT region, entity, year, max(value) AS raw_max FROM readings GROUP BY region, entity, year"))
 def raw_maximum_query(spark, sf):
     return raw_maximum(readings(spark, sf), KEY)
@@ -26,6 +37,20 @@ def raw_quantiles_query(spark, sf):
     return rounded(raw_quantiles(readings(spark, sf), qs, KEY), 6, *qs)
 
 
+@query("raw_quantiles_spread", sql(("readings",), """
+    SELECT region, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.999), 6) AS p999 FROM readings GROUP BY region"""))
+def raw_quantiles_spread(spark, sf):
+    """Few large groups, their order statistics read off ordered buckets."""
+    return rounded(exact_quantiles(readings(spark, sf), ["region"], "value", {"p50": 0.5, "p999": 0.999}, FEW), 6, "p50", "p999")
+
+
+@query("hampel_maximum_spread", sql(("indexed",), _HAMPEL))
+def hampel_maximum_spread(spark, sf):
+    """The filter on position chunks of forty readings with repeated borders."""
+    cleaned = hampel_filter(readings(spark, sf), 3, 3.0, KEY, TIE, MANY, chunk=40)
+    return rounded(cleaned.groupBy(*KEY).agg(F.max("cleaned").alias("hampel_max")), 6, "hampel_max")
+
+
 @query("soft_peak", sql(("readings",), """
     SELECT r.region, r.entity, r.year, round(sum(exp((value - top) / 500.0) * value) / sum(exp((value - top) / 500.0)), 4) AS soft_peak
     FROM readings r JOIN (SELECT region, entity, year, max(value) AS top FROM readings GROUP BY region, entity, year) t
@@ -34,13 +59,7 @@ def soft_peak_query(spark, sf):
     return rounded(soft_peak(readings(spark, sf), KEY, "value", 500.0), 4, "soft_peak")
 
 
-@query("hampel_maximum", sql(("indexed",), """
-    SELECT region, entity, year, round(max(CASE WHEN abs(value - mid) > 3.0 * 1.4826 * list_median(list_transform(near, lambda x: abs(x - mid)))
-                                     THEN mid ELSE value END), 6) AS hampel_max
-    FROM (SELECT *, list_median(near) AS mid FROM
-           (SELECT *, list_filter(list(value) OVER (PARTITION BY region, entity, year ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING),
-                                  lambda x: x IS NOT NULL) AS near FROM indexed))
-    GROUP BY region, entity, year"""))
+@query("hampel_maximum", sql(("indexed",), _HAMPEL))
 def hampel_maximum_query(spark, sf):
     return rounded(hampel_maximum(readings(spark, sf), 3, 3.0, KEY, TIE), 6, "hampel_max")
 

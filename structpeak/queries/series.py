@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from structpeak.operators.contamination import contaminated_copies, with_channels
-from structpeak.operators.hotkeys import by_group_size
+from structpeak.operators.hotkeys import MANY, by_group_size
 from structpeak.operators.ordering import exact_quantiles
 from structpeak.operators.registry import align_registry, align_windows, registry_months, registry_stats
 from structpeak.operators.sampling import rows_of_sample, sample_entities, sample_windows
@@ -36,6 +36,21 @@ def annual_window_peak(spark, sf):
     return rounded(raw_window_peaks(readings(spark, sf), LENGTH, 0.999, TIE), 6, "peak")
 
 
+@query("annual_window_peak_spread", sql(("points",), """
+    SELECT region, entity, year, round(quantile_cont(v, 0.999), 6) AS peak FROM points GROUP BY region, entity, year"""))
+def annual_window_peak_spread(spark, sf):
+    """The same chain with series above 60 readings treated as too long for one task."""
+    return rounded(raw_window_peaks(readings(spark, sf), LENGTH, 0.999, TIE, task_rows=60), 6, "peak")
+
+
+@query("gap_fill_spread", sql(("filled",), """
+    SELECT region, entity, year, pos, round(value, 6) AS value, round(filled, 6) AS filled FROM filled"""))
+def gap_fill_spread(spark, sf):
+    """Gaps filled across time slots, every series in the spread form."""
+    filled = fill_gaps(readings(spark, sf), KEY, tie=TIE, spread=MANY)
+    return rounded(filled.select(*KEY, "pos", "value", "filled"), 6, "value", "filled")
+
+
 @query("position_index", sql(("indexed",), """
     SELECT region, entity, year, l_orderkey, l_linenumber, l_partkey, tie_price, pos FROM indexed"""))
 def position_index_query(spark, sf):
