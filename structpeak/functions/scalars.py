@@ -24,10 +24,19 @@ def relative_error(predicted: Column, actual: Column) -> Column:
     return F.abs(predicted - actual) / F.abs(actual)
 
 
-def minutes_between(start: Column, end: Column) -> Column:
-    """Whole seconds between two timestamps, in minutes, as double."""
-    seconds = F.timestamp_diff("SECOND", F.date_trunc("second", start), F.date_trunc("second", end))
-    return seconds.cast("double") / F.lit(60.0)
+def minutes_between(start: Column, end: Column, wall_clock: bool = False) -> Column:
+    """Whole seconds between two timestamps, in minutes, as double.
+
+    Instants are compared by default; ``wall_clock`` is for timestamps without a time zone,
+    whose difference must not depend on the session's zone.
+    """
+    if not wall_clock:
+        return (F.unix_timestamp(end) - F.unix_timestamp(start)).cast("double") / F.lit(60.0)
+
+    def seconds(t: Column) -> Column:
+        return F.unix_date(F.to_date(t)).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+
+    return (seconds(end) - seconds(start)).cast("double") / F.lit(60.0)
 
 
 def like_class(column: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from structpeak.functions.scalars import guarded_ratio, like_class, minutes_between
 from structpeak.operators.joins import interval_left_join
@@ -80,7 +81,8 @@ def predominant(costs: DataFrame) -> DataFrame:
 
 def run_durations(timeline: DataFrame, workspace: Column) -> DataFrame:
     """Start, end and summed minutes of every run; open periods count zero."""
-    minutes = minutes_between(F.col("period_start_time"), F.col("period_end_time"))
+    wall_clock = isinstance(timeline.schema["period_start_time"].dataType, TimestampNTZType)
+    minutes = minutes_between(F.col("period_start_time"), F.col("period_end_time"), wall_clock)
     return timeline.where(F.col("workspace_id") == workspace).groupBy("job_id", F.col("run_id").alias("job_run_id")).agg(
         F.min("period_start_time").alias("run_start_time"),
         F.max("period_end_time").alias("run_end_time"),

@@ -32,8 +32,19 @@ def test_like_class_order(spark):
 
 def test_minutes_and_version(spark):
     a, b = (F.lit(t).cast("timestamp") for t in ("2024-01-01 00:00:00.9", "2024-01-01 01:30:30.1"))
-    got = one(spark, minutes_between(a, b), version_text("h0", b))
-    assert got[0] == 90.5 and got[1] == "h0_20240101_0130"
+    got = one(spark, minutes_between(a, b), version_text("h0", b), minutes_between(a.cast("timestamp_ntz"), b.cast("timestamp_ntz"), True))
+    assert got[0] == got[2] == 90.5 and got[1] == "h0_20240101_0130"
+
+
+def test_wall_clock_minutes_ignore_the_zone(spark):
+    """A day without a zone has 24 hours even where the session's zone changes its clock."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        a, b = (F.lit(t).cast("timestamp_ntz") for t in ("2024-03-10 00:00:00", "2024-03-11 00:00:00"))
+        got = one(spark, minutes_between(a, b, True), minutes_between(a.cast("timestamp"), b.cast("timestamp")))
+        assert list(got) == [1440.0, 1380.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 @pytest.mark.parametrize("length,width", [(2, 7), (24, 7), (24, 4), (5, 1)])
