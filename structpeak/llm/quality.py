@@ -3,7 +3,7 @@
 A text shows indicators of n-grams: its words, pairs of neighbouring words, and the first and last three
 bytes of words; a word equal to the one before it stands as a repeat sign. Indicators are hashed
 into a table of fixed size. Log-count ratios of the two classes come from all labelled rows, in
-one distributed count. Indicators scaled by these ratios are the inputs of a linear
+one distributed count. Indicators scaled by these ratios, each text's brought to unit length, are the inputs of a linear
 hinge-loss model, fitted by dual coordinate descent on a bounded sample; a logistic curve
 over margins of sample rows outside the fit turns margins into probabilities.
 
@@ -32,8 +32,8 @@ REPEAT = np.uint64(0x52455045)
 
 @dataclass
 class Model:
-    weight: np.ndarray  # per indicator, log-count ratio already multiplied in
-    bias: float
+    ratio: np.ndarray
+    weight: np.ndarray
     slope: float
     shift: float
 
@@ -77,10 +77,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(count[0][some], seen[0])), pa.array(np.append(count[1][some], seen[1]))], ["slot", "zero", "one"])
 
 
+def margins(document: np.ndarray, slot: np.ndarray, n: int, ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted sums over each document's ratio-scaled indicators, brought to unit length."""
+    length = np.sqrt(np.bincount(document, ratio[slot] ** 2, n))
+    return np.bincount(document, ratio[slot] * weight[slot], n) / np.maximum(length, 1e-9)
+
+
 def descend(index: np.ndarray, ptr: np.ndarray, sign: np.ndarray, ratio: np.ndarray, cost: float, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the squared-norm, hinge-loss model over ratio-scaled indicators; the last weight is the bias."""
     rows = [index[ptr[i]:ptr[i + 1]] for i in range(len(sign))]
-    value = [ratio[r] for r in rows]
+    value = [ratio[r] / max(np.linalg.norm(ratio[r]), 1e-9) for r in rows]
     norm = np.array([v @ v + 1.0 for v in value])
     weight, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(sign))
     share = {c: len(sign) / (2.0 * max(np.count_nonzero(sign == c), 1)) for c in (-1, 1)}
@@ -102,15 +108,15 @@ def descend(index: np.ndarray, ptr: np.ndarray, sign: np.ndarray, ratio: np.ndar
     return weight, bias
 
 
-def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of largest likelihood, by damped Newton steps on softened targets."""
-    ones, zeros = np.count_nonzero(label), np.count_nonzero(label == 0)
+def logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of largest weighted likelihood, by damped Newton steps on softened targets."""
+    ones, zeros = weight[label == 1].sum(), weight[label == 0].sum()
     target = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.stack([margin, np.ones_like(margin)], axis=1)
     at = np.array([1.0, np.log((ones + 1) / (zeros + 1))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (target - p) - 1e-6 * at)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (target - p)) - 1e-6 * at)
         at = at + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -125,10 +131,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "quality", fit_r
     head = counted["slot"] == -1
     seen = counted.loc[head, ["zero", "one"]].sum().to_numpy(float)
     if not seen.all():
-        return Model(np.zeros(1 << BITS), 0.0, 0.0, float(np.sign(seen[1] - seen[0])) * 30.0)
-    shown = np.ones((2, 1 << BITS))
-    shown[:, counted.loc[~head, "slot"]] += counted.loc[~head, ["zero", "one"]].to_numpy(float).T
-    share = shown / (seen[:, None] + 2)
+        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, float(np.sign(seen[1] - seen[0])) * 30.0)
+    shown = np.zeros((2, 1 << BITS))
+    shown[:, counted.loc[~head, "slot"]] = counted.loc[~head, ["zero", "one"]].to_numpy(float).T
+    share = (shown + 2 * seen[:, None] / seen.sum()) / seen[:, None]  # what was never seen speaks for no class
     ratio = np.log(share[1] / share[0])
     keyed = rows.select("label", F.struct(F.xxhash64("text").alias("at"), "text").alias("row"))
     cells = keyed.groupBy("label", F.pmod(F.col("row.at"), F.lit(fit_rows)).alias("cell")).agg(F.min("row").alias("row"))
@@ -143,21 +149,19 @@ def train(labelled: DataFrame, text: str = "text", label: str = "quality", fit_r
     owner, slots = np.concatenate(owner), np.concatenate(slots)
     ptr = runs_of(owner, len(sample))
     value = np.array([r["label"] for r in sample], np.int64)
-    scale = ratio / np.sqrt(max((ratio[slots] ** 2).sum() / max(len(sample), 1), 1e-9))  # rows of unit norm on average
     fitted = np.arange(len(sample)) % 4 != 0
     if len(set(value[fitted].tolist())) < 2 or len(set(value[~fitted].tolist())) < 2:
         fitted[:] = True
     chosen = np.flatnonzero(fitted)
     size = np.diff(ptr)[chosen]
     flat = slots[np.repeat(fitted, np.diff(ptr))]
-    weight, bias = descend(flat, np.concatenate(([0], np.cumsum(size))), 2 * value[chosen] - 1, scale, cost)
-    weight = weight * scale
-    margin = np.bincount(owner, weight[slots], len(sample)) + bias
+    weight, bias = descend(flat, np.concatenate(([0], np.cumsum(size))), 2 * value[chosen] - 1, ratio, cost)
+    margin = margins(owner, slots, len(sample), ratio, weight) + bias
     held = ~fitted if not fitted.all() else fitted
-    # the curve must see the classes as often as they are labelled
-    shift_odds = np.log(seen[1] / seen[0]) - np.log(np.count_nonzero(value[held]) / np.count_nonzero(value[held] == 0))
-    slope, shift = logistic(margin[held], value[held])
-    return Model(weight, bias, slope, shift + slope * bias + float(shift_odds))
+    # the curve sees the classes as often as they are labelled
+    often = np.array([seen[c] / max(np.count_nonzero(value[held] == c), 1) for c in (0, 1)])
+    slope, shift = logistic(margin[held], value[held], often[value[held]] / often.max())
+    return Model(ratio, weight, slope, shift + slope * bias)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,7 +172,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             data, borders, _ = column_bytes(batch.column(1))
             for lo, hi, part, local in blocks(data, borders):
                 document, slot = indicators(part, local)
-                margin = np.bincount(document, model.weight[slot], hi - lo)
+                margin = margins(document, slot, hi - lo, model.ratio, model.weight)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.score(margin))], ["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()

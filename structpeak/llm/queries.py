@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structpeak.llm import boilerplate, byte_pairs, language, packing, quality
+from structpeak.llm import boilerplate, byte_pairs, hyperminhash, language, packing, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,3 +72,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = boilerplate.train(labelled(spark, sf_dir))
     return boilerplate.judge(table(spark, sf_dir, "documents"), chain)
+
+
+@query("op9_hyperminhash_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
