@@ -51,19 +51,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidate_groups(members: DataFrame) -> DataFrame:
-    """Rows (band, id, size) of bands with two ids or more, with the band's smallest id, that id's size and the count."""
-    head = members.groupBy("band").agg(F.min(F.struct("id", "size")).alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("head.id") != F.col("last"))
-    return saved(members.join(head, "band").select("band", "id", "size", F.col("head.id").alias("head"), F.col("head.size").alias("head_size"), "n"))
+    """Distinct rows (band, id, size) of bands with two ids or more, with the band's smallest id; rows may repeat."""
+    head = members.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last")
+    return saved(members.join(head.hint("shuffle_hash"), "band").select("band", "id", "size", "head").distinct())
 
 
 def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``id, component`` of every id with a verified link; ``verify`` keeps the true links of pairs ``a, b``."""
-    star = groups.where((F.col("id") != F.col("head")) & sizes_allow("size", "head_size")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    star = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     edges = saved(verify(star))
     first = saved(components(edges))
-    large = groups.where("n > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = groups.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sides = large.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sides.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    main = sides.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 1 and n > 2").select("band", "main")
     open_ = saved(large.select("band", "id", "size", "head", "component").where(F.col("id") != F.col("head")).join(main, "band"))
     shared = open_.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # no more bands than one id has
     rows = open_.join(shared, "id")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structpeak.llm import boilerplate, byte_pairs, hyperminhash, language, packing, quality
+from structpeak.llm import boilerplate, byte_pairs, fuzzy_lines, hyperminhash, language, packing, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -77,3 +77,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_hyperminhash_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_fuzzy_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_components(table(spark, sf_dir, "documents"))
