@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structpeak.llm import boilerplate, byte_pairs, fuzzy_lines, hyperminhash, language, packing, quality
+from structpeak.llm import boilerplate, byte_pairs, fuzzy_lines, hyperminhash, language, packing, quality, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,3 +82,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_fuzzy_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_sort_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
