@@ -139,8 +139,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "quality", fit_d
     return fit(ids.ravel(), np.arange(len(ids) + 1) * len(EDGES), np.arange(len(ids)), gold_of[owner], runs_of(owner, len(rows)), FEATURES, 2, rounds=120)
 
 
-def judge(docs: DataFrame, chain: Chain | None, key: str = "doc_id", text: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
-    """Base counts, ``content_share``, ``base_failed`` and ``kept`` for every row."""
+def judge(docs: DataFrame, chain: Chain | None, key: str = "doc_id", text: str = "text", content_share: float = CONTENT_SHARE, carry: list[str] | None = None) -> DataFrame:
+    """Base counts, ``content_share``, ``base_failed`` and ``kept`` for every row, behind the columns named in ``carry``."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +155,12 @@ def judge(docs: DataFrame, chain: Chain | None, key: str = "doc_id", text: str =
                 share = np.bincount(owner, chars * good, hi - lo) / np.maximum(np.bincount(owner, chars, hi - lo), 1)
                 failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *(pa.array(base[c].astype(np.int64)) for c in names), pa.array(share), pa.array(failed), pa.array(~failed & (share >= content_share))],
-                    ["key", *names, "content_share", "base_failed", "kept"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *(pa.array(base[c].astype(np.int64)) for c in names), pa.array(share), pa.array(failed), pa.array(~failed & (share >= content_share))],
+                    ["key", "rest", *names, "content_share", "base_failed", "kept"],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, " + ", ".join(f"{c} long" for c in names) + ", content_share double, base_failed boolean, kept boolean"
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    own = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.struct(*(docs[c] for c in carry or []), F.lit(0).alias("_")).alias("rest"))
+    kind, rest = (own.schema[c].dataType.simpleString() for c in ("key", "rest"))
+    schema = f"key {kind}, rest {rest}, " + ", ".join(f"{c} long" for c in names) + ", content_share double, base_failed boolean, kept boolean"
+    out = own.mapInArrow(run, schema)
+    return out.select(F.col("key").alias(key), *(f"rest.{c}" for c in carry or []), *names, "content_share", "base_failed", "kept")

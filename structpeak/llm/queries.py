@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structpeak.llm import boilerplate, byte_pairs, fuzzy_lines, hyperminhash, language, packing, quality, suffixes
+from structpeak.llm import boilerplate, byte_pairs, fuzzy_lines, hyperminhash, language, packing, quality, stream_dedup, suffixes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -88,3 +88,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY body)
+"""
+
+
+@query("op5_stateful_stream_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+@query("op10_warc_derivatives")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return out.select(
+        F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", F.octet_length("block").cast("long").alias("content_length"),
+        "block_digest", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"), "source_payload_digest", "source_block_digest", "source_content_type",
+    )

@@ -65,10 +65,10 @@ def units_of(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
     return document[head], first, last, hashed[at], content
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
     """Rows with two hashes that name them; null keys and repeated keys are fine."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(key, body).alias("k1"), F.hash(body, key).alias("k2"), F.col(key).alias("key"), body.alias("text"))
+    return docs.select(F.xxhash64(key, body).alias("k1"), F.hash(body, key).alias("k2"), F.col(key).alias("key"), body.alias("text"), F.struct(*carry, F.lit(0).alias("_")).alias("rest"))
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -294,17 +294,17 @@ def _cut_out(as_text: bool):
                     body = pa.array([raw[a:b].decode("utf-8", "ignore") for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)], pa.string())
                 else:
                     body = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(own.astype(np.int32)), pa.py_buffer(kept)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(local)), pa.array(n_removed), pa.array(span[local[1:]] - span[local[:-1]]), body], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), pa.array(np.diff(local)), pa.array(n_removed), pa.array(span[local[1:]] - span[local[:-1]]), body], ["key", "rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False, hot: int = HOT) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept`` for every row.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
+    """``key``, the columns named in ``carry``, ``n_bytes, n_removed, n_spans, kept`` for every row.
 
     ``kept`` holds the bytes left; with ``as_text`` it is a string, without characters that lost some of their bytes.
     """
-    rows = _keyed(docs, key, text)
+    rows = _keyed(docs, key, text, carry or [])
     units = _units(rows)
     often = units.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
     candidates = saved(units.join(often.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "units")
@@ -323,6 +323,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     hits = mixed.join(runs.union(spread), ["anchor", "content"]).select("k1", "k2", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to") + LENGTH).alias("end"))
     whole = candidates.where("not mixed").select("k1", "k2", "first", (F.col("last") + LENGTH).alias("end"))
     gone = whole.union(hits).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "end")).alias("gone"))  # spans of one text
-    kind = docs.schema[key].dataType.simpleString()
-    out = rows.join(gone, ["k1", "k2"], "left").select("key", "text", "gone")
-    return out.mapInArrow(_cut_out(as_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").withColumnRenamed("key", key)
+    out = rows.join(gone, ["k1", "k2"], "left").select("key", "text", "gone", "rest")
+    kind, rest = (out.schema[c].dataType.simpleString() for c in ("key", "rest"))
+    out = out.mapInArrow(_cut_out(as_text), f"key {kind}, rest {rest}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return out.select(F.col("key").alias(key), *(f"rest.{c}" for c in carry or []), "n_bytes", "n_removed", "n_spans", "kept")
