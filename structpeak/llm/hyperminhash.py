@@ -6,9 +6,10 @@ mantissa bits: sixteen bits each. Texts of at most ``SMALL`` runs would leave bu
 they take every register over their whole set with a hash of its own; larger ones use each hash in one
 bucket, and an empty bucket takes its right neighbour's. Texts between the two get both kinds, so that any
 similar pair shares a kind. Forty-eight bands of four registers give candidates (a link of
-similarity 0.75 is missed with a chance near 1e-8). Before a pair is verified, the Jaccard
-similarity estimated from the registers, corrected for chance collisions, rules out far pairs;
-links are confirmed on the full sets.
+similarity 0.75 is missed with a chance near 1e-8). Members of a band that its smallest member doesn't link
+are compared block by block: the Jaccard similarity estimated from the registers, corrected for
+chance collisions, rules out far pairs (a link of 0.75 with a chance of 1e-6). Links are confirmed on the full sets. Keys are
+whole numbers.
 
 Texts that are null or without words have empty sets and link with nothing. Equal sets are
 collapsed to one before banding. Repeated keys fall into one component. An empty table
@@ -33,8 +34,10 @@ BANDS = REGISTERS // BAND
 MANTISSA = 10
 SMALL = 400
 OVERLAP = SMALL * LEAST[1] // LEAST[0]
-#: Estimated similarity below which no pair of 0.75 lies: six standard errors.
-FAR = 0.56
+#: Estimated similarity below which no pair of 0.75 lies: about five standard errors.
+FAR = 0.6
+#: Members of a group that are compared with as many others at a time.
+BLOCK = 64
 _odd = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * BASE) | np.uint64(1)
 _add = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) + BASE)
 
@@ -100,28 +103,32 @@ def bucket_registers(hashed: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def band_values(registers: np.ndarray, kind: int) -> np.ndarray:
-    """One 64-bit value for each band of registers that stand far from each other."""
+    """One 64-bit value for each band of registers that stand far from each other; its last bit is the kind."""
     r = registers.reshape(len(registers), BAND, BANDS).astype(np.uint64)
     value = r[:, 0]
     for k in range(1, BAND):
         value = value << np.uint64(16) | r[:, k]
-    return mix(value ^ mix(np.arange(BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(kind + 1)))
+    value = mix(value ^ mix(np.arange(BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(kind + 1)))
+    return value & ~np.uint64(1) | np.uint64(kind)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, load: float) -> float:
-    """Jaccard similarity from two register sets of one kind, less the matches expected by chance.
+def estimates(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, load: float) -> np.ndarray:
+    """Jaccard similarity of every a with every b from registers of one kind, less the matches expected by chance.
 
     ``load`` is the share of a set that one register sees.
     """
     zeros = np.arange(0, 53)
-    p = [(1 - 0.5 ** (zeros + 1)) ** max(s * load, 1) - np.where(zeros > 0, (1 - 0.5**zeros) ** max(s * load, 1), 0) for s in (size_a, size_b)]
-    chance = float((np.abs(p[0]) * np.abs(p[1])).sum()) / (1 << MANTISSA)
-    match = float((a == b).mean())
-    return max((match - chance) / (1 - chance), 0.0)
+    p = []
+    for size in (size_a, size_b):
+        seen = np.maximum(size * load, 1)[:, None]
+        p.append((1 - 0.5 ** (zeros + 1)) ** seen - np.where(zeros > 0, (1 - 0.5**zeros) ** seen, 0))
+    chance = np.abs(p[0]) @ np.abs(p[1]).T / (1 << MANTISSA)
+    match = (a[:, None, :] == b[None, :, :]).mean(axis=2)
+    return np.maximum((match - chance) / (1 - chance), 0.0)
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n_shingles``, an order-free 128-bit digest of the set (``d1, d2``) and its ``bands``."""
+    """``id, n_shingles``, an order-free 128-bit digest of the set (``d1, d2``), its ``bands`` and the ``registers`` of either kind (or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,22 +142,26 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     digest[0, some] = np.add.reduceat(mix(hashed ^ BASE), cut[:-1][some])
                     digest[1, some] = np.bitwise_xor.reduceat(mix(hashed + BASE), cut[:-1][some])
                 bands = np.zeros((hi - lo, 2, BANDS), np.uint64)
+                own_registers = [[None, None] for _ in range(hi - lo)]
                 for kind, chosen, registers in ((0, np.flatnonzero(size > SMALL), bucket_registers), (1, np.flatnonzero((size > 0) & (size <= OVERLAP)), whole_registers)):
                     if len(chosen):
                         part_size = size[chosen]
                         own = np.concatenate(([0], np.cumsum(part_size)))
                         inside = np.repeat(cut[chosen] - own[:-1], part_size) + np.arange(own[-1])
-                        bands[chosen, kind] = band_values(registers(hashed[inside], own), kind)
+                        found = registers(hashed[inside], own)
+                        bands[chosen, kind] = band_values(found, kind)
+                        for i, r in zip(chosen.tolist(), found, strict=True):
+                            own_registers[i][kind] = r.tobytes()
                 kinds = np.stack([size > SMALL, (size > 0) & (size <= OVERLAP)], axis=1)
                 flat = bands.reshape(-1, BANDS)[kinds.ravel()].ravel().view(np.int64)
                 count = np.concatenate(([0], np.cumsum(kinds.sum(axis=1) * BANDS))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(count), pa.array(flat)),
-                ], ["id", "n_shingles", "d1", "d2", "bands"])
+                    pa.ListArray.from_arrays(pa.array(count), pa.array(flat)), pa.array(own_registers, pa.list_(pa.binary())),
+                ], ["id", "n_shingles", "d1", "d2", "bands", "registers"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, registers array<binary>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -169,42 +180,85 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame
     return chosen.mapInArrow(run, f"id {kind}, run_set binary").dropDuplicates(["id"])
 
 
-def _registers(run_set: np.ndarray, kind: int) -> np.ndarray:
-    return (bucket_registers, whole_registers)[kind](run_set, np.array([0, len(run_set)]))[0]
+def _similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """The exact condition on two full sets."""
+    small, large = min(len(p), len(q)), max(len(p), len(q))
+    if small * LEAST[1] < large * LEAST[0]:
+        return False
+    both = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
+    return both * LEAST[1] >= (len(p) + len(q) - both) * LEAST[0]
 
 
 def true_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar: estimated first, then counted."""
+    """The pairs ``a, b`` whose full sets are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
     left = sets.select(F.col("id").alias("a"), F.col("run_set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("run_set").alias("set_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, np.ndarray] = {}  # registers of the last left sides; they come in runs
         for batch in batches:
-            keep = []
-            for i, (a, x, y) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = sorted((len(p), len(q)))
-                if small * LEAST[1] < large * LEAST[0]:
-                    continue
-                scheme = 1 if large <= OVERLAP else 0
-                if scheme == 0 and small > SMALL:
-                    one = known.get((a, scheme))
-                    if one is None:
-                        known = {} if len(known) > 64 else known
-                        one = known[(a, scheme)] = _registers(p, scheme)
-                    if estimate(one, _registers(q, scheme), len(p), len(q), 1 / REGISTERS) < FAR:
-                        continue
-                both = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
-                if both * LEAST[1] >= (len(p) + len(q) - both) * LEAST[0]:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+            both = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [i for i, (x, y) in enumerate(both) if _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))]
+            chosen = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
 
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def near_links(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Links between different components, from groups that the first round left in several.
+
+    Members outside a group's largest component are laid in blocks, and so are all members; every block of the
+    first meets every block of the second of its group, so a large group is work for many tasks and
+    no pair is ever a row. A pair is judged in the first band it shares: estimated from the
+    registers, then confirmed on the full sets. Of the links from one member to one component a block
+    gives one. ``members`` has ``id, registers, run_set``.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    one = F.struct("id", "component", (F.col("component") == F.col("main")).alias("inner"), F.get("registers", F.col("band").bitwiseAND(1).cast("int")).alias("r"), "run_set")
+    full = rows.join(members, "id").select("band", one.alias("m"))
+    count = rows.groupBy("band").agg(F.count_if(F.col("component") != F.col("main")).alias("n_l"), F.count(F.lit(1)).alias("n_r"))
+    full = full.join(count, "band")
+
+    def laid(side: DataFrame, n: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("m.id"), F.ceil(F.col(n) / BLOCK))
+        return side.groupBy("band", block.alias("block")).agg(F.collect_list("m").alias(name)).drop("block")  # about BLOCK members
+
+    meeting = laid(full.where(~F.col("m.inner")), "n_l", "l").join(laid(full, "n_r", "r"), "band")
+
+    def side(values: pa.StructArray):
+        part = {k: np.asarray(values.field(k)) for k in ("id", "component", "inner")}
+        data, cut, _ = column_bytes(values.field("run_set"))
+        sets = [np.frombuffer(data[i:j].tobytes(), np.uint64) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return part, np.frombuffer(column_bytes(values.field("r"))[0].tobytes(), np.uint16).reshape(len(values), REGISTERS), sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band = np.int64(batch.column(0)[i].as_py()).astype(np.uint64)
+                kind_of = int(band & np.uint64(1))
+                (x, a, x_sets), (y, b, y_sets) = side(batch.column(1)[i].values), side(batch.column(2)[i].values)
+                size_x, size_y = np.array(list(map(len, x_sets))), np.array(list(map(len, y_sets)))
+                near = estimates(a, b, size_x, size_y, 1.0 if kind_of else 1 / REGISTERS) >= FAR
+                near &= x["component"][:, None] != y["component"]
+                near &= y["inner"] | (x["id"][:, None] < y["id"])
+                own, other = band_values(a, kind_of), band_values(b, kind_of)
+                at = int(np.argmax(own[0] == band))
+                p, q = np.nonzero(near)
+                fresh = ~(own[p, :at] == other[q, :at]).any(axis=1)  # else an earlier band has the pair
+                found = {}
+                for j, k in zip(p[fresh].tolist(), q[fresh].tolist(), strict=True):
+                    cell = (j, int(y["component"][k]))
+                    if cell not in found and _similar(x_sets[j], y_sets[k]):
+                        found[cell] = k
+                if found:
+                    one, two = x["id"][[j for j, _ in found]], y["id"][list(found.values())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    return meeting.select("band", "l", "r").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row."""
     sketch = saved(sketches(docs, key, text), "sketches")
@@ -214,7 +268,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = heads.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("band")).select("band", "id", "size")
     groups = candidate_groups(members)
     sets = saved(full_sets(docs, groups.select("id").distinct(), key, text), "sets")
-    found = saved(linked(groups, lambda pairs: true_links(pairs, sets)))
+    members = sets.join(heads.select("id", "registers"), "id")
+    found = saved(linked(groups, lambda pairs: true_links(pairs, sets), lambda rows: near_links(rows, members)))
     merged = classes.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(*same, F.coalesce("component", "class_id").alias("component"))
     out = sketch.select("id", *same).join(merged, same, "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(key) == F.col("component_id"))

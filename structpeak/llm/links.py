@@ -4,8 +4,7 @@ Candidates come as rows (band, id, size): ids of one band value may be similar.
 tested against the smallest id of each of its bands, so a group costs one pair for each member.
 Union-find over the links found joins most groups. What is left are groups with members in different
 components; there only members outside the group's largest component meet members of other
-components, if they share at least two bands and their sizes allow the similarity.
-After that every candidate pair is linked, tested, or inside one component already.
+components, if their sizes (and what else the caller knows) allow the similarity. After that every candidate pair is linked, tested, or inside one component already.
 """
 
 from __future__ import annotations
@@ -52,26 +51,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 def candidate_groups(members: DataFrame) -> DataFrame:
     """Distinct rows (band, id, size) of bands with two ids or more, with the band's smallest id; rows may repeat."""
-    head = members.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last")
-    return saved(members.join(head.hint("shuffle_hash"), "band").select("band", "id", "size", "head").distinct())
+    head = saved(members.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last"))
+    return saved(members.join(head, "band").select("band", "id", "size", "head").distinct())
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``id, component`` of every id with a verified link; ``verify`` keeps the true links of pairs ``a, b``."""
-    star = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    edges = saved(verify(star))
-    first = saved(components(edges))
-    large = groups.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sides = large.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sides.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 1 and n > 2").select("band", "main")
-    open_ = saved(large.select("band", "id", "size", "head", "component").where(F.col("id") != F.col("head")).join(main, "band"))
-    shared = open_.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # no more bands than one id has
-    rows = open_.join(shared, "id")
-    left, right = rows.where("component <> main").alias("l"), rows.alias("r")
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different components with a band in common, two bands at least, and sizes that allow a link."""
+    shared = rows.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # no more bands than one id has
+    rows = rows.join(shared, "id")
+    both = F.array_intersect("l.bands", "r.bands")
     meets = (
         (F.col("l.band") == F.col("r.band")) & (F.col("l.component") != F.col("r.component"))
         & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
-        & sizes_allow("l.size", "r.size") & (F.size(F.array_intersect("l.bands", "r.bands")) >= 2)
+        & sizes_allow("l.size", "r.size") & (F.size(both) >= 2) & (F.array_min(both) == F.col("l.band"))
     )
-    more = left.join(right, meets).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    return components(edges.select("a", "b").union(verify(more).select("a", "b")))
+    pairs = rows.where("component <> main").alias("l").join(rows.alias("r"), meets)
+    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+
+
+def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``id, component`` of every id with a verified link.
+
+    ``verify`` keeps the true links of pairs ``a, b``; ``rest`` finds what links the components of groups that the first round
+    left in several, from rows (band, id, size, component, main); without it ``open_pairs`` are verified.
+    """
+    star = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    edges = saved(verify(star))
+    first = saved(components(edges))
+    rows = groups.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sides = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sides.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    main = main.where("k > 1 and n > 2").select("band", "main")
+    open_ = saved(rows.where("id <> head").select("band", "id", "size", "component").join(main, "band"))
+    more = rest(open_) if rest else verify(open_pairs(open_).distinct())
+    return components(edges.select("a", "b").union(more.select("a", "b")))

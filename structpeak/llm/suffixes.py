@@ -307,7 +307,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     rows = _keyed(docs, key, text, carry or [])
     units = _units(rows)
     often = units.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    candidates = saved(units.join(often.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "units")
+    often = saved(often.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")  # so that the join may split what an often seen anchor brings
+    candidates = saved(units.join(often, "anchor"), "units")
     mixed = candidates.where("mixed")
     one = mixed.groupBy("anchor", "content").agg(F.min(F.struct("k1", "k2", "first", "last")).alias("at"), F.count(F.lit(1)).alias("copies"))
     one = saved(one, "contents")
