@@ -36,8 +36,8 @@ class PeakConfig:
     replicas: int = 2
     reweight_rounds: int = 3
     ridge: float = 1e-3
-    sample_entities: int = 300
-    windows_per_series: int = 60
+    sample_entities: int | None = None
+    windows_per_series: int | None = None
 
     def with_(self, **changes) -> "PeakConfig":
         return replace(self, **changes)

@@ -21,7 +21,8 @@ def guarded_ratio(numerator: Column, denominator: Column, digits: int = 4) -> Co
 
 
 def relative_error(predicted: Column, actual: Column) -> Column:
-    return F.abs(predicted - actual) / F.abs(actual)
+    """Distance over the actual value; infinite where the actual value is zero."""
+    return F.when(actual == 0, F.lit(float("inf"))).otherwise(F.abs(predicted - actual) / F.abs(F.nullif(actual, F.lit(0))))
 
 
 def minutes_between(start: Column, end: Column, wall_clock: bool = False) -> Column:

@@ -56,5 +56,5 @@ def by_group_size(
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, by counting them."""
-    return df.count() <= rows
+    """Whether ``df`` has at most ``rows`` rows, counting no further than that."""
+    return df.limit(rows + 1).count() <= rows

@@ -33,9 +33,9 @@ def interval_left_join(
     drop = [f"_k_{k}" for k in keys]
     if small_enough(right) if small is None else small:
         return left.join(F.broadcast(r), equal & held, "left").drop(*drop)
-    end = F.coalesce(F.col(valid_to), left.agg(F.max(at).alias("t")).scalar())
-    months = F.sequence(_month(F.col(valid_from)), F.greatest(_month(end), _month(F.col(valid_from))))
-    covered = r.withColumn("_month", F.explode(months))
+    low, high = (left.agg(f(at).alias("t")).scalar() for f in (F.min, F.max))
+    first, last = _month(F.greatest(F.col(valid_from), low)), _month(F.least(F.coalesce(F.col(valid_to), high), high))
+    covered = r.withColumn("_month", F.explode(F.when(first <= last, F.sequence(first, last))))  # only months the left side has
     placed = left.withColumn("_at_month", _month(F.col(at)))
     same_month = F.col("_at_month") == F.col("_month")
     return placed.join(covered, equal & same_month & held, "left").drop(*drop, "_month", "_at_month")

@@ -228,19 +228,18 @@ def fit_denoiser(
     config: PeakConfig,
     keys: Sequence[str] = SERIES_KEY,
     version: str = "unversioned",
-    partitions: int = 64,
 ) -> Denoiser:
-    """Fit the denoiser on a bounded sample of scaled windows.
+    """Fit the denoiser on scaled windows.
 
     Rounds of row re-weighting by inverse mean absolute residual stand in for an absolute
-    loss. The sample is built at full parallelism and kept; every round then reduces it in
-    ``partitions`` tasks, one matrix each. A lost executor only recomputes its part.
+    loss. The examples are built once and kept; every round reduces each of their partitions to
+    one matrix. A lost executor only recomputes its part.
     """
     examples = training_examples(windows, config, keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         coefficients = None
         for _ in range(1 + config.reweight_rounds):
-            sums = _summed(examples.coalesce(partitions), coefficients, config)
+            sums = _summed(examples, coefficients, config)
             coefficients = _solve(sums, config.length, config.ridge)
         encode, decode = _cut_rank(coefficients, sums, config.latent)
         bare = Denoiser(config, encode, decode, version)

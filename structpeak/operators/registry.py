@@ -20,7 +20,8 @@ def registry_months(
     """Clean registry with ``level_delta``: the change to the previous stored month of the entity.
 
     Months without a level are dropped first, so the change spans the gap; the first month's
-    change is zero. Key texts are trimmed. An entity has one row per month, so its window
+    change is zero. Key texts are trimmed; of several rows
+    for one month (equal keys after trimming) the last one stays. An entity has one row per month, so its window
     is bounded by the calendar.
     """
     kept = raw.select(
@@ -29,10 +30,12 @@ def registry_months(
     ).where(F.col("level").isNotNull() & ~F.isnan("level"))
     by_month = Window.partitionBy("region", "entity").orderBy("period")
     change = F.col("level") - F.lag("level").over(by_month)
-    return kept.withColumn("level_delta", F.coalesce(change, F.lit(0.0))).select(
+    trimmed = kept.withColumn("level_delta", F.coalesce(change, F.lit(0.0))).select(
         F.trim(F.col("region").cast("string")).alias("region"), F.trim(F.col("entity").cast("string")).alias("entity"),
         "year", "month", "period", "level", "level_delta",
     )
+    last = F.max_by(F.struct("period", "level", "level_delta"), F.struct("period", "level", "level_delta")).alias("_last")
+    return trimmed.groupBy("region", "entity", "year", "month").agg(last).select("region", "entity", "year", "month", "_last.*")
 
 
 def registry_stats(months: DataFrame) -> DataFrame:

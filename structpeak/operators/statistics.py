@@ -160,23 +160,22 @@ def pair_deviation(opinions: DataFrame, keys: Sequence[str], annotator: str, val
 
 
 def intraclass_correlation(opinions: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One-way intraclass correlation from per-key sums (unequal numbers of opinions allowed)."""
+    """One-way intraclass correlation from per-key sums (unequal numbers of opinions allowed); NULL where it is not defined."""
     present = opinions.where(F.col(value).isNotNull())
     per_key = present.groupBy(*keys).agg(
-        F.count(value).cast("double").alias("k"), F.avg(value).alias("m"),
-        (F.var_pop(value) * F.count(value)).alias("ssw"),
-    )
+        F.count(value).cast("double").alias("_k"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count(value)).alias("_ssw"),
+    ).select("_k", "_m", "_ssw")
     parts = per_key.agg(
-        F.count("*").cast("double").alias("n"), F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("k2"),
-        F.sum("ssw").alias("ssw"), (F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("grand"),
+        F.count("*").cast("double").alias("n"), F.sum("_k").alias("total"), F.sum(F.col("_k") * F.col("_k")).alias("k2"),
+        F.sum("_ssw").alias("ssw"), F.try_divide(F.sum(F.col("_k") * F.col("_m")), F.sum("_k")).alias("grand"),
     )
     grand = parts.select("grand").scalar()
-    between = per_key.agg(F.sum(F.col("k") * (F.col("m") - grand) * (F.col("m") - grand)).alias("ssb"))
+    between = per_key.agg(F.sum(F.col("_k") * (F.col("_m") - grand) * (F.col("_m") - grand)).alias("ssb"))
     whole = parts.withColumn("ssb", between.select("ssb").scalar())
-    k0 = (F.col("total") - F.col("k2") / F.col("total")) / (F.col("n") - 1)
-    msb, msw = F.col("ssb") / (F.col("n") - 1), F.col("ssw") / (F.col("total") - F.col("n"))
+    k0 = F.try_divide(F.col("total") - F.try_divide("k2", "total"), F.col("n") - 1)
+    msb, msw = F.try_divide(F.col("ssb"), F.col("n") - 1), F.try_divide(F.col("ssw"), F.col("total") - F.col("n"))
     return whole.select(F.col("n").cast("bigint").alias("n_keys"), msb.alias("ms_between"), msw.alias("ms_within"),
-                        ((msb - msw) / (msb + (k0 - 1) * msw)).alias("icc"))
+                        F.try_divide(msb - msw, msb + (k0 - 1) * msw).alias("icc"))
 
 
 def learning_runs(

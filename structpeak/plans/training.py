@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY, PeakConfig
+from structpeak.operators.contamination import contaminated_copies
 from structpeak.operators.hotkeys import by_group_size
 from structpeak.operators.model import Denoiser, fit_denoiser
 from structpeak.operators.refit import labelled_examples, refit
@@ -40,13 +42,14 @@ def _windows(readings: DataFrame, config: PeakConfig, months: DataFrame | None,
 def training_windows(
     readings: DataFrame, config: PeakConfig, months: DataFrame | None = None, tie: Sequence[str] = (), seed_shift: int = 0
 ) -> DataFrame:
-    """A bounded sample: ``sample_entities`` entities, ``windows_per_series`` windows of each series.
+    """All windows of all series, or of a sample where the configuration asks for one.
 
     Series shorter than one window are left out of training.
     """
-    chosen = sample_entities(readings, config.sample_entities, config.seed)
-    windows = _windows(rows_of_sample(readings, chosen), config, months, tie, pad_short=False)
-    return sample_windows(windows, config.windows_per_series, config.seed + seed_shift)
+    if config.sample_entities is not None:
+        readings = rows_of_sample(readings, sample_entities(readings, config.sample_entities, config.seed))
+    windows = _windows(readings, config, months, tie, pad_short=False)
+    return windows if config.windows_per_series is None else sample_windows(windows, config.windows_per_series, config.seed + seed_shift)
 
 
 def train(
@@ -68,11 +71,17 @@ def refit_on_labels(
 ) -> Denoiser:
     """Second model version: the code limit that brings labelled peaks nearest to their labels.
 
-    ``labels`` has one row per series with ``label``. Only labelled series are windowed for
-    the label part; the pool is a seeded sample with its own shift of the seed.
+    ``labels`` has one row per series with ``label``; with a ``measure`` column, only labels of the
+    model's measure count. A second label of a series fails the job. Only labelled series are windowed for
+    the label part. The pool is encoded from contaminated copies and compared with the clean windows.
     """
     keys = list(SERIES_KEY)
+    if "measure" in labels.columns:
+        labels = labels.where(F.col("measure") == model.config.measure)
+    single = F.when(F.count("*") == 1, F.first("label")).otherwise(F.raise_error(F.lit("several labels for one series")).cast("double"))
+    labels = labels.groupBy(*keys).agg(single.alias("label"))
     labelled = readings.join(labels.select(*keys), keys, "left_semi")
     examples = labelled_examples(_windows(labelled, model.config, months, tie, pad_short=True), labels)
     pool = training_windows(readings, model.config, months, tie, seed_shift=1)
-    return refit(examples, pool, model, grid, version, weight=weight)
+    dirty = contaminated_copies(pool, model.config)
+    return refit(examples, dirty, model, grid, version, weight=weight, pool_input="contaminated")
