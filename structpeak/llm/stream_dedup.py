@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structpeak.llm.storage import shared_folder
+from structpeak.llm.storage import saved, shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,7 +38,7 @@ def stream_state(spark: SparkSession, stream: DataFrame, folder: str, key: str =
 
     ``folder`` holds the checkpoint and the changed rows of each batch; the same folder resumes.
     """
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}
     state = stream.groupBy(digest(normalised(text)).alias("digest")).agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     kind = state.schema
@@ -68,12 +68,15 @@ def _batches(spark: SparkSession, folder: str) -> bool:
 def resolve(docs: DataFrame, state: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` for every row of ``docs`` that ``state`` has seen; hits are checked on full bytes."""
     body = docs.select(F.col(key).alias("key"), normalised(text).alias("body"))
-    named = body.select("key", digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("text_sha256")).join(state, "digest")
-    single = named.where("group_size = 1").select("key", "keep_id", "group_size", "text_sha256")
-    groups = state.where("group_size > 1")
-    hits = body.withColumn("digest", digest(F.col("body"))).join(groups, "digest")
+    named = saved(body.select("key", digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("text_sha256")), "digests")
+    known = saved(named.join(state, "digest"), "decisions")
+    single = known.where("group_size = 1").select("key", "keep_id", "group_size", "text_sha256")
+    hit = known.where("group_size > 1").select("key", "digest", "keep_id", "text_sha256")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(hit, "key")  # the texts are dealt out once
+    hits = saved(texts.select("key", "digest", "keep_id", "text_sha256", normalised("text").alias("body")), "hits")
     located = hits.where("key = keep_id").select("digest", F.col("body").alias("standing"))
-    checked = hits.join(located, "digest").select("key", "keep_id", "digest", sha256(F.col("body")).alias("text_sha256"), F.when(F.col("body") != F.col("standing"), F.col("body")).alias("other"))
+    checked = hits.join(located, "digest").select("key", "digest", "text_sha256", F.when(F.col("body") != F.col("standing"), F.col("body")).alias("other"))
+    checked = saved(checked, "checked")
     own = checked.groupBy("digest", "other").agg(F.max("key").alias("own_id"), F.count(F.lit(1)).alias("own_size"))
     whole = checked.alias("c").join(own.alias("o"), (F.col("c.digest") == F.col("o.digest")) & F.col("c.other").eqNullSafe(F.col("o.other")))
     many = whole.select("key", F.col("own_id").alias("keep_id"), F.col("own_size").alias("group_size"), "text_sha256")
