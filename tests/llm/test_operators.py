@@ -160,6 +160,18 @@ def test_fuzzy_lines(docs, empty):
     assert fuzzy_lines.line_components(empty).count() == 0
 
 
+def test_long_lines_without_blanks(spark):
+    """One odd character among the first eight of a long word, or typos in long words, leave most shingles in common."""
+    glyphs = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(200))
+    code = hashlib.sha512(b"x").hexdigest() * 2
+    words = " ".join(hashlib.sha1(str(k).encode()).hexdigest() for k in range(12))
+    typos = "".join("#" if k % 41 == 3 else c for k, c in enumerate(words))
+    rows = [(1, glyphs), (2, glyphs[:4] + "x" + glyphs[5:]), (3, code), (4, "_" + code[1:]), (5, words), (6, typos), (7, glyphs[::-1])]
+    got = {r["doc_id"]: r["keep_doc_id"] for r in fuzzy_lines.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {x[k:k + 5] for k in range(len(x) - 4)} for i, x in rows}
+    assert got == brute_components(sets) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
+
+
 def test_stream_state_resumes_and_checks_bytes(spark, docs, tmp_path):
     weak = lambda text: F.pmod(F.length(text), F.lit(3)).cast("string")  # noqa: E731  many different texts share a digest
     body = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for i, t in ROWS}
