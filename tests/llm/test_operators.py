@@ -265,6 +265,16 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_plain_text_resolves_every_reference(spark):
+    cases = {
+        "&copy; 2024 &middot; caf&eacute;": "© 2024 · café", "it&#8217;s &#x27;so&#X27; &#39;here&#39;": "it’s 'so' 'here'", "&amp;lt;b&amp;gt; &lt;i&gt;": "&lt;b&gt; <i>",
+        "a&nbsp;b&#160;c": "a b c", "&CounterClockwiseContourIntegral;&notit; &#x1F600; &#128;": "∳¬it; 😀 €", "AT&T &unknown; 5 & 6": "AT&T &unknown; 5 & 6", "a&#13;&#10;b": "a\nb",
+    }
+    pages = spark.createDataFrame([(i, "u", f"<p>{x}</p>") for i, x in enumerate(cases)], "page_id long, url string, html string")
+    rows = warc.derivatives(warc.responses(pages)).where("warc_type = 'conversion'").orderBy("key").collect()
+    assert [r["block"] for r in rows] == list(cases.values())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
