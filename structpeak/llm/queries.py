@@ -81,7 +81,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_fuzzy_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.line_components(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.line_components(table(spark, sf_dir, "documents")).drop("r1", "r2", "copy")
 
 
 @query("op3_suffix_sort_dedup")

@@ -10,8 +10,9 @@ Rows that differ from it in spite of the digest are grouped by their own bytes i
 
 The checkpoint folder carries offsets and state: a stopped stream goes on where it was, and later files
 only add. Each batch writes the changed state rows under its number, so a batch that runs again
-overwrites its own output. Keys must be unique and not null; an empty source gives an empty
-result; ties cannot occur.
+overwrites its own output. Keys may repeat or be null, as in SQL: every row gives one row, the largest key
+stays, ``kept`` is null where a key is, and a group of null keys alone has a null ``keep_id``. An empty source gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -65,16 +66,24 @@ def _batches(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, text`` and two hashes that name equal rows, whatever the key."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.xxhash64(key, body).alias("k1"), F.hash(body, key).alias("k2"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+
 def resolve(docs: DataFrame, state: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` for every row of ``docs`` that ``state`` has seen; hits are checked on full bytes."""
-    body = docs.select(F.col(key).alias("key"), normalised(text).alias("body"))
-    named = saved(body.select("key", digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("text_sha256")), "digests")
+    rows = _named(docs, key, text)
+    body = rows.select("k1", "k2", "key", normalised("text").alias("body"))
+    named = saved(body.select("k1", "k2", "key", digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("text_sha256")), "digests")
     known = saved(named.join(state, "digest"), "decisions")
     single = known.where("group_size = 1").select("key", "keep_id", "group_size", "text_sha256")
-    hit = known.where("group_size > 1").select("key", "digest", "keep_id", "text_sha256")
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(hit, "key")  # the texts are dealt out once
+    hit = known.where("group_size > 1").select("k1", "k2", "digest", "keep_id", "text_sha256").dropDuplicates(["k1", "k2"])  # equal rows once
+    texts = rows.join(hit, ["k1", "k2"])  # the texts are dealt out once
     hits = saved(texts.select("key", "digest", "keep_id", "text_sha256", normalised("text").alias("body")), "hits")
-    located = hits.where("key = keep_id").select("digest", F.col("body").alias("standing"))
+    # several rows may carry the key that stays; any one of them gives the bytes the others are compared with
+    located = hits.where(F.col("key").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("standing"))
     checked = hits.join(located, "digest").select("key", "digest", "text_sha256", F.when(F.col("body") != F.col("standing"), F.col("body")).alias("other"))
     checked = saved(checked, "checked")
     own = checked.groupBy("digest", "other").agg(F.max("key").alias("own_id"), F.count(F.lit(1)).alias("own_size"))

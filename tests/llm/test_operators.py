@@ -201,6 +201,41 @@ def test_stream_state_resumes_and_checks_bytes(spark, docs, tmp_path):
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in weak_rows.collect()} == want
 
 
+#: Null keys, repeated keys with equal and with other texts, and equal rows that differ in another column.
+AWKWARD = [(None, "a b c one"), (None, "A b c one"), (None, "no other has this"), (1, "a b c one\nsecond line"), (1, "a b c one\nsecond line"), (1, "third line\nhere is more"), (1, None), (2, "third line\n\nlast"), (2, "twice"), (2, "twice"), (None, "null twice"), (None, "null twice"), (None, None)]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_stream_rows_without_unique_keys(spark, tmp_path, weak):
+    digest = (lambda text: F.pmod(F.length(text), F.lit(3)).cast("string")) if weak else stream_dedup.sha256
+    source = str(tmp_path / "in")
+    spark.createDataFrame(AWKWARD, "doc_id long, text string").write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+    state = stream_dedup.stream_state(spark, stream, f"file://{tmp_path}/state", digest=digest)
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in stream_dedup.resolve(spark.read.parquet(source), state, digest=digest).collect()]
+    groups = collections.defaultdict(list)
+    for i, t in AWKWARD:
+        groups[(t or "").lower()].append(i)
+    want = []
+    for t, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), None if i is None else i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
+def test_lines_of_rows_without_unique_keys(spark):
+    docs = spark.createDataFrame([(i, t, n % 2 * "x" or None) for n, (i, t) in enumerate(AWKWARD)], "doc_id long, text string, other string")
+    decisions = fuzzy_lines.line_components(docs)
+    rows = decisions.collect()
+    cut = lambda t: [x for x in (t or "").split("\n") if x.strip()]
+    assert len(rows) == sum(len(cut(t)) for _, t in AWKWARD)
+    kept = collections.Counter(r["component"] for r in rows if r["kept"])
+    assert set(kept) == {r["component"] for r in rows} and set(kept.values()) == {1}
+    left = fuzzy_lines.drop_lines(docs, decisions).collect()
+    assert collections.Counter((r["doc_id"], r["other"]) for r in left) == collections.Counter((r["doc_id"], r["other"]) for r in docs.collect())
+    assert collections.Counter(x for r in left for x in cut(r["text"])) == collections.Counter({x for _, t in AWKWARD for x in cut(t)})
+
+
 def test_rules_count_like_plain_python(docs, empty):
     for r in boilerplate.judge(docs, None).collect():
         t = dict(ROWS)[r["doc_id"]] or ""
