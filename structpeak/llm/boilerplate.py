@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.llm.crf import Chain, fit, scores, viterbi
-from structpeak.llm.textbuf import CONTINUES, LOWER, blocks, column_bytes, mix, prefix_hash, runs_of, span_hash, windows, words
+from structpeak.llm.textbuf import CONTINUES, LOWER, blocks, column_bytes, mix, runs_of, span_keys, windows, words
 
 #: Fixed values of the base rules.
 SYMBOLS, WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 8, 20, 30
@@ -66,8 +66,7 @@ def analyse(data: np.ndarray, borders: np.ndarray) -> tuple[dict[str, np.ndarray
     total = lambda flags: np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
     points, symbols = total(~CONTINUES[data]), total(_symbol[data])
     signs = total(~(_letter[data] | _digit[data] | CONTINUES[data]))
-    prefix = prefix_hash(data)
-    word = mix(span_hash(prefix, start, end))
+    word = span_keys(data, start, end)
     size = points[end] - points[start]
     out = {
         "n_words": np.bincount(document, minlength=n),
@@ -96,14 +95,14 @@ def analyse(data: np.ndarray, borders: np.ndarray) -> tuple[dict[str, np.ndarray
     position = np.searchsorted(breaks, start[head])
     lo = np.maximum(borders[owner], np.concatenate(([0], breaks + 1))[position]) if len(head) else head
     hi = np.minimum(borders[owner + 1], np.append(breaks, len(data))[position]) if len(head) else head
-    line = mix(span_hash(prefix, lo, hi)) ^ mix((hi - lo).astype(np.uint64)) ^ mix(owner.astype(np.uint64) + np.uint64(1))
+    line = span_keys(data, lo, hi) ^ mix(owner.astype(np.uint64) + np.uint64(1))
     _, first_seen, same = np.unique(line, return_index=True, return_inverse=True)
     earlier = np.arange(len(head)) != first_seen[same] if len(head) else np.zeros(0, bool)
     out["n_dup_lines"] = np.bincount(owner[earlier], minlength=n)
     count = tail - head
     by_line = np.repeat(np.arange(len(head)), count)
     chars = np.bincount(by_line, size, len(head)).astype(np.int64)
-    low_word = mix(span_hash(prefix_hash(LOWER[data]), start, end))
+    low_word = span_keys(LOWER[data], start, end)
     kinds = np.bincount(by_line[np.unique(low_word ^ mix(by_line.astype(np.uint64) + np.uint64(9)), return_index=True)[1]], minlength=len(head)) if len(head) else count
     share = lambda sums: (sums[end[tail - 1]] - sums[start[head]]) / np.maximum(chars, 1) if len(head) else np.zeros(0)
     gaps = points[end[tail - 1]] - points[start[head]] - chars if len(head) else 0  # white space between the words

@@ -4,10 +4,11 @@ Method. A pair of neighbouring bytes that stands inside no vocabulary token can
 by a merge: the cut between them is certain. Texts are first cut as the tokenizer cuts them
 (special tokens, then runs of letters, digits, other signs and white space), then at every
 certain cut inside those pieces. Each fragment is encoded on its own and the ids are
-concatenated; equal fragments of a batch are encoded once.
+concatenated; equal fragments of a batch are encoded once. Equal fragments are found by a hash
+and compared byte by byte, so no two different ones share their ids.
 
 Texts: null counts as empty; an empty text has no ids. Special token strings in a text give
-their special id, as the tokenizer does by default.
+their special id, as the tokenizer does by default, or count as plain text if so asked.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from structpeak.llm.textbuf import blocks, column_bytes, mix, prefix_hash, span_
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 #: Endings that the tokenizer splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Known fragments kept per worker; beyond it the table starts anew.
-CACHE_FRAGMENTS = 600_000
+#: Known fragments, and bytes of them, kept per worker; beyond it the table starts anew.
+CACHE_FRAGMENTS, CACHE_BYTES = 600_000, 64_000_000
 #: Longer fragments are merged one by one with a heap.
 LONG_FRAGMENT = 64
 
@@ -124,13 +125,14 @@ def merge_long(symbols: list[int], joined: dict[tuple[int, int], tuple[int, int]
 class Encoder:
     """Tables of one tokenizer file and the fragments seen so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
         vocabulary = spec["model"]["vocab"]
-        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        special_ids = set(self.special.values())
+        added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        self.special = added if special else {}
+        special_ids = set(added.values())
         token = {i: bytes(letters[c] for c in t) for t, i in vocabulary.items() if i not in special_ids}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         name = {b: i for i, b in token.items() if len(b) == 1}
@@ -145,7 +147,7 @@ class Encoder:
                 a = np.frombuffer(t, np.uint8)
                 joins[a[:-1], a[1:]] = True
         self.joins = joins.ravel()
-        token |= {i: t for t, i in self.special.items()}
+        token |= {i: t for t, i in added.items()}
         size = max(token) + 1
         self.length = np.array([len(token.get(i, b"")) for i in range(size)], np.int64)
         self.first = np.cumsum(self.length) - self.length
@@ -155,8 +157,9 @@ class Encoder:
     def _reset(self) -> None:
         self.known = Table(18)
         self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.offset, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = self.held = 0
+        self.text = np.zeros(1 << 18, np.uint8)  # bytes of the known fragments
+        self.offset, self.count, self.text_at, self.text_size = (np.zeros(1 << 16, np.int64) for _ in range(4))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return self.rank_of.get(mix(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)))
@@ -233,7 +236,13 @@ class Encoder:
         while self.used + int(total.sum()) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while slot + len(starts) > len(self.offset):
-            self.offset, self.count = (np.concatenate((a, np.zeros_like(a))) for a in (self.offset, self.count))
+            self.offset, self.count, self.text_at, self.text_size = (np.concatenate((a, np.zeros_like(a))) for a in (self.offset, self.count, self.text_at, self.text_size))
+        while self.held + int(lengths.sum()) > len(self.text):
+            self.text = np.concatenate((self.text, np.zeros_like(self.text)))
+        new = slice(slot, slot + len(starts))
+        self.text_at[new], self.text_size[new] = self.held + np.cumsum(lengths) - lengths, lengths
+        self.text[self.held:self.held + int(lengths.sum())] = data[np.repeat(starts, lengths) + spans(lengths)]
+        self.held += int(lengths.sum())
         plain = counts[own] >= 0
         self.flat[first[own[plain]] + spans(kept[short])[plain]] = ids[plain]
         for k, found in long.items():
@@ -302,7 +311,7 @@ class Encoder:
         starts = self.fragment_starts(data, borders)
         ends = np.append(starts[1:], len(data))
         key = mix(span_hash(prefix_hash(data), starts, ends)) ^ (ends - starts).astype(np.uint64)
-        if self.known.size > CACHE_FRAGMENTS:
+        if self.known.size > CACHE_FRAGMENTS or self.held > CACHE_BYTES:
             self._reset()
         slot = self.known.get(key)
         missing = np.flatnonzero(slot < 0)
@@ -313,10 +322,29 @@ class Encoder:
             self.known.put(new, got)
             slot[missing] = got[which]
         count = self.count[slot]
-        ids = self.flat[np.repeat(self.offset[slot], count) + spans(count)]
+        other = self._differs(data, starts, ends, slot)
+        own = {k: merge_long(self.single[data[starts[k]:ends[k]]].tolist(), self.joined) for k in other.tolist()}
+        count[other] = [len(i) for i in own.values()]
+        from_table = np.repeat(self.offset[slot], count) + spans(count)
+        first = np.cumsum(count) - count
+        for k, found in own.items():
+            from_table[first[k]:first[k] + len(found)] = 0
+        ids = self.flat[from_table]
+        for k, found in own.items():
+            ids[first[k]:first[k] + len(found)] = found
         total = np.concatenate(([0], np.cumsum(count)))
         return ids, total[np.searchsorted(starts, borders)]
 
+    def _differs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Fragments (they follow one another and fill ``data``) whose hash is that of a known fragment with other bytes."""
+        size = ends - starts
+        odd = self.text_size[slot] != size
+        base = np.where(odd, 0, self.text_at[slot])
+        other = np.zeros(len(starts), bool)
+        same = self.text[np.where(np.repeat(odd, size), 0, np.repeat(base - starts, size) + np.arange(len(data)))] == data
+        other[np.searchsorted(starts, np.flatnonzero(~same), "right") - 1] = True
+        return np.flatnonzero(other | odd)
+
     def decode(self, ids: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all documents and the borders of each, from their ids."""
         length = self.length[ids]
@@ -325,9 +353,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """One encoder per worker and file."""
-    return Encoder(path)
+    return Encoder(path, special)
 
 
 def _texts(data: np.ndarray, borders: np.ndarray) -> list[str]:

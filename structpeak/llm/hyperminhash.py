@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from structpeak.llm.links import LEAST, candidate_groups, linked
 from structpeak.llm.storage import saved
-from structpeak.llm.textbuf import BASE, LOWER, blocks, column_bytes, mix, prefix_hash, runs_of, span_hash, windows, words
+from structpeak.llm.textbuf import BASE, LOWER, blocks, column_bytes, mix, runs_of, span_keys, windows, words
 
 RUN, REGISTERS, BAND = 5, 192, 4
 BANDS = REGISTERS // BAND
@@ -47,7 +47,7 @@ def shingle_sets(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.
     n = len(borders) - 1
     low = LOWER[data]
     start, end, document = words(data, borders)
-    word = mix(span_hash(prefix_hash(low), start, end))
+    word = span_keys(low, start, end)
     hashed, at = windows(word, document, RUN)
     owner = document[at]
     count = np.bincount(document, minlength=n)

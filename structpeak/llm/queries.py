@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structpeak.llm import boilerplate, byte_pairs, fuzzy_lines, hyperminhash, language, packing, quality, stream_dedup, suffixes, warc
+from structpeak.llm import alignment, boilerplate, byte_pairs, fuzzy_lines, hyperminhash, language, packing, pieces, quality, resampling, stream_dedup, suffixes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -110,3 +110,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", F.octet_length("block").cast("long").alias("content_length"),
         "block_digest", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"), "source_payload_digest", "source_block_digest", "source_content_type",
     )
+
+
+@query("op11_galloping_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+@query("op12_distinct_chunk_pieces")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_radix_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

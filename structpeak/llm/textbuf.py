@@ -22,7 +22,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
+#: A second modulus: strings built so that every base fails modulo 2**64 differ modulo a prime.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_482_350_267
+
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_prime_powers = {"up": np.ones(1, np.int64), "down": np.ones(1, np.int64)}
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,6 +82,25 @@ def span_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (prefix[hi] - prefix[lo]) * powers(len(prefix), "down")[lo]
 
 
+def prime_powers(n: int, which: str = "up") -> np.ndarray:
+    """The first ``n`` powers of the second base, or of its inverse, modulo the prime."""
+    base = PRIME_BASE if which == "up" else pow(PRIME_BASE, -1, PRIME)
+    out = _prime_powers[which]
+    while len(out) < n:
+        out = np.concatenate((out, out * pow(base, len(out), PRIME) % PRIME))
+    _prime_powers[which] = out
+    return out[:n]
+
+
+def span_keys(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit keys of the byte strings lo..hi-1, from two polynomial hashes with different moduli and the length."""
+    first = mix(span_hash(prefix_hash(data), lo, hi))
+    sums = np.zeros(len(data) + 1, np.int64)  # 2**31 bytes of less than 2**31 each stay below 2**63
+    np.cumsum((data.astype(np.int64) + 1) * prime_powers(len(data)) % PRIME, out=sums[1:])
+    second = (sums[hi] - sums[lo]) % PRIME * prime_powers(len(data) + 1, "down")[lo] % PRIME
+    return first ^ mix(second.astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64))
+
+
 def words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and documents of the maximal runs of bytes that are no separator; no word crosses documents."""
     inside = ~SEPARATOR[data]
