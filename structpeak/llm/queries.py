@@ -127,6 +127,35 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op13_radix_resampling")
+#: crc32 is spelled out from its polynomial, over the bytes of every distinct word.
+OP13_SQL = r"""
+WITH bits AS (SELECT n, n::UINTEGER AS c FROM range(256) t(n)),
+steps AS (SELECT n, list_reduce(range(8)::UINTEGER[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, c) AS c FROM bits),
+crc AS (SELECT list(c ORDER BY n) AS of FROM steps),
+source AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+goal AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+s AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM source) GROUP BY word),
+t AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM goal) GROUP BY word),
+seen AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM s UNION SELECT word FROM t)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_transform(range(strlen(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::UINTEGER),
+                               lambda c, b: xor(c >> 8, of[(xor(c, b) & 255) + 1]), 4294967295::UINTEGER), 4294967295::UINTEGER) % 10000 AS bucket
+  FROM seen, crc),
+buckets AS (SELECT bucket, coalesce(sum(s.n), 0)::DOUBLE AS s, coalesce(sum(t.n), 0)::DOUBLE AS t FROM hashed LEFT JOIN s USING (word) LEFT JOIN t USING (word) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s, sum(t) AS t FROM buckets),
+gain AS (SELECT bucket, floor(1000 * ln((b.t + 1) * (a.s + 10000) / ((b.s + 1) * (a.t + 10000))))::BIGINT AS gain FROM buckets b, totals a),
+weight AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM (SELECT doc_id, unnest(words) AS word FROM source) JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query("op13_radix_resampling", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
