@@ -34,9 +34,9 @@ from structpeak.llm.storage import saved
 from structpeak.llm.textbuf import blocks, column_bytes, spans
 
 #: Bytes of text in a block.
-BLOCK = 1_000_000
-#: Every so many ends of the driving list are sought first; those between start where they ended.
-STRIDE = 32
+BLOCK = 300_000
+#: Every 64th end of the driving list is sought first, then every 16th and so on; each starts where the one sought before it ended.
+STRIDES = (64, 16, 4, 1)
 
 
 def first_not_below(wanted: np.ndarray, start: np.ndarray, values: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -64,14 +64,25 @@ def galloped(ends: np.ndarray, index: np.ndarray, document: np.ndarray, cut: np.
     """Rank among ``others`` of the ends named by ``index``, each inside its own document."""
     begin, stop = other_cut[document], other_cut[document + 1]
     place = index - cut[document]
-    anchor = place % STRIDE == 0
-    rank = np.empty(len(index), np.int64)
-    rank[anchor] = first_not_below(ends[index[anchor]], begin[anchor], others, stop[anchor])
-    nearest = rank[np.maximum.accumulate(np.where(anchor, np.arange(len(index)), 0))] if len(index) else rank
-    rank[~anchor] = first_not_below(ends[index[~anchor]], nearest[~anchor], others, stop[~anchor])
+    rank = begin.copy()
+    known = np.zeros(len(index), bool)
+    for stride in STRIDES:
+        now = ~known & (place % stride == 0)
+        from_ = np.maximum.accumulate(np.where(known, np.arange(len(index)), 0))[now]  # the places of one document stand together
+        from_ = np.where(known[from_] & (document[from_] == document[now]), rank[from_], begin[now])
+        rank[now] = first_not_below(ends[index[now]], from_, others, stop[now])
+        known |= now
     return rank
 
 
+@lru_cache(maxsize=1)
+def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of 0 to ``most``, each followed by a comma up to one width, and how many there are."""
+    text = [str(k).encode() for k in range(most + 1)]
+    width = len(text[-1])
+    return np.frombuffer(b"".join(t.ljust(width, b",") for t in text), np.uint8).reshape(-1, width), np.array([len(t) for t in text])
+
+
 class Aligned:
     """The two token lists of a block's documents, where they meet and where they overlap."""
 
@@ -112,27 +123,26 @@ class Aligned:
         at_b = np.arange(n_b) + np.repeat(self.group_a, size_b)
         value = np.zeros(n_a + n_b, np.int64)
         value[at_a], value[at_b] = self.a_ids, self.b_ids
-        digits = len(str(int(value.max(initial=0))))
-        sign = np.zeros((n_a + n_b, digits + 1), np.uint8)
-        shown = np.ones((n_a + n_b, digits + 1), bool)
-        for k in range(digits):
-            power = 10 ** (digits - 1 - k)
-            sign[:, k] = value // power % 10 + ord("0")
-            if power > 1:
-                shown[:, k] = value >= power
-        sign[:, -1] = ord(",")
-        sign[at_a[self.group_a - 1], -1] = ord("|")
-        sign[at_b[self.group_b - 1], -1] = ord(";")
+        name, length = decimals(max(int(value.max(initial=0)), 1 << 16))
+        sign = np.full((n_a + n_b, name.shape[1] + 1), ord(","), np.uint8)
+        sign[:, :-1] = name[value]
+        length = length[value]
+        sign[at_a[self.group_a - 1], length[at_a[self.group_a - 1]]] = ord("|")
+        sign[at_b[self.group_b - 1], length[at_b[self.group_b - 1]]] = ord(";")
+        shown = np.arange(sign.shape[1]) <= length[:, None]
         own = self.a_cut + self.b_cut
-        shown[own[1:][np.diff(own) > 0] - 1, -1] = False
-        return sign[shown], np.concatenate(([0], np.cumsum(shown.sum(axis=1))))[own]
+        last = own[1:][np.diff(own) > 0] - 1
+        shown[last, length[last]] = False
+        length += 1
+        length[last] -= 1
+        return sign[shown], np.concatenate(([0], np.cumsum(length)))[own]
 
 
 class Aligner:
     """Both encoders of a worker."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = Encoder(a_path, special=False), PieceEncoder(b_path)
+        self.a, self.b = Encoder(a_path, special=False), PieceEncoder(b_path, decodes=False)
         self.b_size = len(self.b.length)
 
     def align(self, data: np.ndarray, borders: np.ndarray) -> Aligned:
@@ -211,14 +221,14 @@ def link_blocks(docs: DataFrame, a_path: str, b_path: str, text: str = "text", k
             digest = [hashlib.sha256(flat[x:y]).hexdigest() if y > x else "" for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([task << 32 | number]), _one(keys), _one(np.diff(found.a_cut)), _one(np.diff(found.b_cut)), _one(np.diff(found.group_cut)), _one(pa.array(digest, pa.string())),
-                _one(found.link_cut.astype(np.int64)), _one(place.astype(np.int32)), _one(pair), _one(n.astype(np.int64)),
+                _one(found.link_cut.astype(np.int64)), pa.array([place.astype("<u2" if len(pair) < 1 << 16 else "<u4").tobytes()]), _one(pair), _one(n.astype(np.int64)),
             ], ["block", "keys", "n_a", "n_b", "n_groups", "digest", "cut", "link", "pair", "n"])
             number += 1
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return rows.mapInArrow(run, (
-        f"block long, keys array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, digest array<string>, cut array<long>, link array<int>, pair array<long>, n array<long>"
+        f"block long, keys array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, digest array<string>, cut array<long>, link binary, pair array<long>, n array<long>"
     ))
 
 
@@ -243,12 +253,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                of = {name: batch.column(name)[row].values for name in batch.schema.names}
-                number = {name: np.asarray(of[name]) for name in ("cut", "link", "count", "best")}
-                total = lambda each: np.concatenate(([0], np.cumsum(each, dtype=np.int64)))[number["cut"]]  # noqa: B023, E731
-                count, best = number["count"].astype(np.int64)[number["link"]], number["best"].astype(np.int64)[number["link"]]
+                of = {name: batch.column(name)[row].values for name in batch.schema.names if name != "link"}
+                cut, count, best = (np.asarray(of[name]) for name in ("cut", "count", "best"))
+                link = np.frombuffer(batch.column("link")[row].as_buffer(), "<u2" if len(count) < 1 << 16 else "<u4")
+                n_best, total = (np.diff(np.concatenate(([0], np.cumsum(each[link], dtype=np.int64)))[cut]) for each in (best.astype(np.int64), count))
                 yield pa.RecordBatch.from_arrays([
-                    of["keys"], of["n_a"], of["n_b"], of["n_groups"], pa.array(np.diff(number["cut"])), pa.array(np.diff(total(best))), pa.array(np.diff(total(count))), of["digest"],
+                    of["keys"], of["n_a"], of["n_b"], of["n_groups"], pa.array(np.diff(cut)), pa.array(n_best), pa.array(total), of["digest"],
                 ], ["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()

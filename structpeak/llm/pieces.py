@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,23 @@ CACHE_CHUNKS, CACHE_CHARACTERS = 400_000, 16_000_000
 PROBE = "Ａ ﬁ é   \t　 Ä ① ß "
 
 
+class Chunks(dict):
+    """The table's row of every chunk; one that is asked for the first time gets the next row."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = row = len(self)
+        self.new.append(chunk)
+        return row
+
+
 class PieceEncoder:
-    """One model file and the chunks seen so far."""
+    """One model file and the chunks seen so far, with their decoded texts if so asked."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, decodes: bool = True):
+        self.decodes = decodes
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.normalize(PROBE) == MARK + PROBE.replace(" ", MARK)
@@ -48,7 +62,7 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Chunks()
         self.characters = 0
         self.ids = np.zeros(0, np.int32)
         self.cut = np.zeros(1, np.int64)
@@ -59,26 +73,26 @@ class PieceEncoder:
             return []
         return CHUNK.findall(" " + text) if self.cuts else [" " + text]
 
-    def _learn(self, new: list[str]) -> None:
-        """Segments chunks that aren't in the table; the model adds the first marker again."""
+    def _learn(self) -> None:
+        """Segments the new chunks; the model adds the first marker again."""
+        new, self.known.new = self.known.new, []
         found = [ids or self.blank for ids in self.model.encode([c[1:] for c in new], num_threads=1)]
-        back = self.model.decode(found, num_threads=1)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.characters += sum(map(len, new))
-        self.cut = np.concatenate((self.cut, self.cut[-1] + np.cumsum([len(f) for f in found])))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for f in found for i in f), np.int32)))
-        self.back += [" " + b for b in back]
+        self.cut = np.concatenate((self.cut, self.cut[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int32)))
+        if self.decodes:
+            self.back += [" " + b for b in self.model.decode(found, num_threads=1)]
 
     def slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The table's row of every chunk of every text, and the borders of each text's chunks."""
         if len(self.known) > CACHE_CHUNKS or self.characters > CACHE_CHARACTERS:
             self._reset()
         parts = [self.chunks(t) for t in texts]
-        every = [c for p in parts for c in p]
-        new = [c for c in dict.fromkeys(every) if c not in self.known]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, every), np.int64, len(every)), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+        cut = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, cut[-1])
+        if self.known.new:
+            self._learn()
+        return rows, cut
 
     def ids_of(self, slot: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the borders of each text's ids, from the rows of their chunks."""
