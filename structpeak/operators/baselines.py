@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY
 from structpeak.operators.hotkeys import by_group_size
-from structpeak.operators.ordering import exact_quantiles
+from structpeak.operators.ordering import exact_quantiles, radix_quantiles
 from structpeak.operators.series import fill_gaps, position_index
 
 CHUNK = 50_000  # positions one task handles of a spread series
@@ -21,8 +21,12 @@ def raw_maximum(readings: DataFrame, keys: Sequence[str] = SERIES_KEY) -> DataFr
 
 
 def raw_quantiles(readings: DataFrame, quantiles: dict[str, float], keys: Sequence[str] = SERIES_KEY) -> DataFrame:
-    """High quantiles of the readings as they are."""
-    return by_group_size(readings, keys, lambda part, spread: exact_quantiles(part, keys, "value", quantiles, spread))
+    """High quantiles of the readings as they are; those of large series by radix selection."""
+
+    def build(part: DataFrame, spread: bool | str) -> DataFrame:
+        return radix_quantiles(part, keys, "value", quantiles, spread) if spread else exact_quantiles(part, keys, "value", quantiles)
+
+    return by_group_size(readings, keys, build)
 
 
 def chunked(indexed: DataFrame, before: int, after: int, chunk: int = CHUNK) -> DataFrame:

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,16 @@ from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY, PeakConfig
 from structpeak.operators.contamination import contaminated_copies
+from structpeak.operators.hotkeys import FEW
+from structpeak.operators.ordering import radix_quantiles
 
 SMALLEST_RESIDUAL = 1e-3
+# Most tasks that each send one matrix; partitions beyond share a task.
+MOST_MATRICES = 4096
+# Parts in which a matrix row is summed first.
+SUM_PARTS = 64
+# Values a scoring task holds before it hands its partial results on.
+HELD_VALUES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -46,13 +55,14 @@ class Denoiser:
             raise ValueError(f"model was fitted on {self.config.measure!r}, not {measure!r}")
 
 
-def block_mean_denoiser(config: PeakConfig, blocks: int, version: str = "block-mean") -> Denoiser:
-    """Fixed weights: codes are block means, the window repeats them. Needs no fit."""
+def block_mean_denoiser(config: PeakConfig, blocks: int, version: str = "block-mean", shares: dict[str, float] | None = None) -> Denoiser:
+    """Fixed weights: codes are block means of the channels times their ``shares``, the window repeats them. Needs no fit."""
     step = config.length // blocks
     decode = np.kron(np.eye(blocks), np.ones((1, step)))
     encode = np.zeros((config.length * len(config.channels) + 1, blocks))
-    place = config.channels.index("value") * config.length
-    encode[place : place + config.length] = decode.T / step
+    for name, share in (shares or {"value": 1.0}).items():
+        place = config.channels.index(name) * config.length
+        encode[place : place + config.length] = share * decode.T / step
     return Denoiser(config, encode, decode, version, np.zeros(blocks), np.ones(blocks))
 
 
@@ -181,29 +191,49 @@ def _cross_products(coefficients: np.ndarray | None, config: PeakConfig):
             part = np.hstack([xw.T @ x, xw.T @ y, np.full((x.shape[1], 1), w.sum())])
             total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"row": np.arange(len(total)), "sums": list(total)})
+            yield pd.DataFrame({"row": np.arange(len(total)), "part": TaskContext.get().partitionId() % SUM_PARTS, "sums": list(total)})
 
     return sums
 
 
-def _summed(examples: DataFrame, coefficients: np.ndarray | None, config: PeakConfig) -> np.ndarray:
-    """Cross products over all partitions: partial sums per task, then per matrix row."""
-    parts = examples.drop("window_id", "replica").mapInPandas(
-        _cross_products(coefficients, config), "row int, sums array<double>"
+def cross_products(examples: DataFrame, config: PeakConfig, coefficients: np.ndarray | None = None) -> DataFrame:
+    """``row, sums``: the weighted sums of a feature times every feature, times every target, and of the weights.
+
+    Each task reduces its windows to one matrix, and there are at most ``MOST_MATRICES`` tasks. The
+    matrices are summed in two levels, by (row, part) and by row, so no task adds up more than a part of them.
+    """
+    parts = examples.drop("window_id", "replica").coalesce(MOST_MATRICES).mapInPandas(
+        _cross_products(coefficients, config), "row int, part int, sums array<double>"
     )
-    summed = parts.groupBy("row").agg(Summarizer.sum(array_to_vector("sums")).alias("v"))
-    rows = summed.select("row", vector_to_array("v").alias("sums")).collect()  # one row per feature
+    summed = Summarizer.sum(array_to_vector("sums"))
+    first = parts.groupBy("row", "part").agg(summed.alias("v")).select("row", "part", vector_to_array("v").alias("sums"))
+    return first.groupBy("row").agg(summed.alias("v")).select("row", vector_to_array("v").alias("sums"))
+
+
+def summed_products(examples: DataFrame, coefficients: np.ndarray | None, config: PeakConfig) -> np.ndarray:
+    """The cross products as a matrix on the driver, one row a feature."""
+    rows = cross_products(examples, config, coefficients).collect()  # one row per feature
     if not rows:
         raise ValueError("no training windows: every series is shorter than one window")
     return np.array([r["sums"] for r in sorted(rows, key=lambda r: r["row"])])
 
 
-def _solve(sums: np.ndarray, length: int, ridge: float) -> np.ndarray:
+def _normal_equations(sums: np.ndarray, length: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
     p = sums.shape[0]
     gram, cross, weight = sums[:, :p], sums[:, p : p + length], sums[0, -1]
     penalty = np.eye(p) * ridge * weight
     penalty[-1, -1] = 0.0  # the intercept is free
-    return np.linalg.solve(gram + penalty, cross)
+    return gram + penalty, cross
+
+
+def solve_products(sums: np.ndarray, length: int, ridge: float) -> np.ndarray:
+    return np.linalg.solve(*_normal_equations(sums, length, ridge))
+
+
+def fit_residual(sums: np.ndarray, coefficients: np.ndarray, length: int, ridge: float) -> np.ndarray:
+    """What is left of the penalised normal equations under ``coefficients``, relative to their right side: zero at the optimum."""
+    left, right = _normal_equations(sums, length, ridge)
+    return (left @ coefficients - right) / np.maximum(np.abs(right).max(axis=0), 1.0)
 
 
 def _cut_rank(coefficients: np.ndarray, sums: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,30 +259,116 @@ def fit_denoiser(
     keys: Sequence[str] = SERIES_KEY,
     version: str = "unversioned",
 ) -> Denoiser:
-    """Fit the denoiser on scaled windows.
+    """Fit the denoiser on all scaled windows given.
 
-    Rounds of row re-weighting by inverse mean absolute residual stand in for an absolute
-    loss. The examples are built once and kept; every round reduces each of their partitions to
-    one matrix. A lost executor only recomputes its part.
+    Rounds of row re-weighting by inverse mean absolute residual stand in for an absolute loss.
+    Only the clean windows are kept between rounds: the contaminated copies come from seeded draws and are
+    made anew where they are used. Every round reduces each task to one matrix. A lost executor only
+    recomputes its part.
     """
-    examples = training_examples(windows, config, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    registry = [c for c in ("level", "level_delta") if c in windows.columns]
+    kept = windows.select(*keys, "window_id", "values", *registry).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        examples = training_examples(kept, config, keys)
         coefficients = None
         for _ in range(1 + config.reweight_rounds):
-            sums = _summed(examples, coefficients, config)
-            coefficients = _solve(sums, config.length, config.ridge)
+            sums = summed_products(examples, coefficients, config)
+            coefficients = solve_products(sums, config.length, config.ridge)
         encode, decode = _cut_rank(coefficients, sums, config.latent)
         bare = Denoiser(config, encode, decode, version)
-        codes = window_codes(examples, bare, "input").select(F.posexplode_outer("codes").alias("component", "code"))
-        center, width = code_statistics(codes)
+        codes = window_codes(examples, bare, "input").select("codes").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            center, width = code_statistics(codes.select(F.posexplode_outer("codes").alias("component", "code")))
+        finally:
+            codes.unpersist()
     finally:
-        examples.unpersist()
+        kept.unpersist()
     return Denoiser(config, encode, decode, version, center, width)
 
 
 def code_statistics(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Median and interquartile range of every code over the sample (one row per component)."""
-    q = F.percentile_approx("code", [0.25, 0.5, 0.75], 100_000)
-    rows = codes.groupBy("component").agg(q.alias("q")).orderBy("component").collect()
-    table = np.array([r["q"] for r in rows])
+    """Exact median and interquartile range of every code over the pool (one row per component)."""
+    names = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    rows = radix_quantiles(codes, ["component"], "code", names, FEW).orderBy("component").collect()
+    table = np.array([[r[n] for n in names] for r in rows])
     return table[:, 1], table[:, 2] - table[:, 0]
+
+
+def list_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def batch_codes(batch: pa.RecordBatch, model: Denoiser, values: str = "values") -> np.ndarray:
+    """Codes of an Arrow batch of windows."""
+    registry = [list_matrix(batch.column(c), model.config.length) if c in batch.schema.names else None for c in ("level", "level_delta")]
+    x = feature_matrix(list_matrix(batch.column(values), model.config.length), *registry, model.config.channels, model.config.spread_width)
+    return x @ model.encode[:-1] + model.encode[-1]
+
+
+def limited(codes: np.ndarray, model: Denoiser, kappa: float) -> np.ndarray:
+    if np.isinf(kappa):
+        return codes
+    return np.clip(codes, model.center - kappa * model.width, model.center + kappa * model.width)
+
+
+def _top_points(model: Denoiser, quantile: float, keys: Sequence[str]):
+    """Task function: the largest structural points of each series, as many as its quantile can ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple, list] = {}
+        held, names, types = 0, None, None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in state], t) for i, t in enumerate(types)]
+            tops = [v[1] for v in state.values()]
+            cut = pa.array(np.concatenate(([0], np.cumsum([len(t) for t in tops]))).astype(np.int32))
+            flat = pa.array(np.concatenate(tops) if tops else np.zeros(0))
+            return pa.RecordBatch.from_arrays([*columns, pa.array([v[0] for v in state.values()], pa.int64()), pa.ListArray.from_arrays(cut, flat)], [*names, "n", "top"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, types = list(keys), [batch.column(k).type for k in keys]
+            seen = limited(batch_codes(batch, model), model, model.kappa) @ model.decode
+            points = seen * batch.column("scale").to_numpy()[:, None] + batch.column("median").to_numpy()[:, None]
+            size = batch.column("n_windows").to_numpy() * model.config.length
+            most = size - np.floor(quantile * (size - 1)).astype(np.int64)
+            rows: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*[batch.column(c).to_pylist() for c in keys], strict=True)):
+                rows.setdefault(k, []).append(i)
+            for k, at in rows.items():
+                own = points[at].ravel()
+                own = own[np.isfinite(own)]
+                n, top = state.get(k, (0, np.zeros(0)))
+                held -= len(top)
+                merged, keep = np.concatenate((top, own)), int(most[at[0]])
+                if len(merged) > keep:
+                    merged = np.partition(merged, len(merged) - keep)[len(merged) - keep :]
+                state[k] = (n + len(own), merged)
+                held += len(merged)
+            if held > HELD_VALUES:
+                yield out()
+                state.clear()
+                held = 0
+        if state:
+            yield out()
+
+    return run
+
+
+def structural_quantile(windows: DataFrame, model: Denoiser, quantile: float, keys: Sequence[str] = SERIES_KEY, out: str = "peak") -> DataFrame:
+    """High quantile of the structural points of every series, in measured units; NULL when no point is finite.
+
+    One pass over the windows, in Python, turns them into the points; a task keeps of each series only as
+    many of the largest as the quantile's rank can reach, counted from the top. Those few move, the points don't.
+    ``windows`` needs ``n_windows`` (of the series), ``median``, ``scale``, ``values`` and the registry arrays the model uses.
+    """
+    keys = list(keys)
+    inputs = [c.alias(n) for c, n in zip(model_inputs(windows, model.config), ("values", "level", "level_delta"), strict=False)]
+    schema = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keys) + ", n long, top array<double>"
+    tops = windows.select(*keys, "median", "scale", "n_windows", *inputs).mapInArrow(_top_points(model, quantile, keys), schema)
+    merged = tops.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sort_array(F.flatten(F.collect_list("top")), asc=False).alias("_top"))
+    place = F.lit(float(quantile)) * (F.col("_n") - 1)
+    low, high = (F.get("_top", (F.col("_n") - 1 - f(place)).cast("int")) for f in (F.floor, F.ceil))
+    return merged.select(*keys, F.when(F.col("_n") > 0, low + (high - low) * (place - F.floor(place))).alias(out))

@@ -109,6 +109,72 @@ def _bucket(value: str, cuts: int) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), closer)
 
 
+#: Bits below the prefix after each pass: sign, exponent and 8 bits, then 20, then the last 24 bits of the value.
+RADIX_SHIFTS = (44, 24, 0)
+
+
+def ordered_bits(x: Column) -> Column:
+    """A double as a long of the same order: its sign times its IEEE bits without the sign. NaN is the largest."""
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    near = a / F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(near >= 2, 1).when(near < 1, -1).otherwise(0)  # the logarithm is rounded
+    fraction = a / F.pow(F.lit(2.0), exponent) - 1.0
+    normal = F.shiftleft((exponent + 1023).cast("bigint"), 52) + (fraction * F.lit(2.0**52)).cast("bigint")
+    tiny = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    size = (
+        F.when(F.isnan(x), F.lit(0x7FF8 << 48)).when(a == float("inf"), F.lit(0x7FF0 << 48))
+        .when(a < F.lit(2.0**-1022), tiny).when(a > 0, normal)
+    )
+    return F.when((x < 0) & ~F.isnan(x), -size).otherwise(size)
+
+
+def radix_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], spread: str = FEW) -> DataFrame:
+    """Linearly interpolated exact quantiles of large groups, by radix selection.
+
+    Values are counted by their leading bits; the counts tell in which prefix each rank sought lies, and only
+    values with that prefix are counted by their next bits. Three passes read the input and shuffle counts, never values.
+    ``spread`` is FEW where the groups were counted and are few, so that the prefixes sought may be broadcast.
+    """
+    keys = list(keys)
+    x = F.col(value).cast("double")
+    points = _grouped(df, keys).select("_g", x.alias("_x"), ordered_bits(x).alias("_bits"))
+    ranks = []
+    for q in quantiles.values():
+        place = F.lit(float(q)) * (F.col("_total") - 1)
+        ranks += [F.floor(place), F.ceil(place)]
+    wanted, totals = None, None
+    for shift in RADIX_SHIFTS:
+        prefix = F.shiftright("_bits", shift)
+        if wanted is None:
+            counts = points.groupBy("_g", prefix.alias("_prefix")).agg(F.count("_x").alias("_rows"))
+            whole = F.sum("_rows").over(Window.partitionBy("_g"))
+            along = Window.partitionBy("_g").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+            counts = counts.withColumn("_total", whole).withColumn("_below", F.coalesce(F.sum("_rows").over(along), F.lit(0)))
+            totals = counts.select("_g", "_total").distinct()
+            hit = F.filter(F.array_distinct(F.array(*ranks)), lambda r: (F.col("_below") <= r) & (r < F.col("_below") + F.col("_rows")))
+            wanted = counts.select("_g", "_prefix", "_below", F.explode(hit).alias("_rank"))
+        else:
+            sought = wanted.select(F.col("_g").alias("_h"), F.col("_prefix").alias("_start")).distinct()
+            same = (F.col("_g") == F.col("_h")) & (F.shiftright("_bits", before) == F.col("_start"))
+            inside = points.join(F.broadcast(sought) if spread == FEW else sought, same).select("_g", "_start", prefix.alias("_prefix"), "_x")
+            counts = inside.groupBy("_g", "_start", "_prefix").agg(F.count("_x").alias("_rows"), F.max("_x").alias("_value"))
+            along = Window.partitionBy("_g", "_start").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+            counts = counts.withColumn("_in", F.coalesce(F.sum("_rows").over(along), F.lit(0)))
+            joined = counts.join(wanted.select("_g", F.col("_prefix").alias("_start"), "_below", "_rank"), ["_g", "_start"])
+            below = F.col("_below") + F.col("_in")
+            wanted = joined.where((below <= F.col("_rank")) & (F.col("_rank") < below + F.col("_rows"))).select("_g", "_prefix", below.alias("_below"), "_rank", "_value")
+        before = shift
+    table = wanted.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))  # two entries a quantile
+    out = totals.join(table, "_g", "left")
+    columns = []
+    for i, (n, q) in enumerate(quantiles.items()):
+        low, high = F.try_element_at("_at", ranks[2 * i]), F.try_element_at("_at", ranks[2 * i + 1])
+        place = F.lit(float(q)) * (F.col("_total") - 1)
+        columns.append((low + (high - low) * (place - F.floor(place))).alias(n))
+    return out.select(*[F.col("_g")[k].alias(k) for k in keys], *columns)
+
+
 def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Group key as one struct: never NULL itself, and NULL parts are equal inside it."""
     return df.withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))

@@ -1,25 +1,29 @@
 """Model application and fitting.
 
-With fixed block-mean weights everything is checkable in SQL; fitted weights are checked by
-the acceptance tests, so those queries carry no SQL.
+With fixed block-mean weights everything is checkable in SQL, the refit included. The fit is checked through its
+sums and through the equations it solves; queries with fitted weights carry no SQL.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from structpeak.operators.hotkeys import by_group_size
-from structpeak.operators.model import block_mean_denoiser, fit_denoiser, limit_codes, reconstruct, window_codes
+from structpeak.operators.model import (
+    block_mean_denoiser, cross_products, fit_denoiser, fit_residual, limit_codes, reconstruct, solve_products, summed_products, training_examples, window_codes,
+)
 from structpeak.operators.contamination import contaminated_copies
 from structpeak.operators.pooled import pooled_codes, regress_on_codes
-from structpeak.operators.refit import kappa_losses, labelled_examples
+from structpeak.operators.refit import kappa_losses, labelled_examples, refit
 from structpeak.operators.series import series_windows
 from structpeak.plans.scoring import annual_peaks
-from structpeak.plans.training import refit_on_labels, train, training_windows
+from structpeak.operators.registry import align_windows, registry_stats
+from structpeak.plans.training import config_with_stats, refit_on_labels, train, training_windows
 from structpeak.queries.base import CONFIG, KEY, LENGTH, MEASURE, TIE, labels, months, query, readings, results, rounded, sql
-from structpeak.queries.series import _DIRTY, _windows
+from structpeak.queries.series import _ALIGNED, _CHANNELS, _DIRTY, _DIRTY_LISTS, _windows
 
 PLAIN = replace(CONFIG, channels=("value",))
 FIXED = block_mean_denoiser(PLAIN, 6)
@@ -68,8 +72,8 @@ _LIMITED = "CASE WHEN kappa = 'inf'::DOUBLE THEN code ELSE least(greatest(code,
 _KAPPAS = "SELECT unnest(['inf'::DOUBLE, 2.0, 1.0, 0.5]) AS kappa"
 
 
-@query("code_limit_losses", sql(("zlists", "zpoints", "labels"), f"""
-    SELECT p.kappa, round(pool_loss, 5) AS pool_loss, round(label_loss, 5) AS label_loss, n_labelled, round(pool_loss + 8.0 * label_loss, 4) AS loss
+_LOSSES = f"""
+    SELECT p.kappa, pool_loss, label_loss, n_labelled, pool_loss + 8.0 * label_loss AS loss
     FROM (SELECT kappa, avg(l1) AS pool_loss FROM (
             SELECT kappa, d.region, d.entity, d.year, d.window_id, d.replica, avg(abs({_LIMITED} - d.z)) AS l1
             FROM dirty d JOIN dirty_blocks b ON d.region = b.region AND d.entity = b.entity AND d.year = b.year AND d.window_id = b.window_id
@@ -80,10 +84,16 @@ _KAPPAS = "SELECT unnest(['inf'::DOUBLE, 2.0, 1.0, 0.5]) AS kappa"
             FROM (SELECT *, max(x) OVER (PARTITION BY kappa, region, entity, year) AS top FROM (
                     SELECT kappa, b.region, b.entity, b.year, {_LIMITED} AS x, (l.label - b.median) / b.scale AS label_scaled
                     FROM blocks b JOIN labels l ON b.region = l.region AND b.entity = l.entity AND b.year = l.year, ({_KAPPAS})
-                    WHERE l.label IS NOT NULL)) GROUP BY kappa, region, entity, year) GROUP BY kappa) q ON p.kappa = q.kappa""",
-    blocks=_BLOCKS, **_DIRTY,
-    dirty_blocks="""SELECT region, entity, year, window_id, replica, i // 4 AS block, avg(x) AS code
-                    FROM dirty GROUP BY region, entity, year, window_id, replica, i // 4"""))
+                    WHERE l.label IS NOT NULL)) GROUP BY kappa, region, entity, year) GROUP BY kappa) q ON p.kappa = q.kappa"""
+_LOSS_CTES = {
+    "blocks": _BLOCKS, **_DIRTY, "dirty_blocks": """
+        SELECT region, entity, year, window_id, replica, i // 4 AS block, avg(x) AS code
+        FROM dirty GROUP BY region, entity, year, window_id, replica, i // 4""", "losses": _LOSSES,
+}
+
+
+@query("code_limit_losses", sql(("zlists", "zpoints", "labels"), """
+    SELECT kappa, round(pool_loss, 5) AS pool_loss, round(label_loss, 5) AS label_loss, n_labelled, round(loss, 4) AS loss FROM losses""", **_LOSS_CTES))
 def code_limit_losses(spark, sf):
     """Pool and label loss of every candidate limit, all candidates in one pass."""
     pool = contaminated_copies(_windows(spark, sf), CONFIG, KEY)
@@ -91,6 +101,49 @@ def code_limit_losses(spark, sf):
     return rounded(rounded(out, 5, "pool_loss", "label_loss"), 4, "loss")
 
 
+@query("refitted_fixed_weights_peak", sql(("zlists", "zpoints", "labels"), f"""
+    SELECT region, entity, year, kappa, round(quantile_cont(v, 0.999), 6) AS peak
+    FROM (SELECT region, entity, year, kappa, unnest([x, x, x, x]) AS v
+          FROM (SELECT *, {_LIMITED} * scale + median AS x FROM blocks, (SELECT kappa FROM losses ORDER BY loss, kappa DESC LIMIT 1)))
+    GROUP BY region, entity, year, kappa""", **_LOSS_CTES))
+def refitted_fixed_weights_peak(spark, sf):
+    """The limit chosen on the labels, then every series scored again under it."""
+    pool = contaminated_copies(_windows(spark, sf), CONFIG, KEY)
+    second = refit(_labelled_windows(spark, sf), pool, FIXED, GRID, "h1", keys=KEY, pool_input="contaminated")
+    peaks = annual_peaks(readings(spark, sf), second, MEASURE, tie=TIE)
+    return rounded(peaks.withColumn("kappa", F.lit(float(second.kappa))), 6, "peak")
+
+
+@query("fit_cross_products", sql(("zlists", "zpoints"), """
+    SELECT a.i AS row, b.i AS "column", round(sum(a.x * b.x), 3) AS total FROM wide a JOIN wide b USING (region, entity, year, window_id, replica) GROUP BY 1, 2
+    UNION ALL
+    SELECT a.i, 25 + d.i, round(sum(a.x * d.z), 3) FROM wide a JOIN dirty d USING (region, entity, year, window_id, replica) GROUP BY 1, 2
+    UNION ALL
+    SELECT i, 49, count(*) FROM wide GROUP BY 1""", **_DIRTY, wide="""
+    SELECT region, entity, year, window_id, replica, i, x FROM dirty UNION ALL
+    SELECT DISTINCT region, entity, year, window_id, replica, 24, 1.0 FROM dirty"""))
+def fit_cross_products(spark, sf):
+    """The sums that the fit solves: contaminated windows and the intercept against themselves, the clean windows and the weights."""
+    found = cross_products(training_examples(_windows(spark, sf), PLAIN, KEY), PLAIN)
+    return rounded(found.select("row", F.posexplode_outer("sums").alias("column", "total")), 3, "total")
+
+
+@query("fit_optimality", """
+    SELECT part, i AS row, 0.0 AS residual FROM (SELECT unnest(['plain', 'reweighted']) AS part), (SELECT unnest(range(25)) AS i)""")
+def fit_optimality(spark, sf):
+    """Largest residual of the penalised normal equations in every row, before and after a round of re-weighting: all zero at the optimum."""
+    examples = training_examples(_windows(spark, sf), PLAIN, KEY)
+    out, coefficients = None, None
+    for part in ("plain", "reweighted"):
+        sums = summed_products(examples, coefficients, PLAIN)
+        coefficients = solve_products(sums, PLAIN.length, PLAIN.ridge)
+        left = np.abs(fit_residual(sums, coefficients, PLAIN.length, PLAIN.ridge)).max(axis=1)
+        rows = [F.struct(F.lit(part).alias("part"), F.lit(i).alias("row"), F.round(F.lit(float(r)), 6).alias("residual")) for i, r in enumerate(left)]
+        found = spark.range(1).select(F.inline(F.array(*rows)))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("limited_reconstruction", sql(("zpoints",), """
     SELECT region, entity, year, window_id, block, round(code, 6) AS code, round(least(greatest(code, -0.75), 0.75), 6) AS limited FROM blocks""", blocks=_BLOCKS))
 def limited_reconstruction(spark, sf):
@@ -103,7 +156,7 @@ def limited_reconstruction(spark, sf):
 
 @query("fitted_structural_peak")
 def fitted_structural_peak(spark, sf):
-    """Fit on a seeded sample, then score every series (value channel only)."""
+    """Fit on all windows, then score every series (value channel only)."""
     base = readings(spark, sf)
     return annual_peaks(base, train(base, PLAIN, tie=TIE, version="h0"), MEASURE, tie=TIE)
 
@@ -125,21 +178,67 @@ def refitted_peak_h1(spark, sf):
     return annual_peaks(base, second, MEASURE, tie=TIE).withColumn("kappa", F.lit(float(second.kappa)))
 
 
+SHARES = {"value": 1.0, "derivative": 0.2, "spread": -0.1, "level": 0.05, "level_delta": 0.1}
+_SEEN = "avg(c.z + 0.2 * c.derivative - 0.1 * c.spread {registry}) AS code"
+_REGISTRY = "+ 0.05 * a.level + 0.1 * a.level_delta"
+_POINT = "x.region, x.entity, x.year, x.window_id, x.i"
+_CHANNEL_CTES = {"channels": _CHANNELS.format(base="zlists"), "aligned": _ALIGNED.format(base="zpoints", key=_POINT)}
+
+
+@query("multichannel_peak_fixed_weights", sql(("zlists", "zpoints", "stats"), f"""
+    SELECT region, entity, year, round(quantile_cont(v, 0.999), 6) AS peak FROM (
+      SELECT region, entity, year, unnest([x, x, x, x]) AS v FROM (
+        SELECT region, entity, year, code * any_value(scale) + any_value(median) AS x FROM (
+          SELECT region, entity, year, window_id, c.i // 4 AS block, {_SEEN.format(registry=_REGISTRY)}
+          FROM channels c JOIN aligned a USING (region, entity, year, window_id, i) GROUP BY ALL)
+        JOIN zlists USING (region, entity, year, window_id) GROUP BY region, entity, year, window_id, block, code))
+    GROUP BY region, entity, year""", **_CHANNEL_CTES))
+def multichannel_peak_fixed_weights(spark, sf):
+    """Five channels with the monthly registry under fixed weights."""
+    found = months(spark, sf)
+    model = block_mean_denoiser(config_with_stats(CONFIG, found), 6, shares=SHARES)
+    return rounded(annual_peaks(readings(spark, sf), model, MEASURE, found, TIE), 6, "peak")
+
+
+def _reconstruction_error(windows, model, name):
+    """Mean absolute error of the contaminated copies' reconstruction against the clean windows."""
+    seen = reconstruct(contaminated_copies(windows, model.config, KEY), model, "contaminated")
+    gap = F.aggregate(F.zip_with("structural", "values", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, g: a + g) / LENGTH
+    return seen.agg(F.avg(gap).alias("l1"), F.count("*").alias("n_windows")).select(F.lit(name).alias("variant"), "l1", "n_windows")
+
+
+_DIRTY_CHANNELS = _CHANNELS.format(base="dirty_lists").replace("window_id, i,", "window_id, replica, i,", 1)
+_ABLATED = f"""
+    SELECT '{{name}}' AS variant, round(avg(abs(b.code - d.z)), 5) AS l1, CAST(count(*) / 24 AS BIGINT) AS n_windows
+    FROM (SELECT region, entity, year, window_id, replica, c.i // 4 AS block, {_SEEN}
+          FROM channels c JOIN aligned a USING (region, entity, year, window_id, i) GROUP BY ALL) b
+    JOIN dirty d ON b.region = d.region AND b.entity = d.entity AND b.year = d.year AND b.window_id = d.window_id AND b.replica = d.replica AND d.i // 4 = b.block"""
+
+
+@query("channel_ablation_fixed_weights", sql(
+    ("zlists", "zpoints", "stats"), _ABLATED.format(name="with_registry", registry=_REGISTRY) + " UNION ALL " + _ABLATED.format(name="without_registry", registry=""),
+    **_DIRTY, dirty_lists=_DIRTY_LISTS, channels=_DIRTY_CHANNELS, aligned=_ALIGNED.format(base="zpoints", key=_POINT)))
+def channel_ablation_fixed_weights(spark, sf):
+    """The same fixed weights with and without the registry channels, on the same contaminated windows."""
+    found = months(spark, sf)
+    config = config_with_stats(CONFIG, found)
+    windows = align_windows(_windows(spark, sf), found, registry_stats(found))
+    without = {k: v for k, v in SHARES.items() if k not in ("level", "level_delta")}
+    rows = [_reconstruction_error(windows, block_mean_denoiser(config, 6, shares=s), n) for n, s in (("with_registry", SHARES), ("without_registry", without))]
+    return rounded(rows[0].unionByName(rows[1]), 5, "l1")
+
+
 @query("channel_ablation")
 def channel_ablation(spark, sf):
-    """Reconstruction error of the same sample with and without the registry channels."""
+    """Reconstruction error of fitted models with and without the registry channels, over all windows."""
     found = months(spark, sf)
     base = readings(spark, sf)
-    out = None
+    rows = []
     for name, channels in (("with_registry", CONFIG.channels), ("without_registry", CONFIG.channels[:3])):
-        config = replace(CONFIG, channels=channels)
+        config = config_with_stats(replace(CONFIG, channels=channels), found)
         windows = training_windows(base, config, found, TIE)
-        model = fit_denoiser(windows, config, KEY, name)
-        seen = reconstruct(contaminated_copies(windows, config, KEY), model, "contaminated")
-        gap = F.aggregate(F.zip_with("structural", "values", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, g: a + g) / LENGTH
-        row = seen.agg(F.avg(gap).alias("l1"), F.count("*").alias("n_windows")).select(F.lit(name).alias("variant"), "l1", "n_windows")
-        out = row if out is None else out.unionByName(row)
-    return out
+        rows.append(_reconstruction_error(windows, fit_denoiser(windows, config, KEY, name), name))
+    return rows[0].unionByName(rows[1])
 
 
 @query("pooled_code_summaries", sql(("zpoints",), """
