@@ -57,12 +57,22 @@ def frozen_split(df: DataFrame, strata: Sequence[str], share: float, seed: int,
     """Flag a fixed share of the entities of every stratum as test, by seeded order."""
     ids = df.select(entity, *strata).distinct()
     return ranked_per_stratum(ids, strata, seed, [entity]).select(
-        entity, *strata, (F.col("position") <= F.floor(F.col("total") * share)).alias("is_test")
+        entity, *strata, (F.col("_position") <= F.floor(F.col("_total") * share)).alias("is_test")
     )
 
 
+def split_frozen(df: DataFrame, strata: Sequence[str], share: float, seed: int, entity: str = "entity") -> tuple[DataFrame, DataFrame]:
+    """``(pool, test)``: the rows of the entities outside and inside the frozen test set."""
+    flags = frozen_split(df, strata, share, seed, entity).select(*[F.col(c).alias(f"_f_{c}") for c in [entity, *strata]], F.col("is_test").alias("_is_test"))
+    match = F.lit(True)
+    for c in [entity, *strata]:
+        match = match & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    flagged = df.join(flags, match).drop(*[f"_f_{c}" for c in [entity, *strata]])
+    return flagged.where(~F.col("_is_test")).drop("_is_test"), flagged.where("_is_test").drop("_is_test")
+
+
 def ranked_per_stratum(df: DataFrame, strata: Sequence[str], seed: int, keys: Sequence[str], *extra: Column) -> DataFrame:
-    """Seeded position inside each stratum, cut by digest prefix so no stratum meets in one task."""
+    """Adds ``_position``, seeded, inside each stratum and ``_total``; cut by digest prefix so no stratum meets in one task."""
     strata = list(strata)
     tagged = df.withColumn("_digest", order_digest(seed, *extra, *[F.col(k) for k in keys])).withColumn(
         "_bucket", F.substring("_digest", 1, 2)
@@ -72,7 +82,7 @@ def ranked_per_stratum(df: DataFrame, strata: Sequence[str], seed: int, keys: Se
     sizes = sizes.select(
         *[F.col(s).alias(f"_r_{s}") for s in [*strata, "_bucket"]],
         F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
+        F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
     )
     match = F.lit(True)
     for s in [*strata, "_bucket"]:
@@ -81,30 +91,40 @@ def ranked_per_stratum(df: DataFrame, strata: Sequence[str], seed: int, keys: Se
     return (
         tagged.withColumn("_inside", F.row_number().over(inside))
         .join(sizes, match, "left")
-        .withColumn("position", F.col("_inside") + F.col("_before"))
+        .withColumn("_position", F.col("_inside") + F.col("_before"))
         .drop("_inside", "_before", "_digest", "_bucket", *[f"_r_{s}" for s in [*strata, "_bucket"]])
     )
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """About ``n`` rows in proportion to the strata: ``round(n * share)`` of each."""
+    """About ``n`` rows in proportion to the strata, ``round(n * share)`` of each, with their ``position``; a column of that name is refused."""
+    _refuse(df, "position")
     ranked = ranked_per_stratum(df, strata, seed, keys)
     everything = df.agg(F.count("*").alias("rows")).scalar()
-    return ranked.where(F.col("position") <= F.round(F.lit(float(n)) * F.col("total") / everything)).drop("total")
+    chosen = ranked.where(F.col("_position") <= F.round(F.lit(float(n)) * F.col("_total") / everything)).drop("_total")
+    return chosen.withColumnRenamed("_position", "position")
+
+
+def _refuse(df: DataFrame, *names: str) -> None:
+    taken = [n for n in names if n in df.columns]
+    if taken:
+        raise ValueError(f"the result adds {taken}; rename the input's columns")
 
 
 def nested_chains(df: DataFrame, grid: Sequence[int], repetitions: int, seed: int, keys: Sequence[str]) -> DataFrame:
     """Label sets that grow along ``grid``: prefixes of one seeded permutation per repetition.
 
     A row appears once per repetition with ``first_level``, the smallest grid size whose
-    prefix holds it; a set of size n is ``first_level <= n``. Rows beyond the grid have NULL.
+    prefix holds it; a set of size n is ``first_level <= n``. Rows beyond the grid have NULL. Columns
+    named ``repetition``, ``position`` or ``first_level`` are refused, all others stay.
     """
+    _refuse(df, "repetition", "position", "first_level")
     repeated = df.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
     ranked = ranked_per_stratum(repeated, ["repetition"], seed, keys, F.col("repetition"))
     level = F.lit(None).cast("int")
     for n in sorted(grid, reverse=True):
-        level = F.when(F.col("position") <= n, F.lit(n)).otherwise(level)
-    return ranked.withColumn("first_level", level).drop("total")
+        level = F.when(F.col("_position") <= n, F.lit(n)).otherwise(level)
+    return ranked.withColumn("first_level", level).drop("_total").withColumnRenamed("_position", "position")
 
 
 def list_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -25,6 +25,14 @@ POISSON_1 = (
     0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
 )
 
+# Coefficients of a published rational approximation of the normal quantile (relative error below 1.2e-9).
+QUANTILE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+QUANTILE_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+QUANTILE_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+QUANTILE_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+QUANTILE_TAIL = 0.02425
+EXACT_PAIRS = 25  # most pairs whose signed ranks are enumerated
+
 
 def upper_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0."""
@@ -35,6 +43,30 @@ def upper_tail(z: Column) -> Column:
     return F.lit(INV_SQRT_2PI) * F.exp(-z * z / 2) * poly
 
 
+def normal_share(z: Column) -> Column:
+    """P(Z <= z)."""
+    return F.when(z >= 0, 1 - upper_tail(z)).otherwise(upper_tail(-z))
+
+
+def normal_quantile(p: Column) -> Column:
+    """The z with P(Z <= z) = p, for p between 0 and 1."""
+
+    def poly(coefficients: Sequence[float], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    def tail(share: Column) -> Column:
+        x = F.sqrt(F.lit(-2.0) * F.log(share))
+        return poly(QUANTILE_C, x) / poly((*QUANTILE_D, 1.0), x)
+
+    middle = p - F.lit(0.5)
+    square = middle * middle
+    inner = poly(QUANTILE_A, square) * middle / poly((*QUANTILE_B, 1.0), square)
+    return F.when(p < QUANTILE_TAIL, tail(p)).when(p > 1 - QUANTILE_TAIL, -tail(1 - p)).otherwise(inner)
+
+
 def poisson_one(u: Column) -> Column:
     """Poisson(1) count by inversion of a uniform draw."""
     out = F.lit(len(POISSON_1))
@@ -43,6 +75,15 @@ def poisson_one(u: Column) -> Column:
     return out
 
 
+def _draw_estimates(per_entity: DataFrame, entity: str, draws: int, seed: int, by: Sequence[str]) -> DataFrame:
+    drawn = per_entity.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    weight = poisson_one(uniform(key_seed(F.lit(str(seed)), F.col("draw"), F.col(entity)), 1))
+    sums = drawn.withColumn("_w", weight).groupBy(*by, "draw").agg(
+        F.sum(F.col("_w") * F.col("_num")).alias("_num"), F.sum(F.col("_w") * F.col("_den")).alias("_den")
+    )
+    return sums.where(F.col("_den") > 0).withColumn("_est", F.col("_num") / F.col("_den"))
+
+
 def cluster_bootstrap(
     df: DataFrame, numerator: str, denominator: str, entity: str, draws: int, seed: int, by: Sequence[str] = (),
     low: float = 0.025, high: float = 0.975,
@@ -53,18 +94,49 @@ def cluster_bootstrap(
     so only ``draws`` partial sums leave a task.
     """
     per_entity = df.groupBy(*by, entity).agg(F.sum(numerator).alias("_num"), F.sum(denominator).alias("_den"))
-    drawn = per_entity.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    weight = poisson_one(uniform(key_seed(F.lit(str(seed)), F.col("draw"), F.col(entity)), 1))
-    sums = drawn.withColumn("_w", weight).groupBy(*by, "draw").agg(
-        F.sum(F.col("_w") * F.col("_num")).alias("_num"), F.sum(F.col("_w") * F.col("_den")).alias("_den")
-    )
-    estimates = sums.where(F.col("_den") > 0).withColumn("_est", F.col("_num") / F.col("_den"))
-    return estimates.groupBy(*by).agg(
+    return _draw_estimates(per_entity, entity, draws, seed, by).groupBy(*by).agg(
         F.percentile("_est", low).alias("lower"), F.percentile("_est", 0.5).alias("middle"),
         F.percentile("_est", high).alias("upper"), F.count("*").alias("draws"),
     )
 
 
+def accelerated_interval(
+    df: DataFrame, numerator: str, denominator: str, entity: str, draws: int, seed: int, by: Sequence[str] = (), z: float = Z_95_TWO_SIDED
+) -> DataFrame:
+    """Bias-corrected accelerated interval of ``sum(numerator) / sum(denominator)`` over whole entities.
+
+    The draws are those of ``cluster_bootstrap``. The bias comes from the share of draws below the estimate, the
+    acceleration from the estimates without one entity each, which are the totals less that entity's own sums. NULL group values are groups.
+    """
+    by = list(by)
+    per_entity = df.groupBy(*by, entity).agg(F.sum(numerator).alias("_num"), F.sum(denominator).alias("_den"))
+    group = F.struct(F.lit(0).alias("_all"), *by).alias("_g")
+    totals = per_entity.groupBy(group).agg(F.sum("_num").alias("_n"), F.sum("_den").alias("_d")).where("_d > 0").withColumn("estimate", F.col("_n") / F.col("_d"))
+    left = (F.col("_n") - F.col("_num")) / F.nullif(F.col("_d") - F.col("_den"), F.lit(0))
+    moved = per_entity.withColumn("_g", group).join(totals, "_g").withColumn("_u", left - F.col("estimate"))
+    u = F.col("_u")
+    parts = moved.groupBy("_g").agg(F.count("_u").alias("_k"), F.avg("_u").alias("_m"), F.sum(u * u).alias("_s2"), F.sum(u * u * u).alias("_s3"))
+    k, m = F.col("_k"), F.col("_m")
+    second = F.col("_s2") - k * m * m
+    third = -(F.col("_s3") - 3 * m * F.col("_s2") + 2 * k * m * m * m)
+    bend = parts.select("_g", F.coalesce(F.when(second > 0, third / (6 * F.pow(second, F.lit(1.5)))), F.lit(0.0)).alias("acceleration"))
+    estimates = _draw_estimates(per_entity, entity, draws, seed, by).withColumn("_g", group).join(totals.select("_g", "estimate"), "_g")
+    below = F.avg(F.when(F.col("_est") < F.col("estimate"), 1.0).when(F.col("_est") == F.col("estimate"), 0.5).otherwise(0.0))
+    drawn = estimates.groupBy("_g").agg(F.first("estimate").alias("estimate"), below.alias("_below"), F.sort_array(F.collect_list("_est")).alias("_sorted"))  # `draws` numbers
+    n = F.size("_sorted")
+    bias = normal_quantile(F.least(F.greatest(F.col("_below"), 0.5 / n), 1 - 0.5 / n))
+    out = drawn.join(bend, "_g").withColumn("bias", bias)
+
+    def at(side: float) -> Column:
+        shifted = F.col("bias") + F.lit(side)
+        share = normal_share(F.col("bias") + shifted / (1 - F.col("acceleration") * shifted))
+        place = share * (n - 1)
+        low, high = F.get("_sorted", F.floor(place).cast("int")), F.get("_sorted", F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return out.select(*[F.col("_g")[c].alias(c) for c in by], "estimate", "bias", "acceleration", at(-z).alias("lower"), at(z).alias("upper"), n.cast("bigint").alias("draws"))
+
+
 def success_test(interval: DataFrame, floor: float) -> DataFrame:
     """Whether the lower bound lies above the preset floor."""
     return interval.withColumn("passed", F.col("lower") > floor)
@@ -109,6 +181,42 @@ def signed_rank(differences: DataFrame, value: str, by: Sequence[str] = ()) -> D
     ).drop("_ties")
 
 
+def exact_signed_rank(differences: DataFrame, value: str, by: Sequence[str] = (), most: int = EXACT_PAIRS) -> DataFrame:
+    """Paired signed-rank test of small sets by the exact null distribution; ``p_value`` is NULL beyond ``most`` pairs.
+
+    Zero differences are left out, ties take average ranks. The distribution counts the subsets of the ranks by their sum: an array fold
+    over at most ``most`` ranks. Larger sets are counted, not collected; :func:`signed_rank` has their normal approximation.
+    """
+    by = list(by)
+    used = differences.where(F.col(value) != 0).select(F.struct(F.lit(0).alias("_all"), *by).alias("_g"), F.col(value).alias("_d"))
+    sizes = used.groupBy("_g").agg(F.count("*").alias("n"))
+    small = used.join(sizes.where(F.col("n") <= most).select("_g"), "_g")
+    size = F.abs("_d")
+    inside, same = Window.partitionBy("_g").orderBy(size), Window.partitionBy("_g", size)
+    ranked = small.withColumn("_twice", (2 * F.rank().over(inside) + F.count("*").over(same) - 1).cast("int"))  # doubled, so that average ranks are whole
+    sets = ranked.groupBy("_g").agg(
+        F.sort_array(F.collect_list("_twice")).alias("_ranks"), F.sum(F.when(F.col("_d") > 0, F.col("_twice")).otherwise(0)).cast("int").alias("_plus"), F.sum("_twice").cast("int").alias("_all")
+    )
+
+    def add(counts: Column, rank: Column) -> Column:
+        return F.transform(counts, lambda c, i: c + F.when(i >= rank, F.get(counts, i - rank)).otherwise(F.lit(0.0)))
+
+    empty = F.transform(F.sequence(F.lit(0), F.col("_all")), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    counted = sets.withColumn("_counts", F.aggregate("_ranks", empty, add))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    lower = total(F.slice("_counts", F.lit(1), F.col("_plus") + 1))
+    upper = total(F.slice("_counts", F.col("_plus") + 1, F.size("_counts")))
+    p = F.least(F.lit(1.0), 2 * F.least(lower, upper) / F.pow(F.lit(2.0), F.size("_ranks")))
+    found = counted.select("_g", (F.col("_plus") / 2).alias("w_plus"), p.alias("p_value"))
+    return sizes.join(found, "_g", "left").select(*[F.col("_g")[c].alias(c) for c in by], "n", "w_plus", "p_value")
+
+
+def adjacent_differences(runs: DataFrame, level: str, repetition: str, error: str) -> DataFrame:
+    """For each repetition, the error at a level less that at the next smaller one (``smaller``, ``diff``)."""
+    order = Window.partitionBy(repetition).orderBy(level)  # one row a level of the grid
+    return runs.withColumn("smaller", F.lag(level).over(order)).withColumn("diff", F.col(error) - F.lag(error).over(order)).where(F.col("smaller").isNotNull())
+
+
 def cliffs_delta(df: DataFrame, value: str, is_first: Column, by: Sequence[str] = ()) -> DataFrame:
     """Dominance of the first sample over the second, from average ranks of both together."""
     by = list(by)
@@ -152,11 +260,21 @@ def average_ranks(scores: DataFrame, dataset: str, method: str, score: str) -> D
 
 
 def pair_deviation(opinions: DataFrame, keys: Sequence[str], annotator: str, value: str) -> DataFrame:
-    """Per key with exactly two annotators: both values and their absolute difference."""
-    both = opinions.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min_by(value, annotator).alias("first_value"), F.max_by(value, annotator).alias("second_value")
-    )
-    return both.where(F.col("_n") == 2).drop("_n").withColumn("deviation", F.abs(F.col("first_value") - F.col("second_value")))
+    """Every pair of annotators of a key: who they are, both values and their absolute difference.
+
+    A key has as many opinions as annotators were asked for it, two or three; one opinion makes no pair.
+    """
+    told = F.array_sort(F.collect_list(F.struct(F.col(annotator).alias("who"), F.col(value).alias("said"))))
+    per_key = opinions.where(F.col(value).isNotNull()).groupBy(*keys).agg(told.alias("_told"))
+
+    def pairs(first: Column, i: Column) -> Column:
+        rest = F.slice("_told", i + 2, F.size("_told"))
+        return F.transform(rest, lambda second: F.struct(
+            first["who"].alias("first_annotator"), second["who"].alias("second_annotator"), first["said"].alias("first_value"), second["said"].alias("second_value")
+        ))
+
+    listed = per_key.select(*keys, F.inline(F.flatten(F.transform("_told", pairs))))
+    return listed.withColumn("deviation", F.abs(F.col("first_value") - F.col("second_value")))
 
 
 def intraclass_correlation(opinions: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -183,7 +301,8 @@ def learning_runs(
 ) -> DataFrame:
     """Test error of the calibration line for every repetition and label-set size.
 
-    The sets are nested prefixes; a pool row feeds every set it belongs to.
+    The sets are nested prefixes of the pool; a pool row feeds every set it belongs to. ``test`` must hold other
+    entities than the pool (``frozen_split``), or the curve measures its own training rows.
     """
     chained = nested_chains(pool, grid, repetitions, seed, keys).where(F.col("first_level").isNotNull())
     sizes = F.filter(F.array(*[F.lit(n) for n in sorted(grid)]), lambda n: n >= F.col("first_level"))

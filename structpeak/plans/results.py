@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from structpeak.config import RESULT_KEY
-from structpeak.operators.merge import upsert
+from structpeak.operators.merge import upsert, upsert_partitions
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("region", T.StringType()),
@@ -50,3 +50,24 @@ def publish_h0(target: DataFrame, staging: DataFrame, as_of: Column) -> DataFram
 def publish_h1(target: DataFrame, staging: DataFrame, as_of: Column) -> DataFrame:
     """Update-only merge of h1."""
     return upsert(target, staging, RESULT_KEY, update={"peak_h1": "peak_h1", "computed_at": as_of})
+
+
+RESULT_PARTITIONS = ("region", "year")
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Result rows as a table partitioned by region and year, as ``publish_h0_table`` expects it."""
+    results.repartition(*RESULT_PARTITIONS).write.partitionBy(*RESULT_PARTITIONS).parquet(path)
+
+
+def publish_h0_table(spark: SparkSession, path: str, staging: DataFrame, as_of: Column) -> None:
+    """``publish_h0`` on a stored table: partitions that the staging rows don't name are neither read nor written."""
+    upsert_partitions(
+        spark, path, staging, RESULT_KEY, RESULT_PARTITIONS,
+        update={"peak_h0": "peak_h0", "model_version": "model_version", "computed_at": as_of}, insert=STAGING_H0,
+    )
+
+
+def publish_h1_table(spark: SparkSession, path: str, staging: DataFrame, as_of: Column) -> None:
+    """``publish_h1`` on a stored table."""
+    upsert_partitions(spark, path, staging, RESULT_KEY, RESULT_PARTITIONS, update={"peak_h1": "peak_h1", "computed_at": as_of})

@@ -8,6 +8,7 @@ from structpeak.operators.baselines import (
     daily_medians, hampel_filter, hampel_maximum, level_segments, normal_segment_maximum, raw_maximum, raw_quantiles, segment_features,
     sustained_maximum, vote_segments,
 )
+from structpeak.operators.changes import change_points, learn_rules
 from structpeak.operators.hotkeys import FEW, MANY
 from structpeak.operators.ordering import exact_quantiles, radix_quantiles
 from structpeak.operators.refit import soft_peak
@@ -128,6 +129,78 @@ def segment_votes(spark, sf):
     return normal_segment_maximum(vote_segments(_features(spark, sf), 60, 4000.0), KEY)
 
 
+_SPREAD = "(squares[t + 2] - squares[s + 1]) - (sums[t + 2] - sums[s + 1]) * (sums[t + 2] - sums[s + 1]) / (t + 1 - s)"
+_CUTS = {
+    "days": _DAYS,
+    "listed": """SELECT region, entity, year, list(day_median ORDER BY day) AS x, list(day ORDER BY day) AS d, count(*) AS n, 1.0 * var_pop(day_median) * ln(count(*)) AS charge
+                 FROM days GROUP BY 1, 2, 3""",
+    "summed": """SELECT *, list_transform(range(n + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS sums,
+                        list_transform(range(n + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda v: v * v)), 0.0)) AS squares FROM listed""",
+    # one row a series and end: all starts are tried
+    "fold": f"""SELECT region, entity, year, 0 AS t, [-charge] AS cost, []::BIGINT[] AS back, n, charge, sums, squares FROM summed
+                UNION ALL
+                SELECT region, entity, year, t + 1, list_append(cost, list_min(trials)), list_append(back, list_position(trials, list_min(trials)) - 1), n, charge, sums, squares
+                FROM (SELECT *, list_transform(range(t + 1), lambda s: cost[s + 1] + {_SPREAD} + charge) AS trials FROM fold WHERE t < n)""",
+    "traced": """SELECT region, entity, year, back, n AS hi, back[n] AS lo FROM fold WHERE t = n
+                 UNION ALL SELECT region, entity, year, back, lo, back[lo] FROM traced WHERE lo > 0""",
+}
+
+
+@query("change_points", sql(("readings",), """
+    SELECT region, entity, year, row_number() OVER (PARTITION BY region, entity, year ORDER BY lo) - 1 AS segment, d[lo + 1] AS first_day, d[hi] AS last_day,
+           hi - lo AS n_days, round((sums[hi + 1] - sums[lo + 1]) / (hi - lo), 6) AS segment_level
+    FROM traced JOIN summed USING (region, entity, year)""", **_CUTS).replace("WITH ", "WITH RECURSIVE ", 1))
+def change_points_query(spark, sf):
+    """Penalised change points of the daily medians of every series."""
+    return rounded(change_points(daily_medians(readings(spark, sf), KEY), 1.0, KEY), 6, "segment_level")
+
+
+_RULES = ("returns_soon", "is_short", "no_network_change")
+_ROUNDS = 8
+
+
+def _rounds_sql():
+    """Rounds of expectation and maximisation, one pair of CTEs each."""
+    clip = lambda e: f"least(greatest({e}, 1e-6), 1 - 1e-6)"
+    ctes = {
+        "rules": "SELECT *, returns AS returns_soon, span_days < 60 AS is_short, network_change <= 4000 AS no_network_change FROM features",
+        "patterns": "SELECT returns_soon::INT AS v0, is_short::INT AS v1, no_network_change::INT AS v2, count(*)::DOUBLE AS n FROM rules GROUP BY 1, 2, 3",
+        "q0": "SELECT *, (v0 + v1 + v2) / 3.0 AS q FROM patterns",
+    }
+    for k in range(1, _ROUNDS + 1):
+        shares = ", ".join(f"{clip(f'sum(n * q * v{j}) / greatest(sum(n * q), 1e-6)')} AS a{j}, {clip(f'sum(n * (1 - q) * v{j}) / greatest(sum(n * (1 - q)), 1e-6)')} AS b{j}" for j in range(3))
+        ctes[f"m{k}"] = f"SELECT {clip('sum(n * q) / sum(n)')} AS prior, {shares} FROM q{k - 1}"
+        yes, no = (" * ".join(f"CASE WHEN v{j} = 1 THEN {c}{j} ELSE 1 - {c}{j} END" for j in range(3)) for c in "ab")
+        ctes[f"q{k}"] = f"SELECT v0, v1, v2, n, prior * {yes} / (prior * {yes} + (1 - prior) * {no}) AS q FROM patterns, m{k}"
+    return ctes
+
+
+def _ruled(spark, sf):
+    return _features(spark, sf).withColumns({
+        "returns_soon": F.col("returns"), "is_short": F.col("span_days") < 60, "no_network_change": F.col("network_change") <= 4000.0})
+
+
+@query("rule_weights", sql(("readings", "months"), f"""
+    SELECT unnest({list(_RULES)}) AS rule, round(prior, 6) AS prior, round(unnest([a0, a1, a2]), 6) AS if_true, round(unnest([b0, b1, b2]), 6) AS if_false FROM m{_ROUNDS}""",
+    **_SEGMENT_CTES, **_rounds_sql()))
+def rule_weights(spark, sf):
+    """How often each rule votes for a manoeuvre when it is one and when it isn't, learned without labels."""
+    model = learn_rules(_ruled(spark, sf), _RULES, _ROUNDS)
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(model.prior).alias("prior"), F.lit(a).alias("if_true"), F.lit(b).alias("if_false"))
+            for r, a, b in zip(model.votes, model.if_true, model.if_false, strict=True)]
+    return rounded(spark.range(1).select(F.inline(F.array(*rows))), 6, "prior", "if_true", "if_false")
+
+
+@query("segment_posteriors", sql(("readings", "months"), f"""
+    SELECT region, entity, year, CAST(segment AS BIGINT) AS segment, round(q, 5) AS manoeuvre
+    FROM rules JOIN q{_ROUNDS} ON returns_soon::INT = v0 AND is_short::INT = v1 AND no_network_change::INT = v2""", **_SEGMENT_CTES, **_rounds_sql()))
+def segment_posteriors(spark, sf):
+    """Probability that a segment is a manoeuvre, under the learned rule weights."""
+    ruled = _ruled(spark, sf)
+    out = ruled.withColumn("manoeuvre", learn_rules(ruled, _RULES, _ROUNDS).probability())
+    return rounded(out.select(*KEY, F.col("segment").cast("bigint").alias("segment"), "manoeuvre"), 5, "manoeuvre")
+
+
 @query("raw_against_window_peak", sql(("readings", "points"), """
     SELECT r.region, r.entity, r.year, r.raw_max, round(p.peak, 6) AS peak, round(r.raw_max - p.peak, 6) AS gap
     FROM (SELECT region, entity, year, max(value) AS raw_max FROM readings GROUP BY 1, 2, 3) r

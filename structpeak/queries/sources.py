@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from structpeak.config import RESULT_KEY
 from structpeak.operators.merge import upsert
 from structpeak.operators.sampling import rows_outside
+from structpeak.operators.series import annual_quantile, series_windows, unscaled
 from structpeak.plans.reports import network_by_month
-from structpeak.queries.base import query, readings, results, sql, suppliers, table
-from structpeak.sources.tables import as_readings, catalog_table, read_region, union_regions
+from structpeak.plans.results import publish_h0_table, write_results
+from structpeak.queries.base import KEY, LENGTH, TIE, query, readings, results, rounded, sql, suppliers, table
+from structpeak.session import shared_folder
+from structpeak.sources.tables import as_readings, catalog_table, read_region, save_series_table, union_regions
 
 
 @query("region_union", """
@@ -57,13 +60,28 @@ def finite_readings(spark, sf):
 
 @query("catalog_scan", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def catalog_scan(spark, sf):
-    table(spark, sf, "nation").createOrReplaceTempView("given_nation")
-    table(spark, sf, "region").createOrReplaceTempView("given_region")
-    joined = catalog_table(spark, "given_nation").join(
-        catalog_table(spark, "given_region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """Two catalog tables by their three-part names, in buckets of the join key: the join needs no exchange."""
+    names = {}
+    for name, key in (("nation", "n_regionkey"), ("region", "r_regionkey")):
+        folder = shared_folder(spark, name)
+        names[name] = f"spark_catalog.default.given_{folder.rsplit('-', 1)[1]}"
+        save_series_table(table(spark, sf, name), names[name], 4, [key], [], folder)
+    joined = catalog_table(spark, names["nation"]).join(catalog_table(spark, names["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select("n_name", "r_name")
 
 
+@query("series_table_windows", sql(("points",), """
+    SELECT region, entity, year, round(quantile_cont(v, 0.999), 6) AS peak FROM points GROUP BY region, entity, year"""))
+def series_table_windows(spark, sf):
+    """The flagship chain on readings stored in buckets of the series key."""
+    folder = shared_folder(spark, "readings")
+    name = f"spark_catalog.default.readings_{folder.rsplit('-', 1)[1]}"
+    save_series_table(readings(spark, sf), name, 16, KEY, ["ts", *TIE], folder)
+    windows = series_windows(catalog_table(spark, name), LENGTH, tie=TIE)
+    back = F.transform("values", lambda z: unscaled(z, F.col("median"), F.col("scale")))
+    return rounded(annual_quantile(windows.withColumn("back", back), "back", 0.999), 6, "peak")
+
+
 @query("parameterised_filter", """
     SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem
     WHERE l_linestatus = 'F' AND l_returnflag = 'R' AND l_shipdate IS NOT NULL
@@ -130,15 +148,18 @@ def _staged(spark, sf):
         F.when(F.col("year") != 1998, F.col("peak_h0") * 2).alias("peak_h0"), F.lit("v2").alias("model_version"))
 
 
-@query("merge_h0", sql(("results", "suppliers"), f"""
+_MERGED_H0 = f"""
     SELECT d.region, d.kind, d.entity, d.measure, d.year,
            round(CASE WHEN s.model_version IS NULL THEN d.peak_h0 ELSE s.peak_h0 END, 4) AS peak_h0, round(d.peak_h1, 4) AS peak_h1,
            coalesce(s.model_version, d.model_version) AS model_version,
            CASE WHEN s.model_version IS NULL THEN d.computed_at ELSE CAST('2024-06-01 12:00:00' AS TIMESTAMP) END AS computed_at
-    FROM stored d LEFT JOIN staged s ON {_EQUAL}
+    FROM stored d LEFT JOIN recent s ON {_EQUAL}
     UNION ALL
     SELECT s.region, s.kind, s.entity, s.measure, s.year, round(s.peak_h0, 4), NULL, s.model_version, NULL
-    FROM staged s WHERE NOT EXISTS (SELECT 1 FROM stored d WHERE {_EQUAL})""", stored=_STORED, staged=_STAGED))
+    FROM recent s WHERE NOT EXISTS (SELECT 1 FROM stored d WHERE {_EQUAL})"""
+
+
+@query("merge_h0", sql(("results", "suppliers"), _MERGED_H0, stored=_STORED, staged=_STAGED, recent="SELECT * FROM staged"))
 def merge_h0(spark, sf):
     """Upsert of h0: matched rows updated (NULL included), others inserted, h1 kept."""
     staged = _staged(spark, sf)
@@ -150,6 +171,17 @@ def merge_h0(spark, sf):
     return merged.withColumns({"peak_h0": F.round("peak_h0", 4), "peak_h1": F.round("peak_h1", 4)})
 
 
+@query("merge_h0_partitions", sql(("results", "suppliers"), _MERGED_H0, stored=_STORED, staged=_STAGED, recent="SELECT * FROM staged WHERE year >= 1999"))
+def merge_h0_partitions(spark, sf):
+    """The upsert on a stored table, with recent years as source: older partitions are not touched."""
+    path = shared_folder(spark, "results")
+    write_results(_stored(spark, sf), path)
+    staged = _staged(spark, sf).where("year >= 1999")
+    publish_h0_table(spark, path, staged, F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
+    merged = spark.read.parquet(path).select(*_stored(spark, sf).columns)
+    return merged.withColumns({"peak_h0": F.round("peak_h0", 4), "peak_h1": F.round("peak_h1", 4)})
+
+
 @query("merge_h1", sql(("results", "suppliers"), f"""
     SELECT d.region, d.kind, d.entity, d.measure, d.year, round(d.peak_h0, 4) AS peak_h0,
            round(CASE WHEN s.model_version IS NULL THEN d.peak_h1 ELSE s.peak_h0 END, 4) AS peak_h1, d.model_version,

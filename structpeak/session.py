@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,16 @@ def local_session(cores: int | str = 8, name: str = "structpeak", memory: str =
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the one the cluster names in ``spark.checkpoint.dir`` (a temporary one on a single machine)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the reliable checkpoint folder.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structpeak.config import SERIES_KEY
 from structpeak.functions.scalars import finite
 
 
@@ -54,3 +55,15 @@ def write_measurements(df: DataFrame, path: str) -> None:
 def catalog_table(spark: SparkSession, name: str) -> DataFrame:
     """Scan of a catalog table or view by its (multi-part) name."""
     return spark.table(name)
+
+
+def save_series_table(
+    df: DataFrame, name: str, buckets: int, keys: Sequence[str] = SERIES_KEY, order: Sequence[str] = ("ts",), path: str | None = None
+) -> None:
+    """Readings as a catalog table in buckets of the series key, sorted by key and time inside each file.
+
+    Position, gap filling, scaling and windows of a table read by ``catalog_table`` need no exchange. Rows are dealt to
+    the buckets before they are written, so a bucket is one file. ``path`` makes the table external.
+    """
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys, *order).format("parquet").mode("overwrite")
+    (dealt.option("path", path) if path else dealt).saveAsTable(name)
