@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from structpeak.llm.storage import saved
 from structpeak.llm.textbuf import blocks, column_bytes, mix, prefix_hash, runs_of, span_hash, words
 
 BITS = 18
@@ -124,8 +125,8 @@ def logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, cost: float = 1.0) -> Model:
-    """Counts over all of ``labelled``; the fit takes at most ``fit_rows`` rows of each class."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
+    """Counts over all of ``labelled``, which is stored once; the fit takes at most ``fit_rows`` rows of each class."""
+    rows = saved(labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")), "labelled")
     counts = rows.mapInArrow(_count, "slot long, zero long, one long").groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
     counted = counts.toPandas()  # at most 2**BITS + 1 rows
     head = counted["slot"] == -1

@@ -6,69 +6,67 @@ record also names the conversion record, so the three are linked. Headers of the
 content type, status) and its block and payload digests are preserved. Record identifiers are name-based: the same
 response always gives the same identifiers. Digests are SHA-1 in Base32, as archives write them.
 
-Plain text: comments, scripts, styles and heads' titles go out of the mark-up, block ends become line breaks, other
-tags vanish, character references (named, decimal and hexadecimal) are resolved once, runs of blanks shrink, blank lines go.
+Plain text: comments, scripts, styles and titles go with what they hold, ends of blocks become line breaks, other
+tags vanish, character references (named, decimal and hexadecimal) are resolved once, runs of blanks shrink, blank lines go. A tag
+begins with a letter, "/", "!" or "?" behind "<", so "a < b" stays; quoted values of attributes may hold ">"; what is never closed
+ends with the page. All mark-up is matched in one pass, which is linear in the page.
 
 A null page is an empty payload, a null address an empty one; an empty page gives an empty conversion block with
-length 0. Rows may repeat: equal rows give equal records. An empty table gives no records. Further
-columns are ignored.
+length 0. Rows may repeat: equal rows give equal records. An empty table gives no records; very long pages are
+taken whole. Pages hold no headers of their own, so ``responses`` writes those of a plain answer. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import html
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-BLOCK_ENDS = "p|div|br|li|ul|ol|tr|table|h1|h2|h3|h4|h5|h6|article|section|nav|header|footer|blockquote|pre|title"
+BLOCK_ENDS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre".split())
+_ATTRIBUTES = r"""(?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+(?:>|\Z)"""
+MARKUP = re.compile(
+    rf"<!--(?s:.*?)(?:-->|\Z)|<(?P<whole>script|style|title)(?![a-z0-9]){_ATTRIBUTES}(?s:.*?)(?:</(?P=whole)(?![a-z0-9])[^>]*(?:>|\Z)|\Z)|</?(?P<name>[a-z][a-z0-9]*){_ATTRIBUTES}|<[!?/][^>]*(?:>|\Z)",
+    re.IGNORECASE,
+)
+_BLANKS, _SPACES, _BREAKS = re.compile(r"[ \t\r\n\f]+"), re.compile(r" +"), re.compile(r" ?\n[ \n]*")
+_HEADERS = {"content_type": re.compile(r"(?i)content-type:[ ]*([^\r\n]*)"), "status": re.compile(r"\AHTTP/[0-9.]+ ([0-9]+)")}
 
 
-def base32(hex_digest: Column) -> Column:
-    """Base32 of a hexadecimal SHA-1 (160 bits are 32 letters of 5 bits): each 5 digits are 4 letters."""
-    letters = []
-    for k in range(0, 40, 5):
-        number = F.conv(F.substring(hex_digest, k + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(BASE32), F.shiftright(number, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+def digest(block: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def digest(block: Column) -> Column:
-    return F.concat(F.lit("sha1:"), base32(F.sha1(block.cast("binary"))))
+def urn(name: str) -> str:
+    """Name-based identifier (version 5 layout)."""
+    h = hashlib.sha1(name.encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-{'89ab'[int(h[16], 16) % 4]}{h[17:20]}-{h[20:32]}>"
 
 
-def record_id(*parts: Column | str) -> Column:
-    """Name-based identifier (version 5 layout) of the joined parts."""
-    h = F.sha1(F.concat_ws("|", *parts).cast("binary"))
-    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
-    return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
+def plain_text(markup: str) -> str:
+    def tag(m: re.Match) -> str:
+        name = m["name"]
+        return " " if name is None else "\n" if name.lower() in BLOCK_ENDS else ""
 
-
-@F.arrow_udf(StringType())
-def resolved(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Character references of HTML in one pass; what resolves to a no-break space, tab or form feed is a blank, a carriage return a line break."""
-    for text in texts:
-        yield pa.array([t if t is None or "&" not in t else html.unescape(t).replace("\xa0", " ").replace("\t", " ").replace("\f", " ").replace("\r", "\n") for t in text.to_pylist()], pa.string())
+    out = MARKUP.sub(tag, _BLANKS.sub(" ", markup))
+    if "&" in out:  # a reference may be a blank or a line break
+        out = html.unescape(out).replace("\xa0", " ").replace("\t", " ").replace("\f", " ").replace("\r", "\n")
+    return _BREAKS.sub("\n", _SPACES.sub(" ", out)).strip(" \n")
 
 
-def plain_text(markup: Column) -> Column:
-    out = F.regexp_replace(markup, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?is)<script\b.*?</script>", " ")
-    out = F.regexp_replace(out, r"(?is)<style\b.*?</style>", " ")
-    out = F.regexp_replace(out, r"[ \t\r\n\f]+", " ")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCK_ENDS})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    out = resolved(out)
-    out = F.regexp_replace(out, r"[ ]+", " ")
-    out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+@F.arrow_udf(StringType())
+def _urns(names: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for n in names:
+        yield pa.array(map(urn, n.to_pylist()), pa.string())
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -77,40 +75,52 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", key: str = "
     out = pages.select(F.col(key).alias("key"), address.alias("target_uri"), body.alias("payload"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF + CRLF))
     return out.select(
-        "key", record_id(F.lit("response"), F.coalesce(F.col("key").cast("string"), F.lit("")), "target_uri", F.sha1(F.col("payload").cast("binary"))).alias("record_id"),
+        "key", _urns(F.concat_ws("|", F.lit("response"), F.coalesce(F.col("key").cast("string"), F.lit("")), "target_uri", F.sha1(F.col("payload").cast("binary")))).alias("record_id"),
         "target_uri", F.lit(date).alias("date"), http.alias("http"), "payload",
     )
 
 
+def _records(source: dict) -> tuple[list[dict], dict]:
+    """Metadata and conversion record of one response, and what both carry."""
+    http, payload = source["http"], source["payload"].encode()
+    found = {name: (m[1] if (m := pattern.search(http)) else "") for name, pattern in _HEADERS.items()}
+    shared = {"source_payload_digest": digest(payload), "source_block_digest": digest(http.encode() + payload), "source_content_type": found["content_type"]}
+    text = plain_text(source["payload"])
+    metadata, conversion = (urn(f"{kind}|{source['record_id']}") for kind in ("metadata", "conversion"))
+    fields = {
+        "status": found["status"], "source-content-type": found["content_type"], "source-payload-digest": shared["source_payload_digest"],
+        "source-block-digest": shared["source_block_digest"], "conversion": conversion, "text-length": len(text.encode()),
+    }
+    block = "".join(f"{name}: {value}{CRLF}" for name, value in fields.items())
+    return [
+        {"warc_type": "metadata", "record_id": metadata, "content_type": "application/warc-fields", "block": block, "block_digest": digest(block.encode())},
+        {"warc_type": "conversion", "record_id": conversion, "content_type": "text/plain", "block": text, "block_digest": digest(text.encode())},
+    ], shared
+
+
 def derivatives(source: DataFrame) -> DataFrame:
     """Two rows for each response: ``key, warc_type, record_id, refers_to, target_uri, date, content_type, block, block_digest, source_payload_digest, source_block_digest, source_content_type``."""
-    given = source.select(
-        "*", digest(F.col("payload")).alias("source_payload_digest"), digest(F.concat("http", "payload")).alias("source_block_digest"),
-        F.regexp_extract("http", r"(?i)content-type:[ ]*([^\r\n]*)", 1).alias("source_content_type"), F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]+)", 1).alias("status"),
-        plain_text(F.col("payload")).alias("text"),
-        record_id(F.lit("conversion"), "record_id").alias("conversion_id"), record_id(F.lit("metadata"), "record_id").alias("metadata_id"),
-    )
-    fields = F.concat(
-        F.lit("status: "), "status", F.lit(f"{CRLF}source-content-type: "), "source_content_type", F.lit(f"{CRLF}source-payload-digest: "), "source_payload_digest",
-        F.lit(f"{CRLF}source-block-digest: "), "source_block_digest", F.lit(f"{CRLF}conversion: "), "conversion_id", F.lit(f"{CRLF}text-length: "), F.octet_length("text").cast("string"), F.lit(CRLF),
-    )
-    both = F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), F.col("metadata_id").alias("record_id"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.col("conversion_id").alias("record_id"), F.lit("text/plain").alias("content_type"), F.col("text").alias("block")),
-    )
-    names = ["key", F.col("record_id").alias("refers_to"), "target_uri", "date", "source_payload_digest", "source_block_digest", "source_content_type"]
-    rows = given.select(*names, F.explode(both).alias("r"))
-    return rows.select(
-        "key", "r.warc_type", "r.record_id", "refers_to", "target_uri", "date", "r.content_type", "r.block", digest(F.col("r.block")).alias("block_digest"),
-        "source_payload_digest", "source_block_digest", "source_content_type",
-    )
+    names = ["key", "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block", "block_digest", "source_payload_digest", "source_block_digest", "source_content_type"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.select(["record_id", "target_uri", "date", "http", "payload"]).to_pylist()
+            rows = []
+            for g in given:
+                records, shared = _records(g)
+                rows += [r | shared | {"refers_to": g["record_id"], "target_uri": g["target_uri"], "date": g["date"]} for r in records]
+            key = batch.column("key").take(pa.array([i for i in range(len(given)) for _ in range(2)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([key, *(pa.array([r[n] for r in rows], pa.string()) for n in names[1:])], names)
+
+    kind = source.schema["key"].dataType.simpleString()
+    return source.select("key", "record_id", "target_uri", "date", "http", "payload").mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} string" for n in names[1:]))
 
 
 def record_text(out: DataFrame) -> DataFrame:
-    """Whole records as text: header lines, an empty line, the block."""
+    """Whole records as text: header lines, an empty line, the block. Line breaks in an address are written as %0D and %0A."""
     lines = [
         F.lit(VERSION), F.concat(F.lit("WARC-Type: "), "warc_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
-        F.concat(F.lit("WARC-Target-URI: "), "target_uri"), F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("target_uri", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
         F.concat(F.lit("WARC-Source-Payload-Digest: "), "source_payload_digest"), F.concat(F.lit("WARC-Source-Block-Digest: "), "source_block_digest"),
         F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     ]

@@ -311,6 +311,33 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize(("markup", "text"), [
+    ("<html><head><title>head & title</title></head><body>a < b and c > d</body>", "a < b and c > d"),
+    ('<p title="a>b">t</p><p title=\'x>y\' class=z>u', "t\nu"), ("<p don't>can't</p>it's", "can't\nit's"),
+    ("one<script>var t = '</p>'; if (a < b) {}", "one"), ("one<script>x</scripts>y</SCRIPT >two", "one two"), ("a<!-- open", "a"), ("x<b", "x"), ("x < ", "x <"),
+    ("a<br/>b<hr>c<Pre>d</pre>", "a\nb c\nd".replace("b c", "bc")), ("<!DOCTYPE html><?php x ?>t", "t"), ('<a href="open>rest of the page', ""), ("<titles>kept</titles>", "kept"),
+    ("a&lt;b&gt;c &amp;lt;", "a<b>c &lt;"), ("", ""), (" \n ", ""), ("<li>1<li>2\r\n\r\n<li> 3", "1\n2\n3"),
+])
+def test_plain_text_of_crooked_markup(markup, text):
+    assert warc.plain_text(markup) == text
+
+
+def test_plain_text_is_linear(spark):
+    """Openings without an end, a million bytes each."""
+    import time
+
+    start = time.time()
+    for piece in ("<script ", "<!-- ", "<a ", '<a "', "<a =' ", "<p title=\"", "</title ", "<<<", "<!", "&amp"):
+        warc.plain_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 20
+
+
+def test_line_breaks_in_addresses_make_no_headers(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: forged", "<p>x</p>")], "page_id long, url string, html string")
+    heads = [r["record"].split("\r\n\r\n")[0] for r in warc.record_text(warc.derivatives(warc.responses(pages))).collect()]
+    assert all(h.count("\r\nWARC-Type: ") == 1 and "%0D%0AWARC-Type: forged" in h for h in heads)
+
+
 def test_plain_text_resolves_every_reference(spark):
     cases = {
         "&copy; 2024 &middot; caf&eacute;": "© 2024 · café", "it&#8217;s &#x27;so&#X27; &#39;here&#39;": "it’s 'so' 'here'", "&amp;lt;b&amp;gt; &lt;i&gt;": "&lt;b&gt; <i>",
