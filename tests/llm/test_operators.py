@@ -367,3 +367,45 @@ def test_pipeline_stages(spark):
     for r in last:
         got[r["doc_id"]] += r["length"]
     assert got == want
+
+
+def test_line_links_end_to_end(spark):
+    """Pairs of lines at a similarity of 0.75 to 0.8, through bands, estimate and verification: 0.14 % are lost by design."""
+    rng, rows, close = np.random.default_rng(12), [], 0
+    for k in range(1500):
+        n = int(rng.integers(40, 160))
+        x = rng.integers(0x4E00, 0x9E00, n)
+        y, other = x.copy(), round(0.132 * (n - 4))
+        y[:other] = rng.integers(0x4E00, 0x9E00, other)
+        a, b = "".join(map(chr, x)), "".join(map(chr, y))
+        p, q = ({t[i:i + 5] for i in range(len(t) - 4)} for t in (a, b))
+        if 0.75 <= len(p & q) / len(p | q) <= 0.8:
+            close += 1
+            rows += [(2 * k, a), (2 * k + 1, b)]
+    got = {r["doc_id"]: r["keep_doc_id"] for r in fuzzy_lines.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert close > 300 and sum(got[i] != i - i % 2 for i, _ in rows if i % 2) <= 0.01 * close
+
+
+def test_open_bands_of_lines_are_settled(spark, monkeypatch):
+    """Lines that the smallest line of a band doesn't link are still linked with each other, in blocks of any size."""
+    rng = np.random.default_rng(3)
+    base = [chr(c) for c in rng.integers(0x4E00, 0x9E00, 120)]
+    rows = [(1, "".join(base))]
+    for s in range(1, 7):
+        far = [c if (k * 7 + s) % 19 else chr(0x3041 + s) for k, c in enumerate(base)]
+        for k in range(5):
+            near = list(far)
+            near[10 + 9 * k] = "x"
+            rows.append((10 * s + k, "".join(near)))
+    sets = {i: {t[k:k + 5] for k in range(len(t) - 4)} for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (64, 3):
+        monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+        got = {r["doc_id"]: r["keep_doc_id"] for r in fuzzy_lines.line_components(docs).collect()}
+        assert got == brute_components(sets)
+
+
+def test_dropping_lines_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "same line here\nown one", 5, 6, 7, 8), (2, "same line here", 1, 2, 3, 4)], "doc_id long, text string, _r1 int, _gone int, __lead int, r2 int")
+    left = fuzzy_lines.drop_lines(docs, fuzzy_lines.line_components(docs))
+    assert left.columns == docs.columns and {r["doc_id"]: r["text"] for r in left.collect()} == {1: "same line here\nown one", 2: ""}
