@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structpeak.llm.storage import saved
+from structpeak.llm.storage import discard, saved
 
 #: Links need a Jaccard similarity of at least LEAST[0] / LEAST[1].
 LEAST = (3, 4)
@@ -46,13 +46,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = state.join(low, "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        state = saved(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
+        old, state = state, saved(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
 
 
 def candidate_groups(members: DataFrame) -> DataFrame:
     """Distinct rows (band, id, size) of bands with two ids or more, with the band's smallest id; rows may repeat."""
     head = saved(members.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last"))
-    return saved(members.join(head, "band").select("band", "id", "size", "head").distinct())
+    rows = saved(members.join(head, "band").select("band", "id", "size", "head").distinct())
+    discard(head)
+    return rows
 
 
 def open_pairs(rows: DataFrame) -> DataFrame:

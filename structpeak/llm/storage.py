@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +25,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
+_stored: dict[int, str] = {}
+
+
+def saved(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later jobs start from there, lost executors or not."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # once the step is stored nothing reads its shuffle files
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = path
+    weakref.finalize(out, _stored.pop, id(out), None)
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes stored steps, once all that was made from them is stored itself."""
+    for df in steps:
+        path = _stored.pop(id(df), None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
