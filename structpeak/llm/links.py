@@ -51,9 +51,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidate_groups(members: DataFrame) -> DataFrame:
-    """Distinct rows (band, id, size) of bands with two ids or more, with the band's smallest id; rows may repeat."""
-    head = saved(members.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last"))
-    rows = saved(members.join(head, "band").select("band", "id", "size", "head").distinct())
+    """Distinct rows (band, id, size) of bands with two ids or more, with the band's smallest id and rows (as given; they may repeat)."""
+    head = members.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).cast("int").alias("n"))
+    head = saved(head.where("head <> last").drop("last"))
+    rows = saved(members.join(head, "band").select("band", "id", "size", "head", "n").distinct())
     discard(head)
     return rows
 
@@ -81,7 +82,8 @@ def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Ca
     star = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     edges = saved(verify(star))
     first = saved(components(edges))
-    rows = groups.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # a band of two is settled by its one pair
+    rows = groups.where("n > 2").drop("n").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sides = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sides.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     main = main.where("k > 1 and n > 2").select("band", "main")
