@@ -77,7 +77,7 @@ def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Ca
     """``id, component`` of every id with a verified link.
 
     ``verify`` keeps the true links of pairs ``a, b``; ``rest`` finds what links the components of groups that the first round
-    left in several, from rows (band, id, size, component, main); without it ``open_pairs`` are verified.
+    left in several, from rows (band, id, size, component, main); without it ``open_pairs`` are verified. Stored ``groups`` are deleted on the way.
     """
     star = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     edges = saved(verify(star))
@@ -88,5 +88,6 @@ def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Ca
     main = sides.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     main = main.where("k > 1 and n > 2").select("band", "main")
     open_ = saved(rows.where("id <> head").select("band", "id", "size", "component").join(main, "band"))
+    discard(groups)
     more = rest(open_) if rest else verify(open_pairs(open_).distinct())
     return components(edges.select("a", "b").union(more.select("a", "b")))
