@@ -19,7 +19,7 @@ from structpeak.session import local_session  # noqa: E402
 HEADLINE = (
     "annual_window_peak", "gap_fill", "robust_scaler", "fixed_windows", "window_alignment", "registry_alignment",
     "window_channels", "contaminated_windows", "sampled_group_windows", "structural_peak_fixed_weights",
-    "code_limit_losses", "fitted_structural_peak", "raw_quantiles", "soft_peak", "hampel_maximum", "sustained_maximum",
+    "code_limit_losses", "fitted_structural_peak", "fitted_multichannel_peak", "refitted_peak_h1", "raw_quantiles", "soft_peak", "hampel_maximum", "sustained_maximum",
     "segment_votes", "calibrated_h1", "calibration_metrics", "bootstrap_hit_rate", "signed_rank_test", "global_price_ranks",
     "merge_h0", "network_length", "price_interval_join", "job_cost_report",
 )
