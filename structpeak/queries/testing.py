@@ -105,10 +105,10 @@ _RUNS = f"""
             GROUP BY repetition, level)) r, test_pairs t
     GROUP BY r.repetition, r.level"""
 _RUN_CTES = {
-    "own_split": """SELECT region, entity, row_number() OVER (PARTITION BY region ORDER BY md5(concat_ws(':', '11', entity))) <= floor(count(*) OVER (PARTITION BY region) * 0.2) AS is_test
-                    FROM (SELECT DISTINCT region, entity FROM pairs)""",
-    "test_pairs": "SELECT p.* FROM pairs p JOIN own_split s ON p.region = s.region AND p.entity = s.entity WHERE is_test",
-    "pool_pairs": "SELECT p.* FROM pairs p JOIN own_split s ON p.region = s.region AND p.entity = s.entity WHERE NOT is_test",
+    "own_split": """SELECT entity, row_number() OVER (ORDER BY md5(concat_ws(':', '11', entity))) <= floor(count(*) OVER () * 0.4) AS is_test
+                    FROM (SELECT DISTINCT entity FROM pairs)""",
+    "test_pairs": "SELECT p.* FROM pairs p JOIN own_split s ON p.entity = s.entity WHERE is_test",
+    "pool_pairs": "SELECT p.* FROM pairs p JOIN own_split s ON p.entity = s.entity WHERE NOT is_test",
     "chain": _CHAIN.replace("FROM pairs,", "FROM pool_pairs,"), "runs": _RUNS,
 }
 _KEYS = ["region", "entity", "year"]
@@ -117,7 +117,7 @@ _KEYS = ["region", "entity", "year"]
 def _runs(spark, sf):
     """Errors on the rows of entities that no label set draws from."""
     base = pairs(spark, sf).select(*_KEYS, "peak_h0", "label")
-    pool, test = split_frozen(base, ["region"], 0.2, 11)
+    pool, test = split_frozen(base, [], 0.4, 11)
     return learning_runs(pool, test, "peak_h0", "label", GRID, 5, 13, _KEYS)
 
 
@@ -177,12 +177,19 @@ def exact_signed_rank_test(spark, sf):
 @query("adjacent_level_test", sql(("pairs",), """
     SELECT grp AS level, n, w_plus, round(p_value, 8) AS p_value,
            round(max(least(1.0, (m - i + 1) * p_value)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS adjusted_p
-    FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, grp) AS i FROM exact)""", **_RUN_CTES,
+    FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, grp) AS i FROM (
+      SELECT * FROM exact UNION ALL SELECT DISTINCT grp, 0, 0.0, 1.0 FROM signed_diffs WHERE grp NOT IN (SELECT grp FROM doubled)))""", **_RUN_CTES,
     signed_diffs="""SELECT level AS grp, d FROM (SELECT level, round(mae - lag(mae) OVER (PARTITION BY repetition ORDER BY level), 6) AS d FROM runs) WHERE d IS NOT NULL""", **_EXACT_CTES))
 def adjacent_level_test(spark, sf):
-    """Errors of each label-set size against the next smaller one over the repetitions, adjusted for the number of tests."""
+    """Errors of each label-set size against the next smaller one over the repetitions, adjusted for the number of tests.
+
+    A size whose errors never differ from those of the smaller one, since the pool is used up, has no pairs and p = 1.
+    """
     steps = adjacent_differences(_runs(spark, sf), "level", "repetition", "mae").withColumn("diff", F.round("diff", 6))
-    out = holm(exact_signed_rank(steps, "diff", ["level"]), "p_value", (), ("level",))
+    found = steps.select("level").distinct().join(exact_signed_rank(steps, "diff", ["level"]), "level", "left")
+    idle = F.col("n").isNull()
+    found = found.select("level", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), F.when(idle, 0.0).otherwise(F.col("w_plus")).alias("w_plus"), F.when(idle, 1.0).otherwise(F.col("p_value")).alias("p_value"))
+    out = holm(found, "p_value", (), ("level",))
     return rounded(out.select("level", "n", "w_plus", "p_value", "adjusted_p"), 8, "p_value", "adjusted_p")
 
 
@@ -315,9 +322,10 @@ _CURVE = "SELECT level, avg(mae) AS e FROM runs GROUP BY level"
 
 
 @query("learning_curve_fit", sql(("pairs",), """
+    SELECT best.* FROM (SELECT 1) LEFT JOIN (
     SELECT round(floor, 2) AS floor, round(exp(i), 3) AS a, round(-s, 5) AS b, round(sse, 2) AS sse, round(pow(exp(i) / 150.0, 1 / -s), 2) AS n_star
     FROM (SELECT f.floor, f.s, f.i, sum((c.e - f.floor - exp(f.i) * pow(c.level, f.s)) * (c.e - f.floor - exp(f.i) * pow(c.level, f.s))) AS sse
-          FROM fits f JOIN curve c ON c.e > f.floor GROUP BY 1, 2, 3) ORDER BY sse, floor LIMIT 1""",
+          FROM fits f JOIN curve c ON c.e > f.floor GROUP BY 1, 2, 3) ORDER BY sse, floor LIMIT 1) best ON TRUE""",
     **_RUN_CTES, curve=_CURVE,
     fits="""SELECT floor, regr_slope(ln(e - floor), ln(level)) AS s, regr_intercept(ln(e - floor), ln(level)) AS i
             FROM curve, (SELECT CAST(unnest(range(0, 30000, 500)) AS DOUBLE) AS floor) WHERE e > floor
