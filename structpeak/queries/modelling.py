@@ -11,6 +11,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
+from structpeak.operators.boosting import Boosting, boosted_out_of_fold
 from structpeak.operators.hotkeys import by_group_size
 from structpeak.operators.model import (
     block_mean_denoiser, cross_products, fit_denoiser, fit_residual, limit_codes, reconstruct, solve_products, summed_products, training_examples, window_codes,
@@ -23,6 +24,7 @@ from structpeak.plans.scoring import annual_peaks
 from structpeak.operators.registry import align_windows, registry_stats
 from structpeak.plans.training import config_with_stats, refit_on_labels, train, training_windows
 from structpeak.queries.base import CONFIG, KEY, LENGTH, MEASURE, TIE, labels, months, query, readings, results, rounded, sql
+from structpeak.queries.labelling import _FOLDS
 from structpeak.queries.series import _ALIGNED, _CHANNELS, _DIRTY, _DIRTY_LISTS, _windows
 
 PLAIN = replace(CONFIG, channels=("value",))
@@ -262,3 +264,74 @@ def code_regression(spark, sf):
         readings(spark, sf), KEY,
         lambda p, spread: pooled_codes(series_windows(p, LENGTH, tie=TIE, spread=spread), FIXED, KEY, spread))
     return regress_on_codes(pooled, results(spark, sf), labels(spark, sf), "peak_h0", "label", KEY)
+
+
+BOOSTING = Boosting(rounds=2, depth=2, bins=8, rate=0.5, smallest=3)
+_N_FOLDS, _N_FEATURES = 5, 25
+_UNSEEN = f"label IS NOT NULL AND coalesce(fold, {_N_FOLDS + 1}) <> model"
+
+
+def _boosted_sql() -> tuple[str, dict[str, str]]:
+    """Last state and the steps to it: histogram, split and descent of every level of every round."""
+    steps = {
+        "folds": _FOLDS, "blocks": _BLOCKS,
+        "summaries": """
+            SELECT region, entity, year, flatten(list([round(m, 6), round(a, 6), round(b, 6), round(c, 6)] ORDER BY block)) AS x FROM (
+              SELECT region, entity, year, block, avg(code) AS m, quantile_cont(code, 0.1) AS a, quantile_cont(code, 0.5) AS b, quantile_cont(code, 0.9) AS c
+              FROM blocks GROUP BY region, entity, year, block) GROUP BY region, entity, year""",
+        "featured": """
+            SELECT s.region, s.entity, s.year, list_append(x, CAST(peak_h0 AS DOUBLE)) AS x, label, fold
+            FROM summaries s JOIN results r ON s.region = r.region AND s.entity = r.entity AND s.year = r.year
+            LEFT JOIN labels l ON s.region = l.region AND s.entity = l.entity AND s.year = l.year
+            LEFT JOIN folds f ON s.entity = f.entity AND label IS NOT NULL WHERE peak_h0 IS NOT NULL""",
+        "featured_long": f"SELECT * EXCLUDE (x), unnest(x) AS v, unnest(range({_N_FEATURES})) AS feature FROM featured",
+        "edges": f"""
+            SELECT feature, quantile_cont(v, {[i / BOOSTING.bins for i in range(1, BOOSTING.bins)]}) AS e
+            FROM featured_long WHERE label IS NOT NULL GROUP BY feature""",
+        "cut": """
+            SELECT region, entity, year, label, fold, list(len([t FOR t IN e IF t < v]) ORDER BY feature) AS b
+            FROM featured_long JOIN edges USING (feature) GROUP BY region, entity, year, label, fold""",
+        "state_0": f"""
+            SELECT cut.*, model, 1 AS node, avg(CASE WHEN {_UNSEEN} THEN label END) OVER (PARTITION BY model) AS pred
+            FROM cut, (SELECT unnest(range({_N_FOLDS + 1})) AS model)""",
+    }
+    state, smallest = "state_0", BOOSTING.smallest
+    for step in range(BOOSTING.rounds * BOOSTING.depth):
+        last = (step + 1) % BOOSTING.depth == 0
+        steps[f"hist_{step}"] = f"""
+            SELECT model, node, feature, bin, count(*) AS n, sum(rest) AS s, sum(rest * rest) AS q
+            FROM (SELECT model, node, label - pred AS rest, unnest(b) AS bin, unnest(range({_N_FEATURES})) AS feature FROM {state} WHERE {_UNSEEN}) GROUP BY ALL"""
+        steps[f"split_{step}"] = f"""
+            SELECT model, node, feature, CASE WHEN share > 0 THEN bin ELSE {BOOSTING.bins} END AS edge,
+                   CASE WHEN share > 0 THEN sl / nl ELSE s / n END AS on_left, CASE WHEN share > 0 THEN (s - sl) / (n - nl) ELSE s / n END AS on_right
+            FROM (SELECT *, CASE WHEN nl >= {smallest} AND n - nl >= {smallest} AND q > 0
+                                 THEN round((sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / q, 9) ELSE -1 END AS share
+                  FROM (SELECT model, node, feature, bin, sum(n) OVER upto AS nl, sum(s) OVER upto AS sl, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q
+                        FROM hist_{step} WINDOW w AS (PARTITION BY model, node, feature),
+                          upto AS (PARTITION BY model, node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
+            QUALIFY row_number() OVER (PARTITION BY model, node ORDER BY share DESC, feature, bin) = 1"""
+        right = "b[feature + 1] > edge"
+        steps[f"state_{step + 1}"] = f"""
+            SELECT a.* EXCLUDE (node, pred), {"1" if last else f"node * 2 + CASE WHEN {right} THEN 1 ELSE 0 END"} AS node,
+                   {f"pred + {BOOSTING.rate} * CASE WHEN {right} THEN on_right ELSE on_left END" if last else "pred"} AS pred
+            FROM {state} a JOIN split_{step} USING (model, node)"""
+        state = f"state_{step + 1}"
+    return f"""
+        SELECT region, entity, year, fold, round(pred, 4) AS predicted FROM {state} WHERE model = coalesce(fold, {_N_FOLDS})""", steps
+
+
+_LAST, _STEPS = _boosted_sql()
+
+
+@query("boosted_code_regression", sql(("zpoints", "pairs"), _LAST, **_STEPS))
+def boosted_code_regression(spark, sf):
+    """Label predicted from pooled codes and the raw maximum by boosted trees that never saw the entity."""
+    pooled = by_group_size(
+        readings(spark, sf), KEY,
+        lambda p, spread: pooled_codes(series_windows(p, LENGTH, tie=TIE, spread=spread), FIXED, KEY, spread))
+    start = results(spark, sf).where(F.col("peak_h0").isNotNull()).select(*KEY, "peak_h0")
+    known = labels(spark, sf).where(F.col("label").isNotNull()).select(*KEY, "label")
+    x = F.concat(F.transform("summary", lambda v: F.round(v, 6)), F.array(F.col("peak_h0").cast("double")))
+    rows = pooled.join(start, list(KEY)).join(known, list(KEY), "left").select(*KEY, "label", x.alias("x"))
+    out = boosted_out_of_fold(rows, "x", "label", _N_FOLDS, 42, BOOSTING)
+    return rounded(out.select(*KEY, "fold", "predicted"), 4, "predicted")
