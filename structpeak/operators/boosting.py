@@ -154,6 +154,7 @@ def boosted_out_of_fold(
         raise ValueError(f"columns {sorted(taken)} would be overwritten")
     target = F.col(label).cast("double")
     has_label = target.isNotNull() & ~F.isnan(target) & F.col(features).isNotNull()
+    df = durable(df)  # whatever made the features runs once
     known = df.where(has_label)
     edges = bin_edges(known, features, config.bins)
     dealt = fold_assignment(known, folds, seed, entity).withColumnRenamed(entity, "_entity")
