@@ -8,12 +8,14 @@ bucket, and an empty bucket takes its right neighbour's. Texts between the two g
 similar pair shares a kind. Forty-eight bands of four registers give candidates (a link of
 similarity 0.75 is missed with a chance near 1e-8). Members of a band that its smallest member doesn't link
 are compared block by block: the Jaccard similarity estimated from the registers, corrected for
-chance collisions, rules out far pairs (a link of 0.75 with a chance of 1e-6). Links are confirmed on the full sets. Keys are
-whole numbers.
-
-Texts that are null or without words have empty sets and link with nothing. Equal sets are
-collapsed to one before banding. Repeated keys fall into one component. An empty table
-gives an empty result.
+chance collisions, rules out far pairs (a link of 0.75 with a chance of 1e-6). Links are confirmed on the full sets.
+
+Equal sets are collapsed to one before banding, and a set is named by 128 bits of its own hashes, never by
+a document's key: keys may have any type that can be ordered, may repeat and may be null. A component's id is its smallest key that is not
+null (null if it has none), and a row is kept if that is its key, so rows that share this key are all kept; ``lead`` marks one row of
+each component (the first by key, nulls last, then by the row's names ``r1, r2``; rows equal in key and text go together). Texts that are null or
+without words have empty sets: each is its own component, kept and lead. Texts may have any length. An empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.llm.links import LEAST, candidate_groups, linked
@@ -38,6 +40,8 @@ OVERLAP = SMALL * LEAST[1] // LEAST[0]
 FAR = 0.6
 #: Members of a group that are compared with as many others at a time.
 BLOCK = 64
+#: Bytes of a set's name.
+NAME = 16
 _odd = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * BASE) | np.uint64(1)
 _add = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) + BASE)
 
@@ -127,20 +131,30 @@ def estimates(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     return np.maximum((match - chance) / (1 - chance), 0.0)
 
 
+def row_names(key: str, text: str) -> list[Column]:
+    """Two hashes ``r1, r2`` that name equal rows, whatever the key."""
+    return [F.xxhash64(key, text).alias("r1"), F.hash(text, key).alias("r2")]
+
+
+def set_names(hashed: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """An order-free 128-bit digest of every set; zeros for the empty one."""
+    some = np.flatnonzero(np.diff(cut))
+    digest = np.zeros((len(cut) - 1, 2), np.uint64)
+    if len(some):
+        digest[some, 0] = np.add.reduceat(mix(hashed ^ BASE), cut[:-1][some])
+        digest[some, 1] = np.bitwise_xor.reduceat(mix(hashed + BASE), cut[:-1][some])
+    return pa.Array.from_buffers(pa.binary(), len(digest), [None, pa.py_buffer((np.arange(len(cut)) * NAME).astype(np.int32)), pa.py_buffer(digest)])
+
+
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n_shingles``, an order-free 128-bit digest of the set (``d1, d2``), its ``bands`` and the ``registers`` of either kind (or null)."""
+    """``key, r1, r2, n_shingles``, the set's name ``id``, its ``bands`` and the ``registers`` of either kind (or null), a row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, borders, _ = column_bytes(batch.column(1))
+            data, borders, _ = column_bytes(batch.column(3))
             for lo, hi, part, local in blocks(data, borders):
                 hashed, cut = shingle_sets(part, local)
                 size = np.diff(cut)
-                some = np.flatnonzero(size)
-                digest = np.zeros((2, hi - lo), np.uint64)
-                if len(some):
-                    digest[0, some] = np.add.reduceat(mix(hashed ^ BASE), cut[:-1][some])
-                    digest[1, some] = np.bitwise_xor.reduceat(mix(hashed + BASE), cut[:-1][some])
                 bands = np.zeros((hi - lo, 2, BANDS), np.uint64)
                 own_registers = [[None, None] for _ in range(hi - lo)]
                 for kind, chosen, registers in ((0, np.flatnonzero(size > SMALL), bucket_registers), (1, np.flatnonzero((size > 0) & (size <= OVERLAP)), whole_registers)):
@@ -156,28 +170,28 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 flat = bands.reshape(-1, BANDS)[kinds.ravel()].ravel().view(np.int64)
                 count = np.concatenate(([0], np.cumsum(kinds.sum(axis=1) * BANDS))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
+                    *(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(size), set_names(hashed, cut),
                     pa.ListArray.from_arrays(pa.array(count), pa.array(flat)), pa.array(own_registers, pa.list_(pa.binary())),
-                ], ["id", "n_shingles", "d1", "d2", "bands", "registers"])
+                ], ["key", "r1", "r2", "n_shingles", "id", "bands", "registers"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, registers array<binary>")
+    rows = docs.select(docs[key].alias("key"), *row_names(key, text), docs[text].alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, r1 long, r2 int, n_shingles long, id binary, bands array<long>, registers array<binary>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, run_set`` (sorted 64-bit hashes) of the documents named in ``ids``."""
+def full_sets(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, run_set`` (sorted 64-bit hashes) of the sets of the documents that ``rows`` has by ``r1, r2``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, borders, _ = column_bytes(batch.column(1))
+            data, borders, _ = column_bytes(batch.column(0))
             for lo, hi, part, local in blocks(data, borders):
                 hashed, cut = shingle_sets(part, local)
                 sets = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(hashed)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["id", "run_set"])
+                yield pa.RecordBatch.from_arrays([set_names(hashed, cut), sets], ["id", "run_set"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    chosen = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi")
-    return chosen.mapInArrow(run, f"id {kind}, run_set binary").dropDuplicates(["id"])
+    chosen = docs.select(*row_names(key, text), docs[text].alias("text")).join(rows, ["r1", "r2"], "left_semi")
+    return chosen.select("text").mapInArrow(run, "id binary, run_set binary").dropDuplicates(["id"])
 
 
 def _similar(p: np.ndarray, q: np.ndarray) -> bool:
@@ -191,7 +205,6 @@ def _similar(p: np.ndarray, q: np.ndarray) -> bool:
 
 def true_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
-    kind = pairs.schema["a"].dataType.simpleString()
     left = sets.select(F.col("id").alias("a"), F.col("run_set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("run_set").alias("set_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
@@ -203,7 +216,7 @@ def true_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             chosen = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
 
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
 def near_links(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -215,7 +228,6 @@ def near_links(rows: DataFrame, members: DataFrame) -> DataFrame:
     registers, then confirmed on the full sets. Of the links from one member to one component a block
     gives one. ``members`` has ``id, registers, run_set``.
     """
-    kind = rows.schema["id"].dataType.simpleString()
     one = F.struct("id", "component", (F.col("component") == F.col("main")).alias("inner"), F.get("registers", F.col("band").bitwiseAND(1).cast("int")).alias("r"), "run_set")
     full = rows.join(members, "id").select("band", one.alias("m"))
     count = rows.groupBy("band").agg(F.count_if(F.col("component") != F.col("main")).alias("n_l"), F.count(F.lit(1)).alias("n_r"))
@@ -228,7 +240,8 @@ def near_links(rows: DataFrame, members: DataFrame) -> DataFrame:
     meeting = laid(full.where(~F.col("m.inner")), "n_l", "l").join(laid(full, "n_r", "r"), "band")
 
     def side(values: pa.StructArray):
-        part = {k: np.asarray(values.field(k)) for k in ("id", "component", "inner")}
+        part = {k: column_bytes(values.field(k))[0].reshape(-1, NAME).view(np.uint64) for k in ("id", "component")}
+        part["inner"] = np.asarray(values.field("inner"))
         data, cut, _ = column_bytes(values.field("run_set"))
         sets = [np.frombuffer(data[i:j].tobytes(), np.uint64) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return part, np.frombuffer(column_bytes(values.field("r"))[0].tobytes(), np.uint16).reshape(len(values), REGISTERS), sets
@@ -241,35 +254,46 @@ def near_links(rows: DataFrame, members: DataFrame) -> DataFrame:
                 (x, a, x_sets), (y, b, y_sets) = side(batch.column(1)[i].values), side(batch.column(2)[i].values)
                 size_x, size_y = np.array(list(map(len, x_sets))), np.array(list(map(len, y_sets)))
                 near = estimates(a, b, size_x, size_y, 1.0 if kind_of else 1 / REGISTERS) >= FAR
-                near &= x["component"][:, None] != y["component"]
-                near &= y["inner"] | (x["id"][:, None] < y["id"])
+                both = np.concatenate((x["component"], y["component"], x["id"], y["id"]))
+                rank = np.unique(both, axis=0, return_inverse=True)[1].ravel()
+                of_x, of_y, at_x, at_y = np.split(rank, np.cumsum([len(a), len(b), len(a)]))
+                near &= of_x[:, None] != of_y
+                near &= y["inner"] | (at_x[:, None] < at_y)
                 own, other = band_values(a, kind_of), band_values(b, kind_of)
                 at = int(np.argmax(own[0] == band))
                 p, q = np.nonzero(near)
                 fresh = ~(own[p, :at] == other[q, :at]).any(axis=1)  # else an earlier band has the pair
                 found = {}
                 for j, k in zip(p[fresh].tolist(), q[fresh].tolist(), strict=True):
-                    cell = (j, int(y["component"][k]))
+                    cell = (j, int(of_y[k]))
                     if cell not in found and _similar(x_sets[j], y_sets[k]):
                         found[cell] = k
                 if found:
-                    one, two = x["id"][[j for j, _ in found]], y["id"][list(found.values())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+                    one, two = pa.array([j for j, _ in found]), pa.array(list(found.values()))
+                    sides = (batch.column(n)[i].values.field("id").take(k) for n, k in ((1, one), (2, two)))
+                    yield pa.RecordBatch.from_arrays(list(sides), ["a", "b"])
 
-    return meeting.select("band", "l", "r").mapInArrow(run, f"a {kind}, b {kind}")
+    return meeting.select("band", "l", "r").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, component_id, kept`` for every row."""
+    """``key, n_shingles, component_id, kept, lead, r1, r2`` for every row."""
     sketch = saved(sketches(docs, key, text), "sketches")
-    same = ["n_shingles", "d1", "d2"]
-    classes = saved(sketch.where("n_shingles > 0").groupBy(same).agg(F.min("id").alias("class_id")))
-    heads = sketch.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    members = heads.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("band")).select("band", "id", "size")
-    groups = candidate_groups(members)
-    sets = saved(full_sets(docs, groups.select("id").distinct(), key, text), "sets")
+    first = F.struct(F.col("key").isNull().alias("unnamed"), "key", "r1", "r2")
+    # of a set's rows any gives the same bands and registers
+    heads = sketch.where("n_shingles > 0").groupBy("id").agg(F.min(first).alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "registers")))
+    heads = saved(heads, "heads")
+    groups = candidate_groups(heads.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("band")).select("band", "id", "size"))
+    rows = heads.join(groups.select("id").distinct(), "id", "left_semi").select("first.r1", "first.r2")
+    sets = saved(full_sets(docs, rows, key, text), "sets")
     members = sets.join(heads.select("id", "registers"), "id")
     found = saved(linked(groups, lambda pairs: true_links(pairs, sets), lambda rows: near_links(rows, members)))
-    merged = classes.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(*same, F.coalesce("component", "class_id").alias("component"))
-    out = sketch.select("id", *same).join(merged, same, "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    own = heads.select("id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    merged = own.select("id", "component").join(own.groupBy("component").agg(F.min("first").alias("lead")), "component").select("id", "lead")
+    out = sketch.select("key", "r1", "r2", "n_shingles", "id").join(merged, "id", "left")
+    alone = F.col("lead").isNull()
+    here = alone | ((F.col("r1") == F.col("lead.r1")) & (F.col("r2") == F.col("lead.r2")))
+    component = F.when(alone, F.col("key")).otherwise(F.col("lead.key"))
+    return out.select(
+        F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), here.alias("lead"), "r1", "r2",
+    )

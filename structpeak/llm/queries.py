@@ -88,7 +88,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_hyperminhash_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("lead", "r1", "r2")
 
 
 @query("op7_fuzzy_line_dedup")

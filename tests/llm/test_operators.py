@@ -125,6 +125,32 @@ def test_near_duplicates(docs, empty):
     assert hyperminhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_weak_keys(spark):
+    """Sets are named by what they hold: neither repeated nor null keys lose a link, whatever the order of rows."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near_one, near_two = one.replace("a59", "x"), two.replace("b59", "y")
+    rows = [(1, one), (1, two), (2, near_two), (3, near_one), (None, near_one), (None, "alone by itself"), (None, None), (4, ""), (4, None), (3, near_one)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        table = spark.createDataFrame([(k, t, 0, "x") for k, t in order], "doc_id long, text string, id int, r1 string")
+        got = hyperminhash.near_duplicates(table.select("doc_id", "text")).collect()
+        assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"], r["lead"]) for r in got) == sorted([
+            (1, 56, 1, True, True), (1, 56, 1, True, True), (2, 56, 1, False, False), (3, 56, 1, False, False), (0, 56, 1, False, False), (0, 1, 0, True, True),
+            (0, 0, 0, True, True), (4, 0, 4, True, True), (4, 0, 4, True, True), (3, 56, 1, False, False),
+        ])
+        assert sorted(map(str, hyperminhash.near_duplicates(table).collect())) == sorted(map(str, got))
+
+
+def test_near_dedup_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline as p
+
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, two), (7, one), (5, one.replace("a59", "x")), (None, one), (7, one.replace("a0", "z")), (None, "clean"), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(7, two), (5, rows[2][1]), (None, "clean"), (9, ""), (None, None)], key=str)
+    assert p.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
 def test_open_groups_are_settled(spark):
     """Copies that the smallest member of a band doesn't link are still linked with each other."""
     words = [f"w{i}" for i in range(120)]
