@@ -130,6 +130,21 @@ def size_class(value, bounds: dict[str, float], rest: str):
     return out.otherwise(F.lit(rest))
 
 
+def with_recorded(predictions: DataFrame, records: DataFrame, keys: Sequence[str], name: str = "difficult") -> DataFrame:
+    """Adds ``name``: whether ``records`` (say, switching operations) has the pair's keys at all.
+
+    Records may repeat; only their distinct keys are joined. A null in a key equals a null.
+    """
+    if name in predictions.columns:
+        raise ValueError(f"there is a column {name} already")
+    # numbered names, so that no column of the predictions clashes
+    seen = records.select(*[F.col(k).alias(f"recorded {i}") for i, k in enumerate(keys)]).distinct().withColumn("recorded", F.lit(True))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & predictions[k].eqNullSafe(seen[f"recorded {i}"])
+    return predictions.join(seen, match, "left").select(*[predictions[c] for c in predictions.columns], seen["recorded"].isNotNull().alias(name))
+
+
 def by_time(pairs: DataFrame, last_fit_year: int) -> DataFrame:
     """Temporal split: fit up to a year, test on the following one, later years unused."""
     part = (

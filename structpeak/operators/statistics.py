@@ -296,13 +296,13 @@ def intraclass_correlation(opinions: DataFrame, keys: Sequence[str], value: str)
                         F.try_divide(msb - msw, msb + (k0 - 1) * msw).alias("icc"))
 
 
-def learning_runs(
+def learning_errors(
     pool: DataFrame, test: DataFrame, x: str, y: str, grid: Sequence[int], repetitions: int, seed: int, keys: Sequence[str]
 ) -> DataFrame:
-    """Test error of the calibration line for every repetition and label-set size.
+    """``test`` for every repetition and label-set size, with the absolute error ``miss`` of the calibration line fitted there.
 
     The sets are nested prefixes of the pool; a pool row feeds every set it belongs to. ``test`` must hold other
-    entities than the pool (``frozen_split``), or the curve measures its own training rows.
+    entities than the pool (``frozen_split``), or the errors are those of the training rows.
     """
     chained = nested_chains(pool, grid, repetitions, seed, keys).where(F.col("first_level").isNotNull())
     sizes = F.filter(F.array(*[F.lit(n) for n in sorted(grid)]), lambda n: n >= F.col("first_level"))
@@ -313,8 +313,15 @@ def learning_runs(
     runs = F.explode(F.sequence(F.lit(1), F.lit(repetitions)))
     targets = test.withColumn("repetition", runs).withColumn("level", F.explode(F.array(*[F.lit(n) for n in sorted(grid)])))
     scored = targets.join(F.broadcast(lines), ["repetition", "level"])  # repetitions x grid rows
-    miss = F.abs(F.col("slope") * F.col(x) + F.col("intercept") - F.col(y))
-    return scored.groupBy("repetition", "level").agg(F.avg(miss).alias("mae"), F.count("*").alias("n_test"))
+    return scored.withColumn("miss", F.abs(F.col("slope") * F.col(x) + F.col("intercept") - F.col(y))).drop("slope", "intercept")
+
+
+def learning_runs(
+    pool: DataFrame, test: DataFrame, x: str, y: str, grid: Sequence[int], repetitions: int, seed: int, keys: Sequence[str]
+) -> DataFrame:
+    """Mean test error for every repetition and label-set size, from ``learning_errors``."""
+    scored = learning_errors(pool, test, x, y, grid, repetitions, seed, keys)
+    return scored.groupBy("repetition", "level").agg(F.avg("miss").alias("mae"), F.count("*").alias("n_test"))
 
 
 def fit_learning_curve(curve: DataFrame, n: str, error: str, floors: Sequence[float], margin: float) -> DataFrame:

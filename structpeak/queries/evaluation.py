@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from structpeak.operators.evaluate import out_of_fold, size_class, tolerance_curve, wide_metrics
+from structpeak.operators.evaluate import out_of_fold, size_class, tolerance_curve, wide_metrics, with_recorded
 from structpeak.operators.sampling import frozen_split, list_digest, nested_chains, stratified_sample
-from structpeak.queries.base import pairs, query, rounded, sql, suppliers
+from structpeak.queries.base import pairs, query, rounded, sql, suppliers, table
 from structpeak.queries.labelling import _OOF
 
 _WIDE = """
@@ -38,6 +38,18 @@ def error_by_size(spark, sf):
     return _rounded_wide(wide_metrics(sized, "predicted", "label", ["size_class"]))
 
 
+@query("error_by_difficulty", sql(("pairs",), f"""
+    SELECT r.entity IS NOT NULL AS difficult, {_WIDE} FROM oof o LEFT JOIN recorded r ON o.region = r.region AND o.entity = r.entity AND o.year = r.year GROUP BY 1""",
+    **_OOF, recorded="""SELECT DISTINCT s.region, s.entity, year(l_shipdate) AS year FROM lineitem JOIN suppliers s ON s.entity = CAST(l_suppkey AS VARCHAR)
+                        WHERE l_returnflag = 'R' AND l_quantity = 50"""))
+def error_by_difficulty(spark, sf):
+    """Errors of series with and without a recorded operation (a returned line of the largest quantity) in the year."""
+    returned = table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50))
+    records = returned.join(suppliers(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")).select("region", "entity", F.year("l_shipdate").alias("year"))
+    marked = with_recorded(_oof(spark, sf), records, ["region", "entity", "year"])
+    return _rounded_wide(wide_metrics(marked, "predicted", "label", ["difficult"]))
+
+
 @query("tolerance_curve", sql(("pairs",), """
     SELECT region, epsilon, round(avg(CASE WHEN abs(predicted - label) / abs(label) <= epsilon THEN 1.0 ELSE 0.0 END), 6) AS hit_rate,
            count(*) AS n

@@ -129,3 +129,16 @@ def test_bootstrap_covers_the_mean(pairs):
     got = cluster_bootstrap(df, "hit", "one", "entity", 300, 7).head()
     rate = np.mean([r[3] > 20 for r in rows])
     assert got["lower"] < rate < got["upper"] and got["upper"] - got["lower"] < 0.4
+
+
+def test_records_mark_pairs(spark):
+    """Repeated records mark once, a null key equals a null, other columns stay."""
+    from structpeak.operators.evaluate import with_recorded
+
+    pairs = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), (None, 1, 7.0), ("b", 1, 8.0), ("b", 1, 8.0)], "entity string, year int, recorded double")
+    records = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), ("c", 9), ("b", 2)], "entity string, year int")
+    got = with_recorded(pairs, records, ["entity", "year"])
+    assert got.columns == ["entity", "year", "recorded", "difficult"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, pairs.selectExpr("*", "(coalesce(entity, '') in ('a', '') and year = 1) as difficult").collect()))
+    assert with_recorded(pairs, records.limit(0), ["entity", "year"]).where("difficult").count() == 0
+    assert with_recorded(pairs.limit(0), records, ["entity", "year"]).count() == 0
