@@ -51,3 +51,37 @@ def test_labels_of_the_models_measure_only(spark):
     assert refit_on_labels(base, label, model, grid=(math.inf, 1.0)).kappa in (math.inf, 1.0)
     with pytest.raises(PySparkException):
         refit_on_labels(base, label.drop("measure"), model, grid=(math.inf, 1.0))
+
+
+def test_workers_get_the_package(tmp_path):
+    """A driver in another folder, with the package on its own path only, runs Python stages once the source is shipped."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    program = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from structpeak.session import local_session, ship_package
+spark = local_session(2, "elsewhere")
+from structpeak.operators import mixed
+
+def run(batches):
+    from structpeak.functions import arrays  # imported by the worker
+    yield from batches
+
+if sys.argv[1] == "ship":
+    ship_package(spark)
+    ship_package(spark)
+print("rows", spark.range(5).mapInArrow(run, "id long").count())
+"""
+    (tmp_path / "program.py").write_text(program)
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = {
+        how: subprocess.run([sys.executable, "program.py", how], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=180)
+        for how in ("ship", "bare")
+    }
+    assert "rows 5" in got["ship"].stdout, got["ship"].stderr[-2000:]
+    assert "rows 5" not in got["bare"].stdout and "ModuleNotFoundError" in got["bare"].stderr
