@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,12 +104,23 @@ def sustained_maximum(readings: DataFrame, rows: int, keys: Sequence[str] = SERI
 
 def daily_medians(readings: DataFrame, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
     """Median and maximum of every day of a series: at most 366 rows per series-year."""
-    by_day = readings.withColumn("day", F.to_date("ts"))
     day_key = [*keys, "day"]
-    # a day can only be too large for one task when its series is
-    medians = by_group_size(by_day, keys, lambda part, spread: exact_quantiles(part, day_key, "value", {"day_median": 0.5}, spread))
-    tops = by_day.groupBy(*day_key).agg(F.max("value").alias("day_max"))
-    return tops.join(medians, day_key).where(F.col("day_median").isNotNull())
+
+    def build(part: DataFrame, spread: bool | str) -> DataFrame:
+        # a day can only be too large for one task when its series is
+        if spread:
+            medians = exact_quantiles(part, day_key, "value", {"day_median": 0.5}, spread)
+            tops = part.groupBy(*day_key).agg(F.max("value").alias("day_max"))
+            return tops.join(medians, day_key).where(F.col("day_median").isNotNull())
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*day_key, "value"]])
+        # one exchange by series serves the ranks of a day, its median and what follows
+        placed = part.where(known).select(*day_key, "value").repartition(*keys)
+        day = Window.partitionBy(*day_key)
+        ranked = placed.withColumn("_rank", F.row_number().over(day.orderBy("value"))).withColumn("_rows", F.count("*").over(day))
+        middle = [F.max(F.when(F.col("_rank") == F.expr(f"(_rows + {k}) div 2"), F.col("value"))) for k in (1, 2)]
+        return ranked.groupBy(*day_key).agg(F.max("value").alias("day_max"), (0.5 * middle[0] + 0.5 * middle[1]).alias("day_median"))
+
+    return by_group_size(readings.withColumn("day", F.to_date("ts")), keys, build)
 
 
 def level_segments(days: DataFrame, half: int = 7, limit: float = 1.5, keys: Sequence[str] = SERIES_KEY) -> DataFrame:

@@ -2,65 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY
-from structpeak.functions.arrays import bound
 
 SMALLEST_SHARE = 1e-6
+# Levels of series cut at once.
+CELLS = 100_000
 
 
-def _running(values: Column) -> Column:
-    """0 and the running sums of an array."""
-    zero = F.array(F.lit(0.0))
-    return F.aggregate(values, zero, lambda sums, v: F.concat(sums, F.array(F.element_at(sums, -1) + v)))
+def _best_starts(sums: np.ndarray, squares: np.ndarray, charge: np.ndarray) -> np.ndarray:
+    """For every series (row) and end 1..n, where the last segment of the cheapest cut up to there begins.
 
-
-def _spread_of(sums: Column, squares: Column, lo: Column, hi: Column) -> Column:
-    """Sum of squared distances to their mean of the values lo+1..hi."""
-    total = F.get(sums, hi) - F.get(sums, lo)
-    return F.get(squares, hi) - F.get(squares, lo) - total * total / (hi - lo)
-
-
-def _best_starts(sums: Column, squares: Column, n: Column, penalty: Column) -> Column:
-    """For every end 1..n, where the last segment of the cheapest cut up to there begins.
-
-    A dynamic programme folded over the ends. A start that a later end beats without its penalty can never win again
-    and is dropped, so the list of starts stays short. Ties go to the earliest start.
+    A dynamic programme over the ends, all series of a batch at once. Ties go to the earliest start.
     """
-
-    def step(state: Column, end: Column) -> Column:
-        def tried(start: Column) -> Column:
-            cost = F.get(state["cost"], start) + _spread_of(sums, squares, start, end) + penalty
-            return F.struct(cost.alias("cost"), start.alias("start"))
-
-        def extended(trials: Column) -> Column:
-            def added(best: Column) -> Column:
-                alive = F.filter(trials, lambda t: t["cost"] - penalty <= best["cost"])
-                return F.struct(
-                    F.concat(state["cost"], F.array(best["cost"])).alias("cost"), F.concat(state["back"], F.array(best["start"])).alias("back"),
-                    F.concat(F.transform(alive, lambda t: t["start"]), F.array(end)).alias("open"),
-                )
-
-            return bound(F.array_min(trials), added)
-
-        return bound(F.transform(state["open"], tried), extended)
-
-    first = F.struct(F.array(-penalty).alias("cost"), F.array().cast("array<int>").alias("back"), F.array(F.lit(0)).alias("open"))
-    ends = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(ends, first, step, lambda state: state["back"])
-
-
-def _borders(back: Column) -> Column:
-    """Ends of the segments of the cheapest cut, from 0 to n."""
-    start = F.array(F.size(back))
-    return F.aggregate(back, start, lambda found, _: F.when(found[0] > 0, F.concat(F.array(F.get(back, found[0] - 1)), found)).otherwise(found))
+    rows, n = sums.shape[0], sums.shape[1] - 1
+    cost, back = np.empty((rows, n + 1)), np.zeros((rows, n + 1), np.int64)
+    cost[:, 0] = -charge
+    for end in range(1, n + 1):
+        total = sums[:, end, None] - sums[:, :end]
+        trials = cost[:, :end] + (squares[:, end, None] - squares[:, :end] - total * total / (end - np.arange(end))) + charge[:, None]
+        best = back[:, end] = trials.argmin(axis=1)
+        cost[:, end] = trials[np.arange(rows), best]
+    return back
+
+
+def _cheapest_cuts(penalty: float, keys: Sequence[str]):
+    """Task function: series as arrays of days and levels to one row a segment."""
+
+    def cut(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Series, border before and border after of all segments of series of one length, and the running sums."""
+        rows, n = levels.shape
+        sums, squares = (np.concatenate((np.zeros((rows, 1)), np.cumsum(x, axis=1)), axis=1) for x in (levels, levels * levels))
+        back = _best_starts(sums, squares, penalty * levels.var(axis=1) * np.log(n))
+        edge = np.zeros((rows, n + 1), bool)  # borders of the cheapest cut
+        at, every = np.full(rows, n), np.arange(rows)
+        while at.any():
+            edge[every, at] = True
+            at = back[every, at]
+        edge[:, 0] = True
+        row, place = np.nonzero(edge)
+        inside = row[1:] == row[:-1]
+        return row[:-1][inside], place[:-1][inside], place[1:][inside], sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            packed = batch.column("_days")
+            first, size = np.asarray(packed.offsets)[:-1].astype(np.int64), np.diff(np.asarray(packed.offsets))
+            days = packed.values.field("day")
+            levels = packed.values.field("day_median").to_numpy(zero_copy_only=False)
+            parts = []
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                for some in np.array_split(own, max(1, len(own) * int(n) // CELLS)):
+                    row, lo, hi, sums = cut(levels[first[some, None] + np.arange(n)])
+                    parts.append(np.stack((some[row], lo, hi, ((sums[row, hi] - sums[row, lo]) / (hi - lo)).view(np.int64))))
+            of, lo, hi, level = np.concatenate(parts, axis=1)
+            order = np.lexsort((lo, of))
+            of, lo, hi, level = of[order], lo[order], hi[order], level[order].view(np.float64)
+            number = np.arange(len(of)) - np.searchsorted(of, of)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k).take(pa.array(of)) for k in keys], pa.array(number), days.take(pa.array(first[of] + lo)), days.take(pa.array(first[of] + hi - 1)), pa.array(hi - lo), pa.array(level)],
+                [*keys, "segment", "first_day", "last_day", "n_days", "segment_level"])
+
+    return run
 
 
 def change_points(days: DataFrame, penalty: float = 3.0, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
@@ -71,23 +85,11 @@ def change_points(days: DataFrame, penalty: float = 3.0, keys: Sequence[str] = S
     """
     keys = list(keys)
     packed = F.array_sort(F.collect_list(F.struct("day", "day_median")))
-    series = days.where(F.col("day_median").isNotNull()).groupBy(*keys).agg(packed.alias("_days"), F.var_pop("day_median").alias("_var"))
-    levels = F.col("_days.day_median")
-    series = series.withColumn("_sums", _running(levels)).withColumn("_squares", _running(F.transform(levels, lambda x: x * x)))
-    charge = F.lit(float(penalty)) * F.col("_var") * F.log(F.size("_days").cast("double"))
-    series = series.withColumn("_charge", charge).withColumn("_back", _best_starts(F.col("_sums"), F.col("_squares"), F.size("_days"), F.col("_charge")))
-    series = series.withColumn("_borders", _borders(F.col("_back")))
-
-    def segment(i: Column) -> Column:
-        lo, hi = F.get("_borders", i), F.get("_borders", i + 1)
-        level = (F.get("_sums", hi) - F.get("_sums", lo)) / (hi - lo)
-        return F.struct(
-            i.cast("bigint").alias("segment"), F.get("_days", lo)["day"].alias("first_day"), F.get("_days", hi - 1)["day"].alias("last_day"),
-            (hi - lo).cast("bigint").alias("n_days"), level.alias("segment_level"),
-        )
-
-    numbers = F.sequence(F.lit(0), F.size("_borders") - 2)
-    return series.select(*keys, F.explode(F.transform(numbers, segment)).alias("_segment")).select(*keys, "_segment.*")
+    series = days.where(F.col("day_median").isNotNull()).groupBy(*keys).agg(packed.alias("_days"))
+    schema = ", ".join(f"`{k}` {days.schema[k].dataType.simpleString()}" for k in keys)
+    day = days.schema["day"].dataType.simpleString()
+    return series.mapInArrow(
+        _cheapest_cuts(float(penalty), keys), f"{schema}, segment bigint, first_day {day}, last_day {day}, n_days bigint, segment_level double")
 
 
 @dataclass(frozen=True)
