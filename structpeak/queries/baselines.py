@@ -13,6 +13,7 @@ from structpeak.operators.hotkeys import FEW, MANY
 from structpeak.operators.ordering import exact_quantiles, radix_quantiles
 from structpeak.operators.refit import soft_peak
 from structpeak.plans.scoring import raw_window_peaks
+from structpeak.session import durable
 from structpeak.queries.base import KEY, LENGTH, TIE, months, query, readings, rounded, sql
 
 
@@ -196,7 +197,7 @@ def rule_weights(spark, sf):
     FROM rules JOIN q{_ROUNDS} ON returns_soon::INT = v0 AND is_short::INT = v1 AND no_network_change::INT = v2""", **_SEGMENT_CTES, **_rounds_sql()))
 def segment_posteriors(spark, sf):
     """Probability that a segment is a manoeuvre, under the learned rule weights."""
-    ruled = _ruled(spark, sf)
+    ruled = durable(_ruled(spark, sf).select(*KEY, "segment", *_RULES))  # learned from and then judged
     out = ruled.withColumn("manoeuvre", learn_rules(ruled, _RULES, _ROUNDS).probability())
     return rounded(out.select(*KEY, F.col("segment").cast("bigint").alias("segment"), "manoeuvre"), 5, "manoeuvre")
 
