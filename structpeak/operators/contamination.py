@@ -15,6 +15,8 @@ from structpeak.functions.draws import gaussian, key_seed, uniform
 PLATEAU_ON, PLATEAU_START, PLATEAU_LENGTH, PLATEAU_SIGN, PLATEAU_SIZE = 1, 2, 3, 4, 5
 SPIKE_ON, SPIKE_COUNT, SPIKE_PLACE, SPIKE_SIGN, SPIKE_SIZE = 6, 7, 8, 11, 14
 NOISE = 100
+# Column of a window's copies.
+COPIES = "_copies"
 
 
 def _sign(u: Column) -> Column:
@@ -59,15 +61,21 @@ def contaminate(values: Column, seed: Column, config: PeakConfig) -> Column:
     return bound(seed, lambda s: bound(_drawn_events(s, config), lambda f: F.transform(values, lambda v, i: point(v, i, s, f))))
 
 
-def contaminated_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
-    """``replicas`` contaminated copies of every window, with the clean target kept beside."""
+def with_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
+    """Every window with its ``replicas`` contaminated copies in one array."""
     def copy(replica: int) -> Column:
         seed = key_seed(F.lit(str(config.seed)), F.lit(replica), *[F.col(k) for k in keys], F.col("window_id"))
         return F.struct(F.lit(replica).alias("replica"), seed.alias("noise_seed"),
                         contaminate(F.col("values"), seed, config).alias("contaminated"))
 
-    copies = F.array(*[copy(r) for r in range(1, config.replicas + 1)])
-    return windows.select("*", F.inline_outer(copies))
+    return windows.withColumn(COPIES, F.array(*[copy(r) for r in range(1, config.replicas + 1)]))
+
+
+def contaminated_copies(windows: DataFrame, config: PeakConfig, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
+    """``replicas`` contaminated copies of every window, with the clean target kept beside; those of :func:`with_copies` where it was called before."""
+    if COPIES not in windows.columns:
+        windows = with_copies(windows, config, keys)
+    return windows.select(*[c for c in windows.columns if c != COPIES], F.inline_outer(COPIES))
 
 
 def with_channels(windows: DataFrame, config: PeakConfig, values: str = "values") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structpeak.config import SERIES_KEY, PeakConfig
-from structpeak.operators.contamination import contaminated_copies
+from structpeak.operators.contamination import COPIES, contaminated_copies, with_copies
 from structpeak.operators.hotkeys import FEW
 from structpeak.operators.ordering import radix_quantiles
 
@@ -103,18 +103,20 @@ def encoder(model: Denoiser):
     weights, bias = model.encode[:-1], model.encode[-1]
     names, width = model.config.channels, model.config.spread_width
 
-    def coded(values: pd.Series, level: pd.Series | None, delta: pd.Series | None) -> pd.Series:
-        if values.empty:
-            return pd.Series([], dtype=object)
-        registry = [None if c is None else stacked(c) for c in (level, delta)]
-        return pd.Series(list(feature_matrix(stacked(values), *registry, names, width) @ weights + bias))
+    length = model.config.length
 
-    @F.pandas_udf("array<double>")
-    def of_values(values: pd.Series) -> pd.Series:
-        return coded(values, None, None)
+    def coded(*columns: pa.Array) -> pa.Array:
+        if not len(columns[0]):
+            return matrix_list(np.zeros((0, len(bias))))
+        values, level, delta = [list_matrix(c, length) for c in columns] + [None] * (3 - len(columns))
+        return matrix_list(feature_matrix(values, level, delta, names, width) @ weights + bias)
 
-    @F.pandas_udf("array<double>")
-    def of_all(values: pd.Series, level: pd.Series, delta: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def of_values(values: pa.Array) -> pa.Array:
+        return coded(values)
+
+    @F.arrow_udf("array<double>")
+    def of_all(values: pa.Array, level: pa.Array, delta: pa.Array) -> pa.Array:
         return coded(values, level, delta)
 
     return of_all if uses_registry(model.config) else of_values
@@ -132,11 +134,9 @@ def decoder(model: Denoiser):
     """Column function: code arrays to windows."""
     weights = model.decode
 
-    @F.pandas_udf("array<double>")
-    def windows(codes: pd.Series) -> pd.Series:
-        if codes.empty:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(codes.to_numpy()) @ weights))
+    @F.arrow_udf("array<double>")
+    def windows(codes: pa.Array) -> pa.Array:
+        return matrix_list(list_matrix(codes, len(weights)) @ weights)
 
     return windows
 
@@ -262,12 +262,15 @@ def fit_denoiser(
     """Fit the denoiser on all scaled windows given.
 
     Rounds of row re-weighting by inverse mean absolute residual stand in for an absolute loss.
-    Only the clean windows are kept between rounds: the contaminated copies come from seeded draws and are
-    made anew where they are used. Every round reduces each task to one matrix. A lost executor only
-    recomputes its part.
+    The windows are kept between rounds, each once with its contaminated copies beside it, so their draws are made
+    once; a caller with several fits may keep what ``with_copies`` gives and pass that. Every round reduces each task to one matrix. A lost executor only recomputes its part.
     """
     registry = [c for c in ("level", "level_delta") if c in windows.columns]
-    kept = windows.select(*keys, "window_id", "values", *registry).persist(StorageLevel.MEMORY_AND_DISK)
+    drawn = COPIES in windows.columns  # then the caller keeps them
+    kept = windows if drawn else with_copies(windows.select(*keys, "window_id", "values", *registry), config, keys)
+    kept = kept.select("window_id", "values", *registry, COPIES)
+    if not drawn:
+        kept.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         examples = training_examples(kept, config, keys)
         coefficients = None
@@ -282,7 +285,8 @@ def fit_denoiser(
         finally:
             codes.unpersist()
     finally:
-        kept.unpersist()
+        if not drawn:
+            kept.unpersist()
     return Denoiser(config, encode, decode, version, center, width)
 
 
@@ -299,6 +303,12 @@ def list_matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def matrix_list(rows: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as a list column."""
+    cut = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def batch_codes(batch: pa.RecordBatch, model: Denoiser, values: str = "values") -> np.ndarray:
     """Codes of an Arrow batch of windows."""
     registry = [list_matrix(batch.column(c), model.config.length) if c in batch.schema.names else None for c in ("level", "level_delta")]
