@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from structpeak.operators.boosting import Boosting, boosted_out_of_fold
@@ -16,7 +17,7 @@ from structpeak.operators.hotkeys import by_group_size
 from structpeak.operators.model import (
     block_mean_denoiser, cross_products, fit_denoiser, fit_residual, limit_codes, reconstruct, solve_products, summed_products, training_examples, window_codes,
 )
-from structpeak.operators.contamination import contaminated_copies
+from structpeak.operators.contamination import COPIES, contaminated_copies, with_copies
 from structpeak.operators.pooled import pooled_codes, regress_on_codes
 from structpeak.operators.refit import kappa_losses, labelled_examples, refit
 from structpeak.operators.series import series_windows
@@ -234,13 +235,18 @@ def channel_ablation_fixed_weights(spark, sf):
 def channel_ablation(spark, sf):
     """Reconstruction error of fitted models with and without the registry channels, over all windows."""
     found = months(spark, sf)
-    base = readings(spark, sf)
-    rows = []
-    for name, channels in (("with_registry", CONFIG.channels), ("without_registry", CONFIG.channels[:3])):
-        config = config_with_stats(replace(CONFIG, channels=channels), found)
-        windows = training_windows(base, config, found, TIE)
-        rows.append(_reconstruction_error(windows, fit_denoiser(windows, config, KEY, name), name))
-    return rows[0].unionByName(rows[1])
+    config = config_with_stats(CONFIG, found)
+    # channels say what a model sees, not what the windows and their copies are: both fits and both errors read the same
+    windows = with_copies(training_windows(readings(spark, sf), config, found, TIE), config, KEY)
+    windows = windows.select(*KEY, "window_id", "values", "level", "level_delta", COPIES).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = []
+        for name, channels in (("with_registry", CONFIG.channels), ("without_registry", CONFIG.channels[:3])):
+            model = fit_denoiser(windows, replace(config, channels=channels), KEY, name)
+            rows.append(_reconstruction_error(windows, model, name).head())
+    finally:
+        windows.unpersist()
+    return spark.createDataFrame(rows, "variant string not null, l1 double, n_windows bigint not null")
 
 
 @query("pooled_code_summaries", sql(("zpoints",), """
