@@ -11,6 +11,7 @@ from structpeak.operators.baselines import daily_medians
 from structpeak.operators.changes import change_points
 from structpeak.operators.model import block_mean_denoiser, fit_denoiser
 from structpeak.operators.pooled import pooled_codes
+from structpeak.operators.series import series_windows
 from structpeak.queries import base
 
 
@@ -90,3 +91,11 @@ def test_draws_are_made_once_a_fit(spark, monkeypatch):
     assert len(made) == 4 and np.allclose(first.encode @ first.decode, second.encode @ second.decode) and np.allclose(first.center, second.center)
     direct = {(r["window_id"], r["replica"]): r["contaminated"] for r in contamination.contaminated_copies(windows, config).collect()}
     assert direct == {(r["window_id"], r["replica"]): r["contaminated"] for r in contamination.contaminated_copies(kept, config).collect()}
+
+
+def test_spread_readings_move_without_what_nobody_reads(spark):
+    """Numbering and slots read one exchange of keys as a struct; unwanted window times don't move."""
+    windows = series_windows(days(spark), 3, spread="many", times=False)
+    assert "times" not in windows.columns and "times" in series_windows(days(spark), 3, spread="many").columns
+    moved = [line for line in plan(windows).splitlines() if "Exchange hashpartitioning(_key" in line]
+    assert moved and not any("hashpartitioning(region" in line for line in moved)
