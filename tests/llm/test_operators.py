@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from structpeak.llm import boilerplate, byte_pairs, crf, fuzzy_lines, hyperminhash, language, links, packing, quality, stream_dedup, suffixes, warc
+from structpeak.llm import boilerplate, byte_pairs, crf, fuzzy_lines, hyperminhash, language, links, packing, quality, storage, stream_dedup, suffixes, warc
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -455,3 +456,27 @@ def test_rules_send_texts_once_and_hold_little(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 40 and peak < 80e6
+
+
+def test_stored_lines_stay_in_place(spark):
+    """Of stored lines only those asked for leave their bucket: the ids are exchanged, the lines aren't."""
+    lines = spark.range(2000).select("id", F.repeat(F.col("id").cast("string"), 50).alias("words"))
+    plain, by_id = storage.saved_by(lines, "id", "lines")
+    joined = by_id.join(spark.range(0, 2000, 100).distinct().hint("merge"), "id", "left_semi")
+    assert {r["words"] for r in joined.collect()} == {str(i) * 50 for i in range(0, 2000, 100)}
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(id#\d+L, \d+\), ENSURE_REQUIREMENTS[^\n]*\n[^\n]*(Filter|FileScan)", plan) and "SelectedBucketsCount" in plan
+    wanted = fuzzy_lines.wanted_lines(spark.createDataFrame([(7,), (7,), (5000,)], "id long"), by_id, ["words"])
+    assert [tuple(r) for r in wanted.collect()] == [(7, "7" * 50)]
+    path = storage._stored[id(plain)].removeprefix("file:")
+    tables = {t.name for t in spark.catalog.listTables()}
+    storage.discard(plain, wanted)
+    assert not os.path.exists(path) and len(tables - {t.name for t in spark.catalog.listTables()}) == 1
+
+
+def test_sketch_keeps_four_bits_of_every_minimum():
+    data = np.frombuffer("a line of the text".encode() + "another line of it".encode(), np.uint8)
+    hashed, line = fuzzy_lines.line_shingles(data, np.array([0, 18, 36]))
+    bands = fuzzy_lines.band_values(hashed, np.searchsorted(line, np.arange(3)))
+    packed = fuzzy_lines.sketches(bands)
+    assert packed.shape == (2, 18) and (fuzzy_lines.sketched(packed.ravel()) == fuzzy_lines.registers_of(bands) % 16).all()
