@@ -474,9 +474,13 @@ def test_stored_lines_stay_in_place(spark):
     assert not os.path.exists(path) and len(tables - {t.name for t in spark.catalog.listTables()}) == 1
 
 
-def test_sketch_keeps_four_bits_of_every_minimum():
-    data = np.frombuffer("a line of the text".encode() + "another line of it".encode(), np.uint8)
-    hashed, line = fuzzy_lines.line_shingles(data, np.array([0, 18, 36]))
-    bands = fuzzy_lines.band_values(hashed, np.searchsorted(line, np.arange(3)))
-    packed = fuzzy_lines.sketches(bands)
-    assert packed.shape == (2, 18) and (fuzzy_lines.sketched(packed.ravel()) == fuzzy_lines.registers_of(bands) % 16).all()
+def test_both_sides_of_a_band_read_one_exchange(spark):
+    """Members are joined with their marks and moved to their band once, for both sides that meet there."""
+    rows = spark.createDataFrame([(b, i, i, 0) for b in range(3) for i in range(200)], "band long, id long, component long, main long")
+    signed = spark.range(200).select("id", F.lit(b"x").alias("sketch"))
+    met = fuzzy_lines._meetings(rows, signed.hint("merge"), ["sketch"])
+    pairs = collections.Counter((r["band"], x["id"], y["id"]) for r in met.collect() for x in r["l"] for y in r["r"])
+    assert set(pairs.values()) == {1} and set(pairs) == {(b, i, j) for b in range(3) for i in range(1, 200) for j in range(200)}
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning\(band", final)) <= 3 and "ReusedExchange" in final
