@@ -484,3 +484,21 @@ def test_both_sides_of_a_band_read_one_exchange(spark):
     plan = met._jdf.queryExecution().executedPlan().toString()
     final = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
     assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning\(band", final)) <= 3 and "ReusedExchange" in final
+
+
+def test_pairs_of_texts_are_compared_in_blocks():
+    """Two columns of 3 MB take no more than a block's memory, and each pair gets what its sets say."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    one = ["".join(rng.choices("abcdefgh é", k=300)) for _ in range(10_000)]
+    two = [x[:300 - (cut := rng.randrange(1, 140))] + "z" * cut if i % 3 else x[:3] for i, x in enumerate(one)]
+    shingles = lambda t: {t[k:k + 5] for k in range(max(1, len(t) - 4))}
+    want = [i for i, (x, y) in enumerate(zip(one, two, strict=True)) if 4 * len((a := shingles(x)) & (b := shingles(y))) >= 3 * len(a | b)]
+    columns = pa.array(one), pa.array(two)
+    tracemalloc.start()
+    found = fuzzy_lines.similar_pairs(*columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == want and 1000 < len(want) < 9000 and peak < 100e6, peak
