@@ -502,3 +502,45 @@ def test_pairs_of_texts_are_compared_in_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.tolist() == want and 1000 < len(want) < 9000 and peak < 100e6, peak
+
+
+@pytest.mark.parametrize("limits", [{}, {"TILE": 8, "TILE_WIDTH": 16}, {"PAIRS_AT_ONCE": 50}, {"MOST_MET": 30, "HELD": 100}, {"FULL": 0}])
+def test_members_of_bands_meet_as_bytes(limits, monkeypatch):
+    """All likely pairs of all bands come out, or all members of bands that are left to blocks, whatever is held at once."""
+    for name, value in limits.items():
+        monkeypatch.setattr(fuzzy_lines, name, value)
+    draw = np.random.default_rng(8)
+    least = draw.integers(0, 1 << 16, (300, fuzzy_lines.REGISTERS))
+    least[:, :3] %= 5  # the first band has few values, one of them very common
+    least[:160, :3] = 0
+    for i in range(0, 300, 3):  # every third line has two that resemble it
+        least[i + 1:i + 3] = np.where(draw.random((2, fuzzy_lines.REGISTERS)) < 0.7, least[i], least[i + 1:i + 3])
+    bands = np.zeros((300, fuzzy_lines.BANDS, 4), np.uint16)
+    bands[:, :, :3] = least.reshape(300, fuzzy_lines.BANDS, 3)
+    bands[:, :, 3] = np.arange(fuzzy_lines.BANDS)
+    bands = np.ascontiguousarray(bands).view(np.uint64).reshape(300, fuzzy_lines.BANDS)
+    ids = draw.permutation(10_000)[:300] - 5_000
+    lines = [pa.RecordBatch.from_arrays([pa.array(ids[k:k + 70]), pa.array(list(bands[k:k + 70].view(np.int64)))], ["id", "bands"]) for k in range(0, 300, 70)]
+    buckets = [b for b in fuzzy_lines._dealt(iter(lines), 4)]
+    found = [r for k in range(4) for out in fuzzy_lines._met(pa.RecordBatch.from_arrays([b["members"].filter(pa.compute.equal(b["bucket"], k))], ["members"]) for b in buckets) for r in out.to_pylist()]
+    alone = {(r["band"], r["a"]) for r in found if r["b"] is None}
+    pairs = {(r["a"], r["b"]) for r in found if r["b"] is not None}
+    assert all(a < b for a, b in pairs) and len(alone) == sum(r["b"] is None for r in found)
+    likely, left = set(), {b for b, _ in alone}
+    for band in np.unique(bands):
+        at = np.flatnonzero((bands == band).any(axis=1))
+        assert not int(band) in left or {(int(band), int(ids[i])) for i in at} <= alone
+        same = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for k, i in enumerate(at) for j in at[:k] if (least[i] % 16 == least[j] % 16).sum() >= fuzzy_lines.LEAST_EQUAL}
+        likely |= same
+        assert int(band) in left or same <= pairs
+    assert pairs <= likely and len(likely) > 100
+    assert bool(left) == any(k in limits for k in ("FULL", "MOST_MET"))
+
+
+def test_bands_move_in_one_exchange_of_bytes(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i} {k} of some words" for k in range(9))) for i in range(5)], "doc_id long, text string")
+    signed = storage.saved(fuzzy_lines.signatures(fuzzy_lines.lines_of(docs, "doc_id", "text")))
+    met = fuzzy_lines.band_meetings(signed)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan and "Join" not in plan
+    assert met.where("b is not null").count() > 0
