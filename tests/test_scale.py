@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from structpeak.operators import changes, contamination
+from structpeak import session
+from structpeak.operators import changes, contamination, hotkeys, series
 from structpeak.operators.baselines import daily_medians
 from structpeak.operators.changes import change_points
 from structpeak.operators.model import block_mean_denoiser, fit_denoiser
 from structpeak.operators.pooled import pooled_codes
 from structpeak.operators.series import series_windows
+from structpeak.plans.scoring import raw_window_peaks
 from structpeak.queries import base
 
 
@@ -99,3 +101,34 @@ def test_spread_readings_move_without_what_nobody_reads(spark):
     assert "times" not in windows.columns and "times" in series_windows(days(spark), 3, spread="many").columns
     moved = [line for line in plan(windows).splitlines() if "Exchange hashpartitioning(_key" in line]
     assert moved and not any("hashpartitioning(region" in line for line in moved)
+
+
+def test_short_series_take_wide_slots(spark, monkeypatch):
+    """Of many series only those that a task could not hold are cut by the hour; both kinds give the positions and values of one sort."""
+    rows = [("r", e, 2020, dt.datetime(2020, 1 + i % 12, 1 + i % 5, i % 24), None if i % 7 == 3 else float(i * 37 % 101), i) for e, n in (("long", 90), ("short", 30), (None, 25)) for i in range(n)]
+    rows += [("r", "short", 2020, None, 5.0, 99)]
+    df = spark.createDataFrame(rows, "region string, entity string, year int, ts timestamp, value double, i int")
+    keys = ["region", "entity", "year"]
+    want = sorted(map(str, series.fill_gaps(df, keys, tie=["i"]).select(*keys, "i", "pos", F.round("filled", 9)).collect()))
+    slots = {}
+    for most in (1_000, 50, 1):
+        monkeypatch.setattr(hotkeys, "TASK_ROWS", most)
+        got = series.fill_gaps(df, keys, tie=["i"], spread="many").select(*keys, "i", "pos", F.round("filled", 9))
+        assert sorted(map(str, got.collect())) == want
+        slots[most] = {r["entity"]: r["n"] for r in series._slot_start(df, keys, "ts", "many").groupBy("entity").agg(F.countDistinct("_slot").alias("n")).collect()}
+    assert slots[1_000] == {"long": 4, "short": 4, None: 4}
+    assert slots[50]["long"] > 50 and slots[50]["short"] == 4 and slots[1]["short"] > 20
+
+
+def test_spread_steps_release_their_disk(spark, monkeypatch):
+    """The quantile of the spread form reads stored points: nothing that filling, scaling or cutting moved is held by then."""
+    monkeypatch.setattr(hotkeys, "LISTED_KEYS", 1)  # with task_rows=0 every series takes the spread form
+    found = raw_window_peaks(days(spark), 3, 0.999, task_rows=0)
+    assert "_slot" not in plan(found) and "window_id" not in plan(found) and "released" in plan(found)
+    peaks = lambda df: sorted(map(str, df.withColumn("peak", F.round("peak", 9)).collect()))
+    want = peaks(raw_window_peaks(days(spark), 3, 0.999, task_rows=100))
+    assert peaks(found) == want
+    kept = spark.range(3)
+    monkeypatch.setattr(session, "shared_folder", lambda *a: (_ for _ in ()).throw(RuntimeError("no folder")))
+    assert session.released(kept) is kept
+    assert peaks(raw_window_peaks(days(spark), 3, 0.999, task_rows=0)) == want
